@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pipewright.llm import fingerprint, piece_codec, sharding, suffix_dedup, url_filter
+from pipewright.llm import fingerprint, near_dedup, packing, piece_codec, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_sharding": sharding.op2_sharding,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_piece_codec": piece_codec.op9_piece_codec,
 }
 ORACLE_SQL = {
