@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pipewright.llm import fingerprint, near_dedup, packing, piece_codec, sharding, suffix_dedup, url_filter
+from pipewright.llm import fingerprint, html_extract, near_dedup, packing, piece_codec, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,8 +11,11 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_piece_codec": piece_codec.op9_piece_codec,
+    "op10_topk_search": topk_search.op10_topk_search,
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op10_topk_search": topk_search.OP10_SQL,
 }
