@@ -6,6 +6,8 @@ hash is a polynomial in an odd base over a table of random byte values, taken fr
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 _RNG = np.random.default_rng(20240607)
@@ -34,19 +36,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words of all texts, one after the other; where each text's words begin, and the end)."""
-    joined = b"\n".join([t.lower() for t in texts]) + b"\n"
-    data = np.frombuffer(joined, dtype=np.uint8)
-    blank = _BLANK[data]
+class WordParts(NamedTuple):
+    hashes: np.ndarray  # of the words of all texts, one after the other
+    heads4: np.ndarray  # of their first four bytes
+    heads5: np.ndarray  # of their first five bytes
+    tails: np.ndarray  # of their last two bytes
+    capitals: np.ndarray  # whether they have at least two capitals A-Z, and no small a-z
+    at: np.ndarray  # where each text's words begin, and the end
+
+
+def _spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(begin and end of each word in the joined texts, where each text's words begin, the joined texts)."""
+    joined = b"\n".join(texts) + b"\n"
+    blank = _BLANK[np.frombuffer(joined, dtype=np.uint8)]
     word = ~blank
     begin = np.flatnonzero(word & np.concatenate(([True], blank[:-1])))
     end = np.flatnonzero(blank & np.concatenate(([False], word[:-1])))
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    return begin, end, np.searchsorted(begin, np.concatenate(([0], np.cumsum(sizes)))), joined
+
+
+def _hasher(joined: bytes):
+    data = np.frombuffer(joined.lower(), dtype=np.uint8)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * _power("up", len(data)), out=sums[1:])
-    hashes = mixed((sums[end] - sums[begin]) * _power("down", len(data))[begin] + (end - begin).astype(np.uint64))
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    return hashes, np.searchsorted(begin, np.concatenate(([0], np.cumsum(sizes))))
+    down = _power("down", len(data))
+    return lambda begin, end: mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, one after the other; where each text's words begin, and the end)."""
+    begin, end, at, joined = _spans(texts)
+    return _hasher(joined)(begin, end), at
+
+
+def word_parts(texts: list[bytes]) -> WordParts:
+    begin, end, at, joined = _spans(texts)
+    hashed, data = _hasher(joined), np.frombuffer(joined, dtype=np.uint8)
+    count = lambda low, high: np.concatenate(([0], np.cumsum((data >= low) & (data <= high))))
+    big, small = count(65, 90), count(97, 122)
+    capitals = (big[end] - big[begin] >= 2) & (small[end] == small[begin])
+    return WordParts(hashed(begin, end), hashed(begin, np.minimum(end, begin + 4)), hashed(begin, np.minimum(end, begin + 5)), hashed(np.maximum(begin, end - 2), end), capitals, at)
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pipewright.llm import fingerprint, html_extract, near_dedup, packing, piece_codec, sharding, suffix_dedup, topk_search, url_filter
+from pipewright.llm import fingerprint, html_extract, near_dedup, packing, piece_codec, quality, sharding, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_sharding": sharding.op2_sharding,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_near_dedup": near_dedup.op7_near_dedup,
