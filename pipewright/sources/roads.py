@@ -10,7 +10,7 @@ from pipewright.functions import geometry as geo
 
 #: Classes of ways that carry vehicles.
 HIGHWAYS = [
-    "motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "residential", "unclassified", "living_street", "service",
+    "motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service",
 ]
 SCHEMA = "elements array<struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>>>, remark string"
 
@@ -47,19 +47,29 @@ def clip_lines(lines: DataFrame, box: tuple[float, float, float, float]) -> Data
     return parts.select("id", "part", F.concat(F.array(F.col("p")[0]["a"]), F.col("p")["b"]).alias("line"))
 
 
-def convert(ways: DataFrame, box: tuple[float, float, float, float], known_ids: DataFrame) -> DataFrame:
-    """id, restriction_type, width_m, width_source, line: road features of ways, each once, clipped, without those in known_ids(id).
+def convert(ways: DataFrame, box: tuple[float, float, float, float], existing: DataFrame) -> DataFrame:
+    """Road features of ways: id, osm_id, highway, name, bridge, tunnel, layer, width_m, width_source, lines; a row for each way.
 
-    Known are ids such as ``way/7`` or ``7``; a new id that clashes with one otherwise gets a suffix."""
-    usable = ways.where(F.col("tags")["highway"].isin(HIGHWAYS) & ~F.coalesce(F.col("tags")["area"] == "yes", F.lit(False))).dropDuplicates(["id"])
-    known = known_ids.select(F.col("id").cast("string").alias("known"))
-    usable = usable.withColumn("own", F.concat(F.lit("way/"), F.col("id").cast("string")))
-    fresh = usable.join(known, (F.col("own") == F.col("known")) | (F.col("id").cast("string") == F.col("known")), "left_anti")
-    parts = clip_lines(fresh.select("id", "geometry"), box).join(fresh.select("id", "own", "tags"), "id")
-    name = F.concat(F.lit("osm:"), F.col("own"), F.lit(":"), F.col("part").cast("string"))
-    named = parts.withColumn("name", name).join(known.withColumn("clash", F.lit(True)), F.col("name") == F.col("known"), "left")
-    width = parsed_width(F.col("tags")["width"])
-    return named.select(
-        F.when(F.col("clash"), F.concat("name", F.lit(":import"))).otherwise(F.col("name")).alias("id"), F.lit("road").alias("restriction_type"), width.alias("width_m"),
-        F.when(width.isNotNull(), "osm_width_tag").alias("width_source"), "line",
+    existing(id, restriction_type, osm_id) are the territory's features: ways that its roads stand for
+    (``way/7`` or ``7``) are left out. Lines are clipped to the box; a way that comes back into it has
+    several, one outside none and no row. An id that the territory uses already gets a suffix, again
+    and again until it is new. A way without two finite points raises."""
+    tags = lambda k: F.col("tags")[k]
+    usable = ways.where(F.coalesce(tags("highway").isin(HIGHWAYS), F.lit(False)) & ~F.coalesce(tags("area") == "yes", F.lit(False))).dropDuplicates(["id"])
+    has = existing.where("restriction_type = 'road' AND osm_id IS NOT NULL").select(F.regexp_replace("osm_id", "^way/", "").alias("own")).distinct()
+    fresh = usable.withColumn("own", F.col("id").cast("string")).join(has, "own", "left_anti")
+    finite = F.coalesce((F.size("geometry") >= 2) & F.forall("geometry", lambda g: g["lon"].isNotNull() & g["lat"].isNotNull() & ~F.isnan(g["lon"]) & ~F.isnan(g["lat"])), F.lit(False))
+    sound = fresh.withColumn("geometry", F.when(finite, F.col("geometry")).otherwise(F.raise_error(F.concat(F.lit("bad geometry of way "), "own"))))
+    lines = clip_lines(sound.select("id", "geometry"), box).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "line")))["line"].alias("lines"))
+    suffix = ":import"
+    used = existing.select(F.col("id").cast("string").alias("used")).where(F.col("used").rlike(f"^external:osm:way:[^:]*({suffix})*$"))
+    taken = used.groupBy(F.regexp_extract("used", "^external:osm:way:([^:]*)", 1).alias("own")).agg(
+        F.collect_set(((F.length("used") - F.length(F.regexp_replace("used", suffix, ""))) / len(suffix)).cast("int")).alias("counts")
+    )
+    free = F.coalesce(F.array_min(F.array_except(F.sequence(F.lit(0), F.size("counts")), F.col("counts"))), F.lit(0))
+    width = parsed_width(tags("width"))
+    return fresh.join(lines, "id").join(taken, "own", "left").select(
+        F.concat(F.lit("external:osm:way:"), "own", F.repeat(F.lit(suffix), free)).alias("id"), F.concat(F.lit("way/"), "own").alias("osm_id"), F.lit("road").alias("restriction_type"),
+        tags("highway").alias("highway"), F.coalesce(tags("name"), F.lit("")).alias("name"), *[F.coalesce(tags(k), F.lit(v)).alias(k) for k, v in (("bridge", "no"), ("tunnel", "no"), ("layer", "0"))],
+        width.alias("width_m"), F.when(width.isNotNull(), "osm_width_tag").otherwise("unknown").alias("width_source"), "lines",
     )

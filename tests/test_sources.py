@@ -107,11 +107,13 @@ def test_roads(spark):
         ],
         "id long, tags map<string,string>, geometry array<struct<lon:double,lat:double>>",
     )
-    known = spark.createDataFrame([("osm:way/7:1",), ("way/10",)], "id string")
-    rows = {r["id"]: r for r in roads.convert(ways, (0.0, 0.0, 2.0, 2.0), known).collect()}
-    assert set(rows) == {"osm:way/7:1:import", "osm:way/9:1", "osm:way/9:2"}
-    assert rows["osm:way/7:1:import"]["width_m"] == 7.5 and rows["osm:way/9:1"]["width_m"] is None
-    assert [tuple(p) for p in rows["osm:way/7:1:import"]["line"]] == [(0.0, 1.0), (2.0, 1.0)]
+    existing = spark.createDataFrame([("external:osm:way:7", "park", None), ("external:osm:way:7:import", "park", None), ("x", "road", "way/10")], "id string, restriction_type string, osm_id string")
+    rows = {r["id"]: r for r in roads.convert(ways, (0.0, 0.0, 2.0, 2.0), existing).collect()}
+    assert set(rows) == {"external:osm:way:7:import:import", "external:osm:way:9"}
+    seven, nine = rows["external:osm:way:7:import:import"], rows["external:osm:way:9"]
+    assert seven["width_m"] == 7.5 and nine["width_m"] is None and nine["width_source"] == "unknown" and seven["bridge"] == "no"
+    assert [[tuple(p) for p in line] for line in seven["lines"]] == [[(0.0, 1.0), (2.0, 1.0)]]
+    assert [[tuple(p) for p in line] for line in nine["lines"]] == [[(0.5, 0.5), (0.5, 2.0)], [(1.0, 2.0), (1.0, 1.0)]]
 
 
 def test_inbox(spark, folder, tmp_path):
