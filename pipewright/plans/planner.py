@@ -36,6 +36,7 @@ class Options:
     max_tie_ins: int = 16
     neighbours: int = 16
     refinements: int = 3
+    local_search: int = 3
     expansions_per_route: int = 1500
     total_expansions: int = 250_000
     seed: int = 17
@@ -46,7 +47,7 @@ class Options:
 
     def __post_init__(self) -> None:
         ranges = {
-            "beam_width": (1, 32), "initial_tie_ins": (1, 128), "max_tie_ins": (self.initial_tie_ins, 128), "neighbours": (2, 256), "refinements": (1, 6),
+            "beam_width": (1, 32), "initial_tie_ins": (1, 128), "max_tie_ins": (self.initial_tie_ins, 128), "neighbours": (2, 256), "refinements": (1, 6), "local_search": (0, 50),
             "expansions_per_route": (1, math.inf), "total_expansions": (1, 10_000_000), "sampling_step": (1, 1e9), "similarity_tolerance": (1e-9, 1e9),
             "max_overlap": (1e-9, 1), "max_deterioration": (0, 1e9),
         }
@@ -313,6 +314,43 @@ class Planner:
                     return True
         return False
 
+    def detach(self, n: Network, key: str) -> Network:
+        """The network without a consumer: its pipe goes, with nodes that then lead nowhere; a junction with one way on is dissolved."""
+        pieces, end = list(n.pieces), key
+        while True:
+            piece = next(p for p in pieces if p.end == end)
+            pieces.remove(piece)
+            end = piece.start
+            if any(p.start == end for p in pieces) or end in n.roots or end in self.by_key:
+                break
+        below, above = [p for p in pieces if p.start == end], [p for p in pieces if p.end == end]
+        if len(below) == 1 and above and end not in self.by_key:
+            pieces = [p for p in pieces if p is not below[0] and p is not above[0]] + [Piece(above[0].start, below[0].end, [*above[0].line, *below[0].line[1:]])]
+        used = {k for p in pieces for k in (p.start, p.end)}
+        return replace(n, roots={k: r for k, r in n.roots.items() if k in used}, points={k: p for k, p in n.points.items() if k in used}, pieces=pieces, served=n.served - {key})
+
+    def nudged(self, n: Network, step: float) -> Iterator[Network]:
+        """The network with one junction moved by a step, for each junction and direction."""
+        for node, (x, y) in n.points.items():
+            if not node.startswith("junction:"):
+                continue
+            for dx, dy in ((step, 0.0), (-step, 0.0), (0.0, step), (0.0, -step)):
+                p = (x + dx, y + dy)
+                name = f"junction:{math.floor(p[0] * 1000 + 0.5)}:{math.floor(p[1] * 1000 + 0.5)}"
+                moved = [Piece(name if q.start == node else q.start, name if q.end == node else q.end, [p if q.start == node else q.line[0], *q.line[1:-1], p if q.end == node else q.line[-1]]) for q in n.pieces]
+                yield replace(n, points={name if k == node else k: p if k == node else v for k, v in n.points.items()}, pieces=moved)
+
+    def improve(self, n: Network, profile: str) -> Network:
+        """Better networks nearby, until there is none: consumers connected anew (another root, branch or way) and junctions moved."""
+        for i in range(self.options.local_search):
+            near = [x for key in sorted(n.served) for x in self.attach(self.detach(n, key), self.by_key[key], profile)]
+            near += [x for m in self.nudged(n, 5.0 / 2**i) if (x := self.evaluate(m)) and not self.overlaps(x)]
+            best = min(near, key=lambda x: (-len(x.served), x.score, x.signature()), default=n)
+            if (-len(best.served), best.score) >= (-len(n.served), n.score - 1e-12):
+                break
+            n = best
+        return n
+
     def run(self) -> list[Network]:
         import random
 
@@ -339,6 +377,13 @@ class Planner:
                     distinct = {x.signature(): x for x in grown}
                     beam = [x for _, x in sorted(distinct.items(), key=lambda kv: (-len(kv[1].served), weigh(kv[1]), kv[0]))[: o.beam_width]]
                 pool |= {x.signature(): x for x in beam if x.pieces}
+                if beam[0].pieces:
+                    better = self.improve(beam[0], profile)
+                    pool[better.signature()] = better
+        for n in sorted(pool.values(), key=lambda n: (-len(n.served), n.score, n.signature()))[: o.beam_width]:
+            for target in t.targets:  # what no order has connected is tried once more
+                if target.key not in n.served:
+                    pool |= {x.signature(): x for x in self.attach(n, target, "balanced")}
         return self.select(list(pool.values()))
 
     def select(self, pool: list[Network]) -> list[Network]:

@@ -68,11 +68,11 @@ def sql(*names: str) -> str:
 def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest on customer keys: 8 to 15 are roots, k hangs below k // 2; node, up, length, flow of leaves."""
     c = scene(spark, sf_dir, "consumer").where("ckey >= 8")
-    top = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("top"))
-    edges = c.where("ckey >= 16").crossJoin(F.broadcast(top))  # one row
+    top = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("top")).first()["top"]
+    edges = c.where("ckey >= 16")
     return edges.select(
         F.col("ckey").alias("node"), F.expr("ckey div 2").alias("up"), F.expr("CAST(10 + ckey * 13 % 150 AS DOUBLE)").alias("length"),
-        F.when(F.col("ckey") * 2 > F.col("top"), F.col("flow")).otherwise(0.0).alias("leaf_flow"),
+        F.when(F.col("ckey") * 2 > F.lit(top), F.col("flow")).otherwise(0.0).alias("leaf_flow"),
     )
 
 

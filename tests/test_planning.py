@@ -12,7 +12,7 @@ from pipewright.functions.planar import Shape, band, line_length
 from pipewright.operators.routing import search
 from pipewright.operators.rules import check
 from pipewright.operators.sizing import Edge, flows, size_tree
-from pipewright.plans.planner import Options, load, plan, plan_rows, verify
+from pipewright.plans.planner import Options, Planner, load, plan, plan_rows, verify
 
 X, Y = 414000.0, 6179000.0
 
@@ -64,6 +64,20 @@ def test_shared_stem_is_cheaper_than_two_pipes():
     assert s["pending"] == "[]" and s["cost"] < 2 * alone and s["length"] < 2 * math.hypot(10, 120)
 
 
+def test_local_search_never_worsens():
+    targets = [feature(f"s:t{i}", "oks_connection_point", "Point", at(x, y), flow=15.0) for i, (x, y) in enumerate(((-25, 90), (20, 130), (35, 60)))]
+    before, after = (summaries(plan_rows([PIPE, CHAMBER, *targets], "a", Options(beam_width=1, refinements=1, local_search=n)))[0] for n in (0, 3))
+    assert after["pending"] == before["pending"] == "[]" and after["score"] <= before["score"] + 1e-12
+
+
+def test_detaching_dissolves_junctions():
+    targets = [feature(f"s:t{i}", "oks_connection_point", "Point", at(x, 120), flow=20.0) for i, x in enumerate((-10, 10))]
+    p = Planner(load([PIPE, CHAMBER, *targets]), Options(beam_width=2, local_search=0))
+    n = next(n for n in p.run() if any(k.startswith("junction:") for k in n.points))
+    left = p.evaluate(p.detach(n, "s:t1"))
+    assert left and left.served == {"s:t0"} and len(left.pieces) == 1 and set(left.points) == {left.pieces[0].start, "s:t0"}
+
+
 def test_road_crossings():
     road = Shape("r", "road", [[box(-50.0, 40.0, 50.0, 60.0)]])
     assert check(STRAIGHT, 3, [road]).weighted == pytest.approx(115.6)
