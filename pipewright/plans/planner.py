@@ -56,6 +56,18 @@ class Options:
                 raise ValueError(f"{name} must be between {low} and {high}")
 
 
+@dataclass(frozen=True)
+class RoadData:
+    """Whether road data had to be loaded, whether they were, and the box in metres (x1, y1, x2, y2) that they cover."""
+
+    required: bool = False
+    status: str = "disabled"
+    box: tuple[float, float, float, float] | None = None
+
+
+COVER, NEED = 12.0, 15.0  # m around a route that road data must cover; and that are asked for beyond it
+
+
 @dataclass
 class Target:
     key: str
@@ -72,14 +84,31 @@ class Territory:
     unknown_width: set[str] = field(default_factory=set)
     diagnostics: list[tuple[str, str]] = field(default_factory=list)  # code, object
     invalid: bool = False
+    roads: RoadData = field(default_factory=RoadData)
+    needed: tuple[float, float, float, float] | None = None
+
+    def covered(self, line: list[Point]) -> bool:
+        """Whether road data cover a route; if not, the box that would have to be covered grows by it."""
+        if not self.roads.required or self.roads.box is None:
+            return True
+        xs, ys = [p[0] for p in line], [p[1] for p in line]
+        x1, y1, x2, y2 = self.roads.box
+        if min(xs) - COVER >= x1 and min(ys) - COVER >= y1 and max(xs) + COVER <= x2 and max(ys) + COVER <= y2:
+            return True
+        old = self.needed or (math.inf, math.inf, -math.inf, -math.inf)
+        self.needed = (min(old[0], min(xs) - NEED), min(old[1], min(ys) - NEED), max(old[2], max(xs) + NEED), max(old[3], max(ys) + NEED))
+        return False
 
 
-def load(rows: Iterator[dict]) -> Territory:
+def load(rows: Iterator[dict], roads: RoadData | None = None) -> Territory:
     """Typed layers of features(id_key, object_type, restriction_type, flow, diameter, width, shape, coords); coords is JSON in metres.
 
     An existing pipe is an obstacle as well. Roads and tram tracks drawn as lines become bands of their
     width. A kind that planning doesn't know makes the territory invalid; a bad value raises."""
-    t = Territory()
+    t = Territory(roads=roads or RoadData())
+    if t.roads.required and (t.roads.status != "ready" or t.roads.box is None):
+        t.diagnostics.append(("OSM_DATA_UNAVAILABLE" if t.roads.status != "ready" else "OSM_COVERAGE_INCOMPLETE", ""))
+        t.invalid = True
     seen: set[str] = set()
     for r in sorted(rows, key=lambda r: r["id_key"]):
         if r["id_key"] in seen:
@@ -221,7 +250,7 @@ class Planner:
         for _ in range(5):  # weighted lengths depend on clearances, and those on sizes
             for e in edges:
                 judged = self.judge(n, e.parent, e.node, lines[e.node], sizes.get(e.node, self.least(e.flow, e.length)))
-                if not judged.legal:
+                if not judged.legal or not self.t.covered(lines[e.node]):
                     return None
                 e.weighted = judged.weighted
             total, chosen = 0.0, {}
@@ -532,10 +561,10 @@ def verify(t: Territory, rows: list[dict]) -> list[str]:
     return list(dict.fromkeys(errors))
 
 
-def plan_rows(rows: Iterator[dict], territory: str, options: Options) -> list[dict]:
+def plan_rows(rows: Iterator[dict], territory: str, options: Options, roads: RoadData | None = None) -> list[dict]:
     """Exported rows of the variants of one territory, and its diagnostics."""
     blank = dict.fromkeys(c.split()[0] for c in PLAN_SCHEMA.split(", "))
-    t = load(rows)
+    t = load(rows, roads)
     planner = Planner(t, options)
     out: list[dict] = []
     variants = planner.run()
@@ -551,18 +580,20 @@ def plan_rows(rows: Iterator[dict], territory: str, options: Options) -> list[di
     for x in t.targets:
         if not t.invalid and any(x.key not in s for s in served or [frozenset()]) and t.pipes:
             t.diagnostics.append(("SEARCH_BUDGET_EXHAUSTED" if planner.spent >= options.total_expansions else "NO_ROUTE_FOUND_AFTER_REFINEMENT", x.key))
+    if t.needed:
+        t.diagnostics.append(("OSM_COVERAGE_INCOMPLETE", json.dumps(t.needed)))
     for code, key in dict.fromkeys(t.diagnostics):
         out.append(blank | {"territory": territory, "variant": 0, "id": key, "object_type": f"diagnostic:{code}"})
     return out
 
 
-def plan(features: DataFrame, options: Options | None = None) -> DataFrame:
+def plan(features: DataFrame, options: Options | None = None, roads: RoadData | None = None) -> DataFrame:
     """features(territory, id_key, object_type, restriction_type, flow, diameter, width, shape, coords) -> PLAN_SCHEMA rows."""
     options = options or Options()
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         clean = pdf.astype(object).where(pdf.notna(), None)
-        rows = plan_rows(clean.to_dict("records"), key[0], options)
+        rows = plan_rows(clean.to_dict("records"), key[0], options, roads)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PLAN_SCHEMA.split(", ")])
 
     return spread(features).groupBy("territory").applyInPandas(one, PLAN_SCHEMA)

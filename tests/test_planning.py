@@ -12,7 +12,7 @@ from pipewright.functions.planar import Shape, band, line_length
 from pipewright.operators.routing import search
 from pipewright.operators.rules import check
 from pipewright.operators.sizing import Edge, flows, size_tree
-from pipewright.plans.planner import Options, Planner, load, plan, plan_rows, verify
+from pipewright.plans.planner import Options, Planner, RoadData, load, plan, plan_rows, verify
 
 X, Y = 414000.0, 6179000.0
 
@@ -145,6 +145,16 @@ def test_bad_input_and_empty_plans():
         Options(beam_width=0)
 
 
+def test_road_data_that_are_required():
+    codes = lambda roads: {r["object_type"] for r in plan_rows(BASIC, "a", Options(), roads) if r["variant"] == 0}
+    box = (*at(-50, -50), *at(50, 150))
+    assert codes(RoadData(True, "error", box)) == {"diagnostic:OSM_DATA_UNAVAILABLE"}
+    assert codes(RoadData(True, "ready", None)) == {"diagnostic:OSM_COVERAGE_INCOMPLETE"}
+    assert codes(RoadData(True, "ready", box)) == set()
+    short = plan_rows(BASIC, "a", Options(), RoadData(True, "ready", (*at(-50, -50), *at(50, 105))))
+    assert summaries(short) == [] and json.loads(next(r["id"] for r in short if r["object_type"] == "diagnostic:OSM_COVERAGE_INCOMPLETE"))[3] >= Y + 115
+
+
 def test_budget_ends_the_search():
     rows = plan_rows(BASIC, "a", Options(total_expansions=1, expansions_per_route=1))
     assert len(summaries(rows)) <= 1

@@ -86,6 +86,16 @@ def test_plan_from_file_and_back(spark, folder, tmp_path):
     assert next(f for f in features if f["properties"]["object_type"] == "variant_summary")["geometry"] is None
 
 
+def test_requests(spark, folder):
+    from pipewright import api
+
+    with pytest.raises(ValueError):
+        api.plan(spark, str(folder / "good.geojson"), "no id")
+    assert api.plan(spark, str(folder / "good.geojson"), "request-0001").where("object_type = 'variant_summary'").count() >= 1
+    assert api.cancel(spark, "request-0002") is False
+    assert api.inspect(spark, str(folder / "good.geojson")).first()["error"] is None
+
+
 def test_projection(spark):
     df = spark.createDataFrame([(37.6, 55.75, 412125.4592, 6179143.3236), (37.602, 55.751, 412253.2299, 6179252.0703), (39.0, 0.0, 500000.0, 0.0)], "lon double, lat double, x double, y double")
     x, y = geo.utm(F.col("lon"), F.col("lat"))
