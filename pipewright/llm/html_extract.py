@@ -21,13 +21,14 @@ from pyspark.sql import types as T
 from pipewright.llm._arrow import slices, with_columns
 from pipewright.llm._tables import table
 
-#: Limits in characters, and shares of words or characters.
+#: Limits in characters, and shares of words or characters. The stop words below are few, so their
+#: density in running text is lower than with full lists.
 SHORT, LONG = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_LOW, STOP_HIGH = 0.10, 0.12
 MOST_LINKED = 0.2
 MOST_LINKED_IN_ARTICLE = 0.5
 
-#: Frequent function words of English, German, French and Spanish.
+#: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i if in into is it its
     just like more most my no not of on one only or other our out she so some than that the their them then there these they this to up was we were
