@@ -27,7 +27,7 @@ from pipewright.llm._arrow import slices
 from pipewright.llm._tables import cut, table
 
 CAPACITY = 2048
-MAX_REMEMBERED = 500_000
+MAX_REMEMBERED = 250_000
 
 
 class _Odd(Exception):

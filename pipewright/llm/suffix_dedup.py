@@ -34,7 +34,7 @@ from pipewright.llm._arrow import slices
 from pipewright.llm._tables import cut, table
 
 LENGTH, GRAM = 200, 40
-MAX_COLLECTION = 50_000
+MAX_COLLECTION = 20_000
 HOT_STRINGS = 20_000
 PORTION = 1 << 20  # bytes of text hashed at once; 24 bits hold a place in it
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -140,11 +140,13 @@ class Collection:
         n = len(strings)
         self.begin = self.left - np.array(before, dtype=np.int64)
         sizes = np.array([len(s) for s in strings], dtype=np.int64)
-        flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        row = np.repeat(np.arange(n), sizes)
-        column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes - self.begin, sizes)
         self.columns = np.full((self.width, n), _NONE, dtype=np.uint8)
-        self.columns[column, row] = flat
+        for at in range(0, n, 2048):  # the arrays of places are wide: some strings at a time
+            own, begin = sizes[at : at + 2048], self.begin[at : at + 2048]
+            flat = np.frombuffer(b"".join(strings[at : at + 2048]), dtype=np.uint8)
+            row = np.repeat(np.arange(at, at + len(own)), own)
+            column = np.arange(len(flat)) - np.repeat(np.cumsum(own) - own - begin, own)
+            self.columns[column, row] = flat
         self.last_start = self.begin + sizes - length
 
     def rounds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -203,7 +205,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     overlapping, whose every window of ``length`` bytes also starts elsewhere in docs. Rows without such are absent."""
     keyed = _row_keys(docs.select(id_column, F.col(text).alias("text")), id_column, "text").select("k1", "k2", "text").where(F.octet_length("text") >= length)
     strings = _strings(keyed, length, k)
-    again = (
+    again = cut(  # joined from a table, not below its aggregation: only so can AQE split hot anchors
         strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
         .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
     )
