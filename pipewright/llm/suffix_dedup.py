@@ -107,8 +107,11 @@ def portions(values: list[bytes], length: int) -> Iterator[tuple[bytes, list[tup
 
 
 def _strings(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """k1, k2 (of a row), first and last window start, anchor place, anchor hash, digest: one row for each string."""
-    schema = "k1 long, k2 long, first int, last int, place int, anchor long, digest long"
+    """k1, k2 (of a row), first and last window start, anchor place, anchor hash, digest: one row for each string.
+
+    Where a text repeats itself with a short period, equal strings follow on each other; such a run
+    is one row: ``times`` strings, of which the first is given, with window starts up to ``until``."""
+    schema = "k1 long, k2 long, first int, last int, place int, anchor long, digest long, until int, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -120,12 +123,16 @@ def _strings(docs: DataFrame, length: int, k: int) -> DataFrame:
                 rows, offsets, begins = (np.array(x, dtype=np.int64) for x in zip(*where, strict=True))
                 first, last, place, anchor = anchored(np.frombuffer(data, dtype=np.uint8), np.append(begins, len(data)), length, k)
                 view = memoryview(data)
-                digest = [xxh3_64_intdigest(view[a:b], seed=c) for a, b, c in zip(first.tolist(), (last + length).tolist(), (place - first).tolist(), strict=True)]
+                digest = np.array([xxh3_64_intdigest(view[a:b], seed=c) for a, b, c in zip(first.tolist(), (last + length).tolist(), (place - first).tolist(), strict=True)], dtype=np.uint64)
+                goes_on = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1]) & (first[1:] == last[:-1] + 1)
+                begin = np.flatnonzero(np.concatenate(([True], ~goes_on))) if len(first) else np.empty(0, dtype=np.int64)
+                end = np.append(begin[1:], len(first))[: len(begin)]
+                first, last, place, anchor, digest, until = first[begin], last[begin], place[begin], anchor[begin], digest[begin], last[end - 1]
                 doc = np.searchsorted(begins, first, side="right") - 1
                 shift, row = offsets[doc] - begins[doc], rows[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[row]), pa.array(k2[row]), *(pa.array((x + shift).astype(np.int32)) for x in (first, last, place)), pa.array(anchor.view(np.int64)), pa.array(np.array(digest, dtype=np.uint64).view(np.int64))],
-                    names=["k1", "k2", "first", "last", "place", "anchor", "digest"],
+                    [pa.array(k1[row]), pa.array(k2[row]), *(pa.array((x + shift).astype(np.int32)) for x in (first, last, place)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array((until + shift).astype(np.int32)), pa.array(end - begin)],
+                    names=["k1", "k2", "first", "last", "place", "anchor", "digest", "until", "times"],
                 )
 
     return docs.select("k1", "k2", "text").where(F.octet_length("text") >= length).mapInArrow(run, schema)
@@ -206,14 +213,14 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     keyed = _row_keys(docs.select(id_column, F.col(text).alias("text")), id_column, "text").select("k1", "k2", "text").where(F.octet_length("text") >= length)
     strings = _strings(keyed, length, k)
     again = cut(  # joined from a table, not below its aggregation: only so can AQE split hot anchors
-        strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        strings.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
         .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
     )
     hits = cut(strings.join(again, "anchor"))
-    plain = hits.where("NOT mixed").select("k1", "k2", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
+    plain = hits.where("NOT mixed OR times > 1").select("k1", "k2", F.col("first").alias("from"), (F.col("until") + length).alias("to"))
     mixed = hits.where("mixed")
     different = cut(
-        mixed.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "last", "place")).alias("one"))
+        mixed.groupBy("anchor", "digest").agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "first", "last", "place")).alias("one"))
         .select("anchor", "digest", "n", "one.*")
     )
     hot = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_strings).select("anchor")
@@ -223,7 +230,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     cutout = _cutouts(texts.join(wanted, ["k1", "k2"]), length)
     runs = _rounds(cutout.repartition("anchor").sortWithinPartitions("anchor"), length, k)
     found = (
-        mixed.join(runs, ["anchor", "digest"])
+        mixed.where("times = 1").join(runs, ["anchor", "digest"])
         .select("k1", "k2", (F.col("first") + F.col("low")).alias("from"), (F.col("first") + F.col("high") + length).alias("to"))
     )
     spans = plain.unionByName(found)
@@ -273,6 +280,8 @@ def _rounds(cutouts: DataFrame, length: int, k: int) -> DataFrame:
         anchor, digest = np.array(anchor, dtype=np.int64), np.array(digest, dtype=np.int64)
         string, low, high = Collection(list(strings), list(before), length, k).repeated()
         # a string that occurs several times repeats whole
+        once = np.array(n)[string] == 1
+        string, low, high = string[once], low[once], high[once]
         many = np.flatnonzero(np.array(n) > 1)
         whole = np.array([len(strings[i]) - length for i in many], dtype=np.int64)
         string, low, high = np.concatenate((string, many)), np.concatenate((low, np.zeros(len(many), dtype=np.int64))), np.concatenate((high, whole))
