@@ -14,8 +14,10 @@ offer the pairs between those, best first, until no pair is left whose estimate
 threshold: so links that only show through a third text, or not at all, are tested as well.
 
 Scale: rows are shuffled as 64-bit band hashes; a bucket with more than ``block`` nodes is dealt over
-blocks (by a hash that differs from band to band) that all hold its hub; only texts of nodes in shared
-buckets are read again, compressed; the joins that carry texts are equi-joins that AQE splits.
+blocks that all hold its hub for the first offers, and for those between components over a grid of
+cells, in which each block meets each other; blocks of the bucket's largest component don't meet among
+themselves. Only texts of nodes in shared buckets are read again, compressed; the joins that carry
+texts are equi-joins that AQE splits.
 """
 
 from __future__ import annotations
@@ -124,17 +126,26 @@ def unpacked(packed: list[bytes]) -> np.ndarray:
     return np.concatenate([data >> shift & 3 for shift in (0, 2, 4, 6)], axis=1)
 
 
-def estimates(slots: np.ndarray, sizes: np.ndarray, percent: int = 0) -> np.ndarray:
-    """Estimated similarity of each with each: the share of equal slots, less the chance of 1 in 4; -1 where the sizes of the sets rule a link out."""
-    out = np.empty((len(slots), len(slots)), dtype=np.float32)
-    for i in range(len(slots)):
-        out[i] = (slots == slots[i]).mean(axis=1)
+def _signs(slots: np.ndarray) -> np.ndarray:
+    """Three signs for each slot of two bits: their products with another slot's sum to 3 if both are equal and to -1 if not."""
+    high, low = (np.array(x, dtype=np.float32)[slots] for x in ((-1, -1, 1, 1), (-1, 1, -1, 1)))
+    return np.concatenate([high, low, high * low], axis=1)
+
+
+def estimates(slots: np.ndarray, sizes: np.ndarray, percent: int = 0, split: int = 0) -> np.ndarray:
+    """Estimated similarity of each with each, or of the first ``split`` with each of the rest: the share of
+    equal slots, less the chance of 1 in 4; -1 where the sizes of the sets rule a link out."""
+    signs, sizes = _signs(slots), sizes.astype(np.float32)
+    n, start = split or len(slots), split
+    out = signs[:n] @ signs[start:].T
+    out += slots.shape[1]
+    out /= 4 * slots.shape[1]
     out -= 0.25
     out /= 0.75
-    sizes = sizes.astype(np.float32)
-    apart = 100 * np.minimum(sizes[:, None], sizes[None, :]) < percent * np.maximum(sizes[:, None], sizes[None, :])
-    out[apart] = -1
-    np.fill_diagonal(out, -1)
+    p, q = sizes[:n, None], sizes[None, start:]
+    out[100 * np.minimum(p, q) < percent * np.maximum(p, q)] = -1
+    if not split:
+        np.fill_diagonal(out, -1)
     return out
 
 
@@ -160,14 +171,16 @@ def offered(near: np.ndarray, best: int = BEST) -> set[tuple[int, int]]:
     return links
 
 
-def between(near: np.ndarray, labels: list, least: float, most: int) -> tuple[list[tuple[int, int]], bool]:
+def between(near: np.ndarray, labels: list, least: float, most: int, split: int = 0) -> tuple[list[tuple[int, int]], bool]:
     """The ``most`` best-looking pairs of each two components with an estimate of ``least`` or more; whether more are left."""
     codes = np.unique(np.array([hash(x) for x in labels]), return_inverse=True)[1]
-    i, j = np.nonzero(np.triu((near >= least) & (codes[:, None] != codes[None, :]), 1))
+    fit = (near >= least) & (codes[: split or len(codes), None] != codes[None, split:])
+    i, j = np.nonzero(fit if split else np.triu(fit, 1))
     if not len(i):
         return [], False
+    value, j = near[i, j], j + split
     pair = np.minimum(codes[i], codes[j]).astype(np.int64) * len(labels) + np.maximum(codes[i], codes[j])
-    order = np.lexsort((-near[i, j], pair))
+    order = np.lexsort((-value, pair))
     i, j, pair = i[order], j[order], pair[order]
     first = np.concatenate(([True], pair[1:] != pair[:-1]))
     rank = np.arange(len(pair)) - np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -175,35 +188,53 @@ def between(near: np.ndarray, labels: list, least: float, most: int) -> tuple[li
     return list(zip(i[take].tolist(), j[take].tolist(), strict=True)), bool((~take).any())
 
 
+def _grid(members: DataFrame, block: int) -> DataFrame:
+    """Rows of divided buckets that hold several components, once for each cell (low, high) of blocks that they meet in.
+
+    The largest component of a bucket has blocks of its own, which meet those of the rest alone."""
+    parts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
+    ends = parts.where("all > top.c").select(
+        "bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / block).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.c")) / block).cast("int").alias("r")
+    )
+    dealt, inside = F.xxhash64("node", "bucket"), F.col("label") == F.col("top")
+    placed = members.drop("block").join(ends, "bucket").withColumn("block", F.when(inside, F.pmod(dealt, "g")).otherwise(F.col("g") + F.pmod(dealt, "r")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("g")).otherwise(0), F.expr("g + r - 1"))))
+    return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
 def _offers(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """members(bucket, block, node, n, sketch, whole[, label]), dealt by bucket -> a, b (nodes), more (whether offers were held back)."""
-    columns = ["bucket", "block", "node", "n", "sketch", "whole"] + (["label"] if most else [])
+    """members(bucket, low, high, block, node, n, sketch, whole[, label]), dealt by bucket and cell -> a, b (nodes), more (whether offers were held back).
+
+    Where low < high, block low is compared with block high; else the block with itself."""
+    columns = ["bucket", "low", "high", "block", "node", "n", "sketch", "whole"] + (["label"] if most else [])
 
     def work(rows: list[tuple]) -> Iterator[tuple[bytes, bytes, bool]]:
-        rows = list({r[2]: r for r in rows}.values())
-        if len(rows) < 2:
+        rows = sorted({r[4]: r for r in rows}.values(), key=itemgetter(3))
+        bucket, low, high = rows[0][:3]
+        split = sum(r[3] == low for r in rows) if low < high else 0
+        if len(rows) < 2 or low < high and split in (0, len(rows)):
             return
-        near = estimates(unpacked([r[4] for r in rows]), np.array([r[3] for r in rows]), percent)
+        near = estimates(unpacked([r[6] for r in rows]), np.array([r[5] for r in rows]), percent, split)
         if most is None:
             links, more = list(offered(near)), False
         else:
-            links, more = between(near, [r[6] for r in rows], percent / 100 - MARGIN, most)
-            # what meets in several undivided buckets is offered in the first of them
-            whole = np.array([r[5] for r in rows], dtype=np.int64)
+            links, more = between(near, [r[8] for r in rows], percent / 100 - MARGIN, most, split)
+            # what meets in several buckets is offered in the first of them
+            whole = np.array([r[7] for r in rows], dtype=np.int64)
             i, j = (np.array(x, dtype=np.int64) for x in (zip(*links, strict=True) if links else ((), ())))
             common = (whole[i] == whole[j]) & (whole[i] != 0)
-            here = ~common.any(axis=1) | (whole[i, common.argmax(axis=1)] == rows[0][0])
+            here = ~common.any(axis=1) | (whole[i, common.argmax(axis=1)] == bucket)
             if more and not here.any():
                 here[0] = True  # someone has to tell that offers were held back
             links = [x for x, h in zip(links, here, strict=True) if h]
         for i, j in links:
-            a, b = rows[i][2], rows[j][2]
+            a, b = rows[i][4], rows[j][4]
             yield (a, b, more) if a < b else (b, a, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[bytes, bytes], bool] = {}
         rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
-        for _, group in groupby(rows, itemgetter(0, 1)):
+        for _, group in groupby(rows, itemgetter(0, 1, 2)):
             for a, b, more in work(list(group)):
                 seen[a, b] = seen.get((a, b), False) or more
             if len(seen) > 50_000:
@@ -211,7 +242,7 @@ def _offers(members: DataFrame, percent: int, most: int | None) -> DataFrame:
                 seen = {}
         yield from _packed(seen)
 
-    spread = members.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    spread = members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return spread.select(*columns).mapInArrow(run, "a binary, b binary, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
@@ -317,24 +348,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     candidates = met.select("node").distinct()
     blocks = F.ceil(F.col("n") / block).cast("int")
     hub = met.where(F.col("n") > block).groupBy("bucket").agg(F.min("node").alias("node"), F.max("n").alias("n"))
-    dealt = met.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).select("bucket", "block", "node").unionByName(
-        hub.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node")
+    divided = (F.col("n") > block).alias("divided")
+    dealt = met.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).select("bucket", "block", "node", divided, F.lit(False).alias("lent")).unionByName(
+        hub.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", divided, F.lit(True).alias("lent"))
     )
     texts = cut(_texts(source, sets.join(candidates, "node", "left_semi"), words))
-    # of each node the buckets that aren't divided, in the order of bands; 0 for others (at most one entry a band)
-    listed = met.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", F.when(F.col("n") <= block, F.col("bucket")).otherwise(0).alias("bucket")))).alias("m"))
+    # of each node the buckets that it shares, in the order of bands; 0 for others (at most one entry a band)
+    listed = met.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("m"))
     places = F.transform(F.sequence(F.lit(0), F.lit(slots // rows - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
     known = texts.select("node", "n", "sketch").join(listed.select("node", places.alias("whole")), "node")
-    members = cut(dealt.join(known, "node").select("bucket", "block", "node", "n", "sketch", "whole"))
+    members = cut(dealt.join(known, "node").select("bucket", "block", "node", "n", "sketch", "whole", "divided", "lent"))
+    alone = {"low": F.col("block"), "high": F.col("block")}
 
-    offers = cut(_offers(members, percent, None).select("a", "b"))
+    offers = cut(_offers(members.withColumns(alone), percent, None).select("a", "b"))
     links = cut(_verified(offers, texts, words, percent))
     roots = components(links)
     most = 4
     while True:  # pairs between components that are still apart
-        labels = members.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        apart = labels.groupBy("bucket", "block").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
-        made = cut(_offers(labels.join(apart, ["bucket", "block"], "left_semi"), percent, most))
+        labels = members.where("NOT lent").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        entire = labels.where("NOT divided").withColumns(alone)
+        apart = entire.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
+        cells = entire.join(apart, "bucket", "left_semi").unionByName(_grid(labels.where("divided"), block), allowMissingColumns=True)
+        made = cut(_offers(cells, percent, most))
         more = not made.where("more").isEmpty()
         new = cut(made.join(offers, ["a", "b"], "left_anti").select("a", "b"))
         if not new.isEmpty():

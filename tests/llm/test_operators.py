@@ -430,6 +430,26 @@ def test_near_dedup_awkward(spark, clashing, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_pairs_apart_in_a_large_bucket(spark):
+    # copies of a template in pairs that change the same words to different ones: whatever two of them share, they share with all
+    r = random.Random(23)
+    base, rows = words(400, 700).split(), []
+    for _ in range(40):
+        places = r.sample(range(400), 6)
+        for _ in range(2):
+            copy = list(base)
+            for i in places:
+                copy[i] = "x" + str(r.random())
+            rows.append(" ".join(copy))
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(df, block=4).collect()}
+    want = brute_components({i: shingles(t) for i, t in rows}, 85)
+    assert len(set(want.values())) > 30
+    assert got == want
+
+
 def test_superminhash_estimates():
     r = np.random.default_rng(1)
     for n, share in ((3, 0.5), (40, 0.8), (900, 0.6)):
