@@ -57,7 +57,9 @@ OUT_WORDS = frozenset(
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW_TAGS)})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    # a self-closed drawing or formula; a slash that ends an unquoted value closes nothing
+    r"""|<(?:svg|math)(?=[\s/])(?>"[^"]*"|'[^']*'|=\s*[^\s"'>]+|[^>"'/]|/(?!>))*+/>"""
+    rf"|<({'|'.join(RAW_TAGS)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",

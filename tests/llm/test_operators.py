@@ -489,6 +489,14 @@ def test_main_text():
     assert html_extract.main_text("<article><p title='x>y'>ok</p><!-- open") == "ok"
 
 
+@pytest.mark.parametrize("tag", [
+    '<svg-icon name="x"></svg-icon>', "<select-menu>", "<template-x></template-x>", "<iframe-resizer></iframe-resizer>", "<Math-Field/>",
+    '<svg class="i"/>', "<svg/>", "<MATH display='a>b' />", '<svg a="x/y" b=c /><svg><text>drawn</text></svg>', "<svg class=i/><text>drawn</text></svg>",
+])
+def test_main_text_goes_on_after_elements_without_content(tag):
+    assert html_extract.main_text(f"<article><p>one{tag} two</p><p>three</p></article>") == "one two\nthree"
+
+
 def test_op8_articles(spark):
     import html as H
 
