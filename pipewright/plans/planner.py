@@ -202,7 +202,7 @@ def roots(t: Territory, target: Target, options: Options, level: int = 0) -> lis
         for m in places:
             p = sub_line(line, m, m)[0] if 0 < m < total else line[0] if m <= 0 else line[-1]
             near = [(c, q) for c, q in t.chambers if dist(p, q) <= SNAP]
-            options_here = [Root(f"chamber:{c}", q, key, dn, True) for c, q in near] or [Root(f"pipe:{key}:{math.floor(p[0] * 1000 + 0.5)}:{math.floor(p[1] * 1000 + 0.5)}", p, key, dn, False)]
+            options_here = [Root(f"chamber:{c}", q, key, dn, True) for c, q in near] or [Root(f"pipe:{key}:{math.floor(p[0] * 1000 + 0.5)}:{math.floor(p[1] * 1000 + 0.5)}", p, key, max(i for _, _, i in _pipes_at(t, p)), False)]
             for r in options_here:
                 if _degree(t, r.point) < 4:
                     found.setdefault(r.key, (dist(r.point, target.point), r))
@@ -210,6 +210,11 @@ def roots(t: Territory, target: Target, options: Options, level: int = 0) -> lis
     return [r for _, r in sorted(found.values(), key=lambda x: (x[0], x[1].key))[:most]]
 
 
+def _pipes_at(t: Territory, p: Point) -> list[tuple[str, list[Point], int]]:
+    """The existing pipes that a point is on."""
+    return [x for x in t.pipes if min(dist(p, nearest_on(p, a, b)[1]) for a, b in zip(x[1], x[1][1:])) <= 0.01]
+
+
 def _degree(t: Territory, p: Point) -> int:
     """How many pipe ends meet in a point; a pipe that passes counts twice."""
     n = 0
@@ -508,14 +513,108 @@ def export(t: Territory, n: Network, territory: str, variant: int) -> list[dict]
     return [r | {"territory": territory, "variant": variant} for r in rows]
 
 
+def _near(a: float | None, b: float) -> bool:
+    return a is not None and abs(a - b) <= max(0.02, 1e-6 * abs(b))
+
+
+def _network_errors(t: Territory, rows: list[dict], pipes: list[dict]) -> list[str]:
+    """What is wrong with routes, sizes, degrees and chambers of a forest, rebuilt from exported rows."""
+    errors: list[str] = []
+    index = {p[0]: i for i, p in enumerate(cat.PIPES)}
+    if any(r["diameter"] not in index for r in pipes):
+        return ["UNKNOWN_DIAMETER"]
+    stated = {r["id"]: r for r in rows if r["object_type"] in ("heat_chamber", "technical_node")}
+    existing, targets = dict(t.chambers), {x.key: x.point for x in t.targets}
+    points = {k: tuple(json.loads(r["coords"])) for k, r in stated.items()} | existing | targets
+    chains = {r["end_node"]: [r] for r in pipes}  # by end: a pipe's rows from its start on
+    lines = {r["end_node"]: [tuple(p) for p in json.loads(r["coords"])] for r in pipes}
+    if any(len(x) < 2 for x in lines.values()):
+        return ["INVALID_GEOMETRY:ZERO_LENGTH"]
+    if any(dist(lines[r["end_node"]][0], points[r["start_node"]]) > 0.01 or dist(lines[r["end_node"]][-1], points[r["end_node"]]) > 0.01 for r in pipes):
+        errors.append("INVALID_NETWORK:GEOMETRY_ENDPOINT")
+    below: dict[str, list[str]] = {}
+    for r in pipes:
+        below.setdefault(r["start_node"], []).append(r["end_node"])
+    if set(stated) - set(below) - set(chains):
+        errors.append("INVALID_NETWORK:UNREACHABLE_COMPONENT")
+    for node in [k for k in chains if len(below.get(k, [])) == 1 and k not in targets]:  # cut where the tariff changes
+        end = below.pop(node)[0]
+        first, second, a, b = chains.pop(node), chains[end], lines.pop(node), lines[end]
+        if first[-1]["diameter"] != second[0]["diameter"] or not _near(first[-1]["flow"], second[0]["flow"]):
+            errors.append("CONSTANT_FLOW_CHAIN_CHANGED")
+        if node not in stated or stated[node]["object_type"] != "technical_node":
+            errors.append("UNNECESSARY_CHAMBER")
+        straight = dist(a[-1], nearest_on(a[-1], a[-2], b[1])[1]) <= 1e-6
+        chains[end], lines[end] = first + second, [*(a[:-1] if straight else a), *b[1:]]
+        start = first[0]["start_node"]
+        below[start] = [end if x == node else x for x in below[start]]
+    start = {end: chain[0]["start_node"] for end, chain in chains.items()}
+    size = {end: max(index[r["diameter"]] for r in chain) for end, chain in chains.items()}
+    tops = set(below) - set(chains)
+    for root in tops:
+        if root not in existing and not _pipes_at(t, points[root]):
+            errors.append("INVALID_NEW_TIE_IN")
+        if root not in existing and any(dist(q, points[root]) <= 10.0 and 0 < _degree(t, q) and _degree(t, q) + len(below.get(c, [])) < 4 for c, q in t.chambers):
+            errors.append("INVALID_NETWORK:CAMERA_WITHIN_10M")
+
+    def longest(end: str) -> float:
+        return line_length(lines[end]) + max((longest(x) for x in below.get(end, []) if size[x] == size[end]), default=0.0)
+
+    for end, chain in chains.items():
+        line, dn, top, offset = lines[end], size[end], start[end], 0.0
+        roots_here: list = [(points[top], key) for key, _, _ in _pipes_at(t, points[top])] if top in tops else []
+        tries = [check(line, dn, t.obstacles, targets.get(end), root, frozenset(t.unknown_width)) for root in roots_here or [None]]
+        judged = next((x for x in tries if x.legal), tries[0])
+        if not judged.legal:
+            errors.append(f"INVALID_GEOMETRY:{judged.code}")
+        elif not t.covered(line):
+            errors.append("INVALID_NETWORK:OSM_COVERAGE_INCOMPLETE")
+        else:
+            tariff = sweep(line_length(line), judged.intervals)
+            for r in chain:
+                to = offset + line_length([tuple(p) for p in json.loads(r["coords"])])
+                due = sum(max(0.0, min(to, high) - max(offset, low)) * k for low, high, k in tariff) * cat.PIPES[dn][3]
+                if not _near(r["cost"], due) and abs((r["cost"] or 0.0) - due) > 2e-6 * cat.PIPES[dn][3]:  # crossings are known to the micrometre
+                    errors.append("WRONG_SPECIAL_INTERVAL_PRICE")
+                offset = to
+        if chain[0]["flow"] > cat.PIPES[dn][1] + 1e-6:
+            errors.append("INVALID_NETWORK:FLOW_OR_CAPACITY")
+        if longest(end) > cat.PIPES[dn][2] + 1e-6:
+            errors.append("INVALID_NETWORK:CONTINUOUS_LENGTH")
+        if top in size and size[top] < dn:
+            errors.append("INVALID_NETWORK:DIAMETER_MONOTONICITY")
+        if end in targets and below.get(end):
+            errors.append("INVALID_NETWORK:TARGET_NOT_TERMINAL")
+    for node in set(below) | set(chains):
+        if len(below.get(node, [])) + (node in chains) + (_degree(t, points[node]) if node in tops else 0) > 4:
+            errors.append("INVALID_NETWORK:CHAMBER_DEGREE")
+        if node not in stated:
+            continue
+        chamber, r = node in tops or len(below.get(node, [])) > 1, stated[node]
+        if (r["object_type"] == "heat_chamber") != chamber:
+            errors.append("MISSING_BRANCH_CHAMBER")
+        elif chamber:
+            dn = max([size.get(node, 0), *(size[x] for x in below.get(node, [])), *(i for _, _, i in _pipes_at(t, points[node]) if node in tops)])
+            if r["diameter"] != cat.PIPES[dn][0]:
+                errors.append("WRONG_CHAMBER_DIAMETER")
+            if not _near(r["cost"], cat.chamber_price(cat.PIPES[dn][0])):
+                errors.append("WRONG_CHAMBER_PRICE")
+    network = Network(points=points, pieces=[Piece(start[end], end, lines[end]) for end in chains])
+    if Planner(t, Options()).overlaps(network):
+        errors.append("INVALID_NETWORK:CROSSING_WITHOUT_NODE")
+    return errors
+
+
 def verify(t: Territory, rows: list[dict]) -> list[str]:
-    """Everything that is wrong with an exported variant, recomputed from its rows and the territory."""
+    """Everything that is wrong with an exported variant, recomputed from its rows and the territory.
+
+    Pipes that don't make a forest of known nodes are told as that; their routes, sizes and chambers aren't judged."""
     errors: list[str] = []
     ids = [r["id"] for r in rows]
     if len(set(ids)) != len(ids):
         errors.append("DUPLICATE_ID")
     known = set(ids) | {k for k, _ in t.chambers} | {x.key for x in t.targets}
-    near = lambda a, b: a is not None and abs(a - b) <= max(0.02, 1e-6 * abs(b))
+    near = _near
     summary = next((r for r in rows if r["object_type"] == "variant_summary"), None)
     if summary is None:
         return [*errors, "MISSING_SUMMARY"]
@@ -529,11 +628,18 @@ def verify(t: Territory, rows: list[dict]) -> list[str]:
             errors.append("WRONG_LENGTH")
         if not near(r["cost"], line_length(line) * price.get(r["diameter"], 0.0) * r["special_coefficient"]):
             errors.append("WRONG_PIPE_PRICE")
+        if not 1 <= r["special_coefficient"] < math.inf:
+            errors.append("INVALID_COEFFICIENT")
         if (r["laying_method"] == "special") != (r["special_coefficient"] > 1):
             errors.append("WRONG_LAYING_METHOD")
         total += r["cost"]
         length += r["length"]
-    served = {x.key for x in t.targets} - set(json.loads(summary["pending"]))
+    pending = json.loads(summary["pending"])
+    if len(set(pending)) != len(pending):
+        errors.append("DUPLICATE_PENDING_TARGET")
+    if set(pending) - {x.key for x in t.targets}:
+        errors.append("UNKNOWN_PENDING_TARGET")
+    served = {x.key for x in t.targets} - set(pending)
     edges = [Edge(r["end_node"], r["start_node"], r["length"], 0.0) for r in pipes]
     try:
         flows(edges, {x.key: x.flow for x in t.targets if x.key in served})
@@ -541,12 +647,14 @@ def verify(t: Territory, rows: list[dict]) -> list[str]:
             errors.append("INVALID_FLOW")
     except ValueError:
         errors.append("INVALID_NETWORK:CYCLE")
-    if served - {e.node for e in edges}:
+    if served - {e.node for e in edges} or set(pending) & {e.node for e in edges}:
         errors.append("INVALID_NETWORK:TARGET_ACCOUNTING")
     ends = [e.node for e in edges]
     if len(set(ends)) != len(ends):
         errors.append("INVALID_NETWORK:ROOT_OR_CYCLE")
-    chambers = sum(r["cost"] for r in rows if r["object_type"] == "heat_chamber")
+    if not {"DUPLICATE_ID", "MISSING_NODE_REFERENCE", "INVALID_NETWORK:CYCLE", "INVALID_NETWORK:ROOT_OR_CYCLE"} & set(errors):
+        errors += _network_errors(t, rows, pipes)
+    chambers = sum(r["cost"] or 0.0 for r in rows if r["object_type"] == "heat_chamber")
     ties = sum(e.parent in {k for k, _ in t.chambers} for e in edges)
     penalty = sum(cat.PENDING_BASE + cat.PENDING_PER_FLOW * x.flow for x in t.targets if x.key not in served)
     cost = total + chambers + ties * cat.TIE_IN_PRICE

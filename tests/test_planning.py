@@ -169,6 +169,73 @@ def test_tampering_is_found(change, code):
     assert code in verify(t, changed)
 
 
+ROAD = feature("s:road", "restriction", "LineString", [at(-200, 50), at(200, 50)], restriction="road", width=8.0)
+FORK = [PIPE, feature("s:t", "oks_connection_point", "Point", at(-20, 120), flow=5.0), feature("s:u", "oks_connection_point", "Point", at(20, 120), flow=5.0)]
+
+
+def pipe_row(key, start, end, line, flow, dn=100, **more):
+    n = line_length([tuple(p) for p in line])
+    price = next(p[3] for p in cat.PIPES if p[0] == dn)
+    return {"id": key, "object_type": "heat_network", "start_node": start, "end_node": end, "flow": flow, "diameter": dn, "length": n, "laying_method": "base", "special_coefficient": 1.0, "cost": n * price, "coords": json.dumps(line)} | more
+
+
+def node_row(key, kind, p, dn=None):
+    return {"id": key, "object_type": kind, "diameter": dn, "cost": cat.chamber_price(dn) if dn else None, "coords": json.dumps(p)}
+
+
+def total_row(t, rows, pending=()):
+    """A summary that agrees with the other rows, whatever is wrong with them."""
+    pipes, chambers = [r for r in rows if r["object_type"] == "heat_network"], {k for k, _ in t.chambers}
+    ties, length = sum(r["start_node"] in chambers for r in pipes), sum(r["length"] for r in pipes)
+    cost = sum(r["cost"] or 0.0 for r in rows) + ties * cat.TIE_IN_PRICE
+    penalty = sum(cat.PENDING_BASE + cat.PENDING_PER_FLOW * x.flow for x in t.targets if x.key in pending)
+    score = cat.COST_SHARE * (cost + penalty) / cat.COST_UNIT + cat.LENGTH_SHARE * length / cat.LENGTH_UNIT
+    return {"id": "sum", "object_type": "variant_summary", "cost": cost, "length": length, "score": score, "pending": json.dumps(list(pending)), "tie_ins": ties, "penalty": penalty}
+
+
+def fork(dn=100, branch=100, top=100, kind="heat_chamber", mid=100):
+    a, b = at(0, 0), at(0, 60)
+    return [
+        node_row("a", "heat_chamber", a, top), node_row("b", kind, b, mid if kind == "heat_chamber" else None),
+        pipe_row("1", "a", "b", [a, b], 10.0, dn), pipe_row("2", "b", "s:t", [b, at(-20, 120)], 5.0, branch), pipe_row("3", "b", "s:u", [b, at(20, 120)], 5.0, branch),
+    ]
+
+
+HOUSE = feature("s:h", "restriction", "Polygon", [[at(x, y) for x, y in box(-5, 40, 5, 60)]], restriction="oks")
+
+
+@pytest.mark.parametrize(("features", "rows", "codes"), [
+    (FORK, fork(), set()),
+    (BASIC, [pipe_row("1", "s:chamber", "s:t", [at(0, 0), at(0, 100)], 20.0)], set()),
+    ([*BASIC, HOUSE], [pipe_row("1", "s:chamber", "s:t", [at(0, 0), at(0, 100)], 20.0)], {"INVALID_GEOMETRY:CLEARANCE:s:h"}),
+    ([*BASIC, ROAD], [pipe_row("1", "s:chamber", "s:t", [at(0, 0), at(0, 100)], 20.0)], {"WRONG_SPECIAL_INTERVAL_PRICE"}),
+    (BASIC, [pipe_row("1", "s:chamber", "s:t", [at(0, 0), at(0, 100)], 20.0, 50)], {"INVALID_NETWORK:FLOW_OR_CAPACITY"}),
+    (FORK, fork(kind="technical_node"), {"MISSING_BRANCH_CHAMBER"}),
+    (FORK, fork(branch=125, mid=125), {"INVALID_NETWORK:DIAMETER_MONOTONICITY"}),
+    (FORK, fork(top=125), {"WRONG_CHAMBER_DIAMETER"}),
+    (FORK, [r | {"cost": 1.0} if r["id"] == "b" else r for r in fork()], {"WRONG_CHAMBER_PRICE"}),
+    (FORK, [*fork(), node_row("z", "technical_node", at(5, 5))], {"INVALID_NETWORK:UNREACHABLE_COMPONENT"}),
+    (FORK, [r | {"coords": json.dumps(at(1, 60))} if r["id"] == "b" else r for r in fork()], {"INVALID_NETWORK:GEOMETRY_ENDPOINT", "INVALID_NETWORK:CROSSING_WITHOUT_NODE"}),
+    ([PIPE, feature("s:t", "oks_connection_point", "Point", at(0, 600), flow=1.0)], [node_row("a", "heat_chamber", at(0, 0), 100), pipe_row("1", "a", "s:t", [at(0, 0), at(0, 600)], 1.0)], {"INVALID_NETWORK:CONTINUOUS_LENGTH"}),
+    ([PIPE, BASIC[2]], [node_row("a", "heat_chamber", at(0, 20), 100), pipe_row("1", "a", "s:t", [at(0, 20), at(0, 100)], 20.0)], {"INVALID_NEW_TIE_IN"}),
+    (BASIC, [node_row("a", "heat_chamber", at(2, 0), 100), pipe_row("1", "a", "s:t", [at(2, 0), at(0, 100)], 20.0)], {"INVALID_NETWORK:CAMERA_WITHIN_10M"}),
+    (FORK, [node_row("a", "heat_chamber", at(-5, 0), 100), node_row("c", "heat_chamber", at(5, 0), 100), pipe_row("1", "a", "s:u", [at(-5, 0), at(20, 120)], 5.0), pipe_row("2", "c", "s:t", [at(5, 0), at(-20, 120)], 5.0)], {"INVALID_NETWORK:CROSSING_WITHOUT_NODE"}),
+])
+def test_rows_that_agree_but_break_a_rule(features, rows, codes):
+    t = load(features)
+    assert set(verify(t, [*rows, total_row(t, rows)])) == codes
+
+
+def test_pending_ids_are_known_and_single():
+    t, rows = load(BASIC), [pipe_row("1", "s:chamber", "s:t", [at(0, 0), at(0, 100)], 20.0)]
+    assert set(verify(t, [*rows, total_row(t, rows, ["x", "x"])])) == {"UNKNOWN_PENDING_TARGET", "DUPLICATE_PENDING_TARGET"}
+
+
+def test_planned_variants_pass_across_a_road():
+    rows = plan_rows([*FORK, ROAD], "a", Options())
+    assert summaries(rows) and not any(r["object_type"] == "diagnostic:OUTPUT_VALIDATION_FAILED" for r in rows)
+
+
 def test_plan_many_territories(spark):
     rows = [f | {"territory": t} for t in ("a", "b") for f in BASIC]
     schema = "territory string, id_key string, object_type string, restriction_type string, flow double, diameter int, width double, shape string, coords string"
