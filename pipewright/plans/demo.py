@@ -89,12 +89,12 @@ def route_detour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dp_assign(spark: SparkSession, d: str) -> DataFrame:
-    """Cheapest sizes of all pipes of the forest on customer keys, tree by tree below the third level."""
+    """Cheapest sizes of all pipes of the forest on customer keys, tree by tree from its roots."""
     from pipewright.operators import forest
 
     edges = heap(spark, d)
     links = edges.join(edges.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up", "length")
-    tops = edges.where("up >= 64 AND up < 128").select(F.col("node").alias("top"), F.col("up").alias("root"))
+    tops = edges.where("up >= 8 AND up < 16").select(F.col("node").alias("top"), F.col("up").alias("root"))
     member = forest.closure(links).join(tops, F.col("up") == F.col("top")).select("node", "root").unionByName(tops.select(F.col("top").alias("node"), "root"))
     flow = forest.subtree_sum(edges.select("node", "up", "length", "leaf_flow"), "leaf_flow")
     sized = edges.join(member, "node").join(flow, "node").select("root", "node", "up", "length", F.round("total", 6).alias("flow"))

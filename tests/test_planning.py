@@ -242,3 +242,11 @@ def test_plan_many_territories(spark):
     order = [c.split()[0] for c in schema.split(", ")]
     found = plan(spark.createDataFrame([[r[c] for c in order] for r in rows], schema)).where("object_type = 'variant_summary'").collect()
     assert sorted(r["territory"] for r in found) == ["a", "b"]
+
+
+def test_every_edge_of_the_forest_is_sized(spark):
+    from pipewright.plans.demo import dp_assign
+    from pipewright.plans.scenes import heap
+
+    sf = "/root/testdata/sf0.001"
+    assert sorted(r["node"] for r in dp_assign(spark, sf).collect()) == sorted(r["node"] for r in heap(spark, sf).collect())
