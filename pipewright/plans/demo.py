@@ -22,7 +22,7 @@ from pipewright.plans.scenes import KINDS, heap
 from pipewright.session import table
 from pipewright.sources import geojson
 
-DEMO_OPTIONS = Options(beam_width=2, initial_tie_ins=2, max_tie_ins=4, refinements=1, local_search=1, expansions_per_route=300, neighbours=12)
+DEMO_OPTIONS = Options()
 
 
 def territories(spark: SparkSession, d: str) -> DataFrame:

@@ -250,3 +250,9 @@ def test_every_edge_of_the_forest_is_sized(spark):
 
     sf = "/root/testdata/sf0.001"
     assert sorted(r["node"] for r in dp_assign(spark, sf).collect()) == sorted(r["node"] for r in heap(spark, sf).collect())
+
+
+def test_registered_plans_search_in_full():
+    from pipewright.plans.demo import DEMO_OPTIONS
+
+    assert DEMO_OPTIONS == Options()
