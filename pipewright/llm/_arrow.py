@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -25,3 +27,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
     arrays = [batch.column(k) for k in keep] + list(new.values())
     return pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
+
+
+def record_batch(columns: Iterable[Iterable], schema: pa.Schema) -> pa.RecordBatch:
+    """Python values column by column, in the types of the schema."""
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -6,23 +6,33 @@ its least value, so a slot filled in step q can only be changed in steps up to q
 the first step after which all its slots are filled: one step for long texts. Equal sets are one node;
 from there on, copies cost nothing.
 
-Nodes that agree in all slots of a band meet in a bucket. A bucket offers links, not all pairs: a
-maximum spanning tree of the estimated similarities, each node's best partners, and links to the
-bucket's hub. Offers are verified on the full sets of shingles, and union-find within partitions plus
-star contraction between them give components. Then the buckets that still hold several components
-offer the pairs between those, best first, until no pair is left whose estimate comes near the
-threshold: so links that only show through a third text, or not at all, are tested as well.
-
-Scale: rows are shuffled as 64-bit band hashes; a bucket with more than ``block`` nodes is dealt over
-blocks that all hold its hub for the first offers, and for those between components over a grid of
-cells, in which each block meets each other; blocks of the bucket's largest component don't meet among
-themselves. Only texts of nodes in shared buckets are read again, compressed; the joins that carry
-texts are equi-joins that AQE splits.
+Nodes that agree in all slots of a band meet in a bucket, and every two of a bucket whose similarity
+can reach the threshold are either found to be in one component or verified:
+
+* A set's bitmap holds, for each of its bits, whether an odd number of elements hash to it. Two sets
+  differ in at least as many elements as their bitmaps do in bits, so bitmaps and sizes bound the
+  similarity from above. That bound never rules out a link; only such pairs are passed over.
+* A bucket first offers a few links to each node: a maximum spanning tree of the bounds, each node's
+  best partners, and those of the bucket's hub. They are verified on the full sets, and union-find
+  within partitions plus star contraction between them give components.
+* Then buckets that still hold several components name their nodes with a partner in another component
+  that the bound allows (nodes, not pairs). The texts of those meet by bucket, and a task goes through
+  its pairs row by row, verifying what its own union-find has not joined yet.
+
+So beyond what the bands miss (``bands_for``), no link between different components is lost.
+
+Scale: rows are shuffled as 64-bit band hashes. A bucket with more than ``block`` nodes, or more than
+``BLOCK_SHINGLES`` shingles, is dealt over blocks that all hold its hub for the first offers, and for
+the rest over a grid of cells, in which each block meets each other; blocks of the bucket's largest
+component don't meet among themselves. Only texts of nodes in shared buckets are read again,
+compressed; the joins that carry texts are equi-joins that AQE splits. Components are named by the
+least id from the start, so no join has a component as its key, and the joins on a node or a hub
+spread their rows over salts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -31,15 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm._arrow import slices
+from pipewright.llm._arrow import arrow_schema, record_batch, slices
 from pipewright.llm._tables import cut, table
 from pipewright.llm._words import mixed, shingle_sets
 
 SLOTS = 100
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21  # 16 MB of hashes in a block
 BEST = 3
-SKETCH = 512  # slots of the longer signatures that estimates go by, two bits each
-MARGIN = 0.065  # of such an estimate, over three standard deviations at 0.8
+LEAST_BITS, MOST_BITS = 256, 1 << 14  # of a bitmap
+SALTS = 8  # of joins on a node or a hub
+SLICE = 64  # pairs of a row that are verified at once
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -115,145 +127,209 @@ def _signed(docs: DataFrame, words: int, slots: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def sketches(sets: list[np.ndarray], slots: int = SKETCH) -> list[bytes]:
-    """Two bits of each slot of a long signature, four slots to a byte."""
-    low = (mixed(superminhash(sets, slots)) & np.uint64(3)).astype(np.uint8).reshape(len(sets), -1, 4)
-    return [x.tobytes() for x in low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6]
-
-
-def unpacked(packed: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1)
-    return np.concatenate([data >> shift & 3 for shift in (0, 2, 4, 6)], axis=1)
-
-
-def _signs(slots: np.ndarray) -> np.ndarray:
-    """Three signs for each slot of two bits: their products with another slot's sum to 3 if both are equal and to -1 if not."""
-    high, low = (np.array(x, dtype=np.float32)[slots] for x in ((-1, -1, 1, 1), (-1, 1, -1, 1)))
-    return np.concatenate([high, low, high * low], axis=1)
-
-
-def estimates(slots: np.ndarray, sizes: np.ndarray, percent: int = 0, split: int = 0) -> np.ndarray:
-    """Estimated similarity of each with each, or of the first ``split`` with each of the rest: the share of
-    equal slots, less the chance of 1 in 4; -1 where the sizes of the sets rule a link out."""
-    signs, sizes = _signs(slots), sizes.astype(np.float32)
-    n, start = split or len(slots), split
-    out = signs[:n] @ signs[start:].T
-    out += slots.shape[1]
-    out /= 4 * slots.shape[1]
-    out -= 0.25
-    out /= 0.75
-    p, q = sizes[:n, None], sizes[None, start:]
-    out[100 * np.minimum(p, q) < percent * np.maximum(p, q)] = -1
+def bitmap(elements: np.ndarray) -> bytes:
+    """Parity of the number of elements at each bit; two to four bits for an element, within LEAST_BITS and MOST_BITS."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(elements) - 1).bit_length()))
+    count = np.bincount((mixed(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of half, a quarter ... of the bits: places are taken modulo the number of bits."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def bounds(bitmaps: list[bytes], sizes: np.ndarray, percent: int, split: int = 0) -> np.ndarray:
+    """Upper bounds of the similarity of each with each, or of the first ``split`` with each of the rest.
+
+    -1 where the bound rules a link at ``percent`` out: sets of p and q elements whose bitmaps differ in
+    h bits have at most (p + q - h) / 2 elements in common."""
+    n, start = split or len(sizes), split
+    out = np.full((n, len(sizes) - start), -1, dtype=np.float32)
+    widths = np.array([len(b) // 8 for b in bitmaps])
+    tables = {}
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        tables[w] = (at, np.frombuffer(b"".join(bitmaps[i] for i in at.tolist()), dtype="<u8").reshape(len(at), w))
+    for wl, (rows, left) in tables.items():
+        left, rows = left[rows < n], rows[rows < n]
+        for wr, (columns, right) in tables.items():
+            right, columns = right[columns >= start], columns[columns >= start]
+            width = min(wl, wr)
+            if not len(rows) or not len(columns):
+                continue
+            if 100 * min(sizes[rows].max(), sizes[columns].max()) < percent * max(sizes[rows].min(), sizes[columns].min()):
+                continue  # all too different in size
+            right = _folded(right, width)
+            step = max(1, (1 << 20) // (len(columns) * width))
+            for i in range(0, len(rows), step):
+                own = rows[i : i + step]
+                apart = np.bitwise_count(_folded(left[i : i + step], width)[:, None, :] ^ right[None]).sum(axis=2, dtype=np.int64)
+                p, q = sizes[own][:, None], sizes[columns][None]
+                fits = (100 * (p + q - apart) >= percent * (p + q + apart)) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q))
+                out[np.ix_(own, columns - start)] = np.where(fits, (p + q - apart) / (p + q + apart), -1)
     if not split:
         np.fill_diagonal(out, -1)
     return out
 
 
 def offered(near: np.ndarray, best: int = BEST) -> set[tuple[int, int]]:
-    """Links between the members of a block: at most 2 + best for each, a spanning tree among them."""
+    """Links that ``near`` allows (at least 0) between the members of a block: at most 2 + best for each, a spanning forest among them."""
     n = len(near)
-    links = set()
-    hub = int(near.sum(axis=1).argmax())
-    links.update((min(i, hub), max(i, hub)) for i in range(n) if i != hub)
+    links: set[tuple[int, int]] = set()
+    add = lambda i, others: links.update((min(i, j), max(i, j)) for j in others if near[i, j] >= 0)
+    hub = int((near >= 0).sum(axis=1).argmax())
+    add(hub, range(n))
     inside = np.zeros(n, dtype=bool)
     inside[hub] = True
     value, parent = near[hub].copy(), np.full(n, hub)
     for _ in range(n - 1):
         value[inside] = -2
         i = int(value.argmax())
-        links.add((min(i, int(parent[i])), max(i, int(parent[i]))))
+        add(i, (int(parent[i]),))
         inside[i] = True
         better = near[i] > value
         value[better], parent[better] = near[i][better], i
     k = min(best, n - 1)
     top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    links.update((min(i, int(j)), max(i, int(j))) for i in range(n) for j in top[i])
+    for i in range(n):
+        add(i, top[i].tolist())
     return links
 
 
-def between(near: np.ndarray, labels: list, least: float, most: int, split: int = 0) -> tuple[list[tuple[int, int]], bool]:
-    """The ``most`` best-looking pairs of each two components with an estimate of ``least`` or more; whether more are left."""
-    codes = np.unique(np.array([hash(x) for x in labels]), return_inverse=True)[1]
-    fit = (near >= least) & (codes[: split or len(codes), None] != codes[None, split:])
-    i, j = np.nonzero(fit if split else np.triu(fit, 1))
-    if not len(i):
-        return [], False
-    value, j = near[i, j], j + split
-    pair = np.minimum(codes[i], codes[j]).astype(np.int64) * len(labels) + np.maximum(codes[i], codes[j])
-    order = np.lexsort((-value, pair))
-    i, j, pair = i[order], j[order], pair[order]
-    first = np.concatenate(([True], pair[1:] != pair[:-1]))
-    rank = np.arange(len(pair)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-    take = rank < most
-    return list(zip(i[take].tolist(), j[take].tolist(), strict=True)), bool((~take).any())
+def partners(near: np.ndarray, labels: np.ndarray, whole: np.ndarray, bucket: int, split: int = 0) -> np.ndarray:
+    """Members with a partner of another label that ``near`` allows and that they don't meet in an earlier bucket."""
+    start, hit = split, np.zeros(len(labels), dtype=bool)
+    for i in range(len(near)):
+        at = np.flatnonzero((near[i] >= 0) & (labels[start:] != labels[i])) + start
+        if len(at):
+            common = (whole[at] == whole[i]) & (whole[i] != 0)
+            at = at[~common.any(axis=1) | (whole[i][common.argmax(axis=1)] == bucket)]
+            hit[at] = True
+            hit[i] |= len(at) > 0
+    return hit
+
+
+def linked(sets: list[np.ndarray], near: np.ndarray, labels: np.ndarray, percent: int, split: int = 0) -> Iterator[tuple[int, int]]:
+    """Verified links that join what has different labels: a spanning forest of the labels' links, best bounds first in each row."""
+    labels, sizes = labels.copy(), np.array([len(s) for s in sets], dtype=np.int64)
+    for i in range(len(near)):
+        row = near[i].copy()
+        if not split:
+            row[: i + 1] = -1
+        while True:
+            at = np.flatnonzero((row >= 0) & (labels[split:] != labels[i]))
+            if not len(at):
+                break
+            at = at[np.argsort(-row[at], kind="stable")[:SLICE]]
+            row[at] = -1
+            at += split
+            elements = np.concatenate([sets[j] for j in at.tolist()])
+            place = np.minimum(np.searchsorted(sets[i], elements), sizes[i] - 1)
+            common = np.add.reduceat((sets[i][place] == elements).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+            for j in at[100 * common >= percent * (sizes[i] + sizes[at] - common)].tolist():
+                if labels[i] != labels[j]:
+                    labels[labels == labels[j]] = labels[i]
+                    yield i, j
+
+
+def _by_cell(members: DataFrame, columns: list[str], work: Callable[[list[tuple], int], Iterator[tuple]], schema: str, heavy: str) -> DataFrame:
+    """What ``work`` makes of the rows of each (bucket, low, high), ordered by block, and of how many of them are of block low (0 if it is alone)."""
+    shape = arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        rows = (r for batch in slices(batches, heavy) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        for (_, low, high), group in groupby(rows, itemgetter(0, 1, 2)):
+            own = sorted({r[4]: r for r in group}.values(), key=itemgetter(3))
+            split = sum(r[3] == low for r in own) if low < high else 0
+            if len(own) < 2 or low < high and split in (0, len(own)):
+                continue
+            for found in work(own, split):
+                out.append(found)
+                if len(out) >= 20_000:
+                    yield record_batch(zip(*out, strict=True), shape)
+                    out = []
+        if out:
+            yield record_batch(zip(*out, strict=True), shape)
 
-def _grid(members: DataFrame, block: int) -> DataFrame:
-    """Rows of divided buckets that hold several components, once for each cell (low, high) of blocks that they meet in.
+    spread = members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return spread.select(*columns).mapInArrow(run, schema)
 
-    The largest component of a bucket has blocks of its own, which meet those of the rest alone."""
-    parts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
-    ends = parts.where("all > top.c").select(
-        "bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / block).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.c")) / block).cast("int").alias("r")
-    )
-    dealt, inside = F.xxhash64("node", "bucket"), F.col("label") == F.col("top")
-    placed = members.drop("block").join(ends, "bucket").withColumn("block", F.when(inside, F.pmod(dealt, "g")).otherwise(F.col("g") + F.pmod(dealt, "r")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("g")).otherwise(0), F.expr("g + r - 1"))))
-    return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-
-
-def _offers(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """members(bucket, low, high, block, node, n, sketch, whole[, label]), dealt by bucket and cell -> a, b (nodes), more (whether offers were held back).
-
-    Where low < high, block low is compared with block high; else the block with itself."""
-    columns = ["bucket", "low", "high", "block", "node", "n", "sketch", "whole"] + (["label"] if most else [])
-
-    def work(rows: list[tuple]) -> Iterator[tuple[bytes, bytes, bool]]:
-        rows = sorted({r[4]: r for r in rows}.values(), key=itemgetter(3))
-        bucket, low, high = rows[0][:3]
-        split = sum(r[3] == low for r in rows) if low < high else 0
-        if len(rows) < 2 or low < high and split in (0, len(rows)):
-            return
-        near = estimates(unpacked([r[6] for r in rows]), np.array([r[5] for r in rows]), percent, split)
-        if most is None:
-            links, more = list(offered(near)), False
-        else:
-            links, more = between(near, [r[8] for r in rows], percent / 100 - MARGIN, most, split)
-            # what meets in several buckets is offered in the first of them
-            whole = np.array([r[7] for r in rows], dtype=np.int64)
-            i, j = (np.array(x, dtype=np.int64) for x in (zip(*links, strict=True) if links else ((), ())))
-            common = (whole[i] == whole[j]) & (whole[i] != 0)
-            here = ~common.any(axis=1) | (whole[i, common.argmax(axis=1)] == bucket)
-            if more and not here.any():
-                here[0] = True  # someone has to tell that offers were held back
-            links = [x for x, h in zip(links, here, strict=True) if h]
-        for i, j in links:
+
+MEMBER = ["bucket", "low", "high", "block", "node"]
+
+
+def _offers(members: DataFrame, percent: int) -> DataFrame:
+    """members(bucket, low, high, block, node, n, bitmap) -> a, b (nodes): first links to verify."""
+    def work(rows: list[tuple], split: int) -> Iterator[tuple]:
+        for i, j in offered(bounds([r[6] for r in rows], np.array([r[5] for r in rows]), percent, split)):
             a, b = rows[i][4], rows[j][4]
-            yield (a, b, more) if a < b else (b, a, more)
+            yield (a, b) if a < b else (b, a)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[bytes, bytes], bool] = {}
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
-        for _, group in groupby(rows, itemgetter(0, 1, 2)):
-            for a, b, more in work(list(group)):
-                seen[a, b] = seen.get((a, b), False) or more
-            if len(seen) > 50_000:
-                yield from _packed(seen)
-                seen = {}
-        yield from _packed(seen)
+    return _by_cell(members, [*MEMBER, "n", "bitmap"], work, "a binary, b binary", "bitmap").distinct()
 
-    spread = members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return spread.select(*columns).mapInArrow(run, "a binary, b binary, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
+def _codes(labels: list) -> np.ndarray:
+    found: dict = {}
+    return np.array([found.setdefault(x, len(found)) for x in labels])
+
+
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """members(bucket, low, high, block, node, n, bitmap, whole, label) -> the same places of nodes that may have a link to another label."""
+    kind = members.schema["label"].dataType.simpleString()
+
+    def work(rows: list[tuple], split: int) -> Iterator[tuple]:
+        near = bounds([r[6] for r in rows], np.array([r[5] for r in rows]), percent, split)
+        hit = partners(near, _codes([r[8] for r in rows]), np.array([r[7] for r in rows]), rows[0][0], split)
+        for i in np.flatnonzero(hit).tolist():
+            yield (*rows[i][:5], rows[i][8])
+
+    schema = f"bucket long, low int, high int, block int, node binary, label {kind}"
+    return _by_cell(members, [*MEMBER, "n", "bitmap", "whole", "label"], work, schema, "bitmap")
 
-def _packed(links: dict[tuple[bytes, bytes], bool]) -> Iterator[pa.RecordBatch]:
-    if links:
-        a, b = zip(*links, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(list(links.values()))], names=["a", "b", "more"])
+
+def _joined(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """members(bucket, low, high, block, node, label, z) -> a, b (labels): verified links between labels."""
+    kind = members.schema["label"].dataType.simpleString()
+
+    def work(rows: list[tuple], split: int) -> Iterator[tuple]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        sets: list[np.ndarray] = []
+        for at in range(0, len(rows), 256):
+            sets += shingle_sets([unpack(r[6]) for r in rows[at : at + 256]], words)
+        near = bounds([bitmap(s) for s in sets], np.array([len(s) for s in sets]), percent, split)
+        for i, j in linked(sets, near, _codes([r[5] for r in rows]), percent, split):
+            yield rows[i][5], rows[j][5]
+
+    return _by_cell(members, [*MEMBER, "label", "z"], work, f"a {kind}, b {kind}", "z")
+
+
+def _grid(members: DataFrame) -> DataFrame:
+    """Rows of divided buckets(.., parts) that hold several components, once for each cell (low, high) of blocks that they meet in.
+
+    The largest component of a bucket has blocks of its own, which meet those of the rest alone."""
+    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
+    share = F.col("parts") * F.col("top.c") / F.col("all")
+    placed = members.drop("block").join(sizes.where("all > top.c"), "bucket").withColumns({
+        "inside": F.col("label") == F.col("top.label"), "g": F.ceil(share).cast("int"), "r": F.greatest(F.lit(1), F.ceil(F.col("parts") - share)).cast("int"),
+    })
+    dealt = F.xxhash64("node", "bucket")
+    placed = placed.withColumn("block", F.when(F.col("inside"), F.pmod(dealt, "g")).otherwise(F.col("g") + F.pmod(dealt, "r")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), F.col("g")).otherwise(0), F.expr("g + r - 1"))))
+    return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(*MEMBER, "n", "bitmap", "whole", "label")
 
 
 def _verified(offers: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of offers(a, b) whose sets have 100 * intersection >= percent * union; texts(node, z) are compressed."""
+    """a, b (ids) of offers(a, b) whose sets have 100 * intersection >= percent * union; texts(node, id, z) are compressed."""
+    kind = texts.schema["id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -267,23 +343,21 @@ def _verified(offers: DataFrame, texts: DataFrame, words: int, percent: int) ->
             hit = []
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
                 p, q = sets[x], sets[y]
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    continue
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 if 100 * common >= percent * (len(p) + len(q) - common):
                     hit.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit, pa.int64())) for c in ("ia", "ib")], names=["a", "b"])
 
-    second = offers.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-    both = second.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-    return both.select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary")
+    named = lambda c: texts.select(F.col("node").alias(c), F.col("id").alias(f"i{c}"), F.col("z").alias(f"z{c}"))
+    both = offers.join(named("b"), "b").join(named("a"), "a")
+    return both.select("a", "b", "ia", "ib", "za", "zb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def union_find(links: Iterator[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
+def union_find(links: Iterator[tuple]) -> dict:
     """Of each node that isn't its own root: the root, the least node it is linked with."""
-    parent: dict[bytes, bytes] = {}
+    parent: dict = {}
 
-    def root(x: bytes) -> bytes:
+    def root(x):
         top = x
         while (up := parent.get(top, top)) != top:
             top = up
@@ -298,21 +372,31 @@ def union_find(links: Iterator[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
     return {x: root(x) for x in list(parent)}
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    """df once for each salt, to be joined with rows that are spread over salts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> node, root: the least node of its component, for nodes that are not that themselves.
 
     Union-find within each partition, then rounds of star contraction until nothing changes; every
-    round is an aggregation and two equi-joins, cut from its lineage."""
+    round is aggregations and joins, cut from its lineage. Links of a hub are spread over salts."""
+    kind = links.schema["a"].dataType.simpleString()
+    shape = arrow_schema(f"a {kind}, b {kind}")
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = union_find((x, y) for batch in batches for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["a", "b"])
+        if found:
+            yield record_batch(zip(*found.items(), strict=True), shape)
 
-    edges = cut(links.select("a", "b").mapInArrow(local, "a binary, b binary"))  # a > b
+    edges = cut(links.select("a", "b").mapInArrow(local, f"a {kind}, b {kind}"))  # a > b
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a")
         # large star: every larger neighbour goes to the least one
-        large = both.join(least, "a").where("b > a AND b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        spread = both.where("a < b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = spread.join(_salted(least), ["a", "salt"], "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: the smaller neighbours and the node itself go to the least one
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -333,66 +417,63 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     set and no links. Rows with one id are one document as far as links go, each with its own
     n_shingles; rows without an id link with nothing, have a null component and are kept. Ties and
     repeated rows are told apart by nothing but the id; an empty table gives an empty result.
+
+    Two texts are compared if they meet in a band, which a pair at the threshold misses with a
+    probability of ``bands_for``'s miss at most; among those that meet, no link between components is
+    lost, whatever the size of a bucket. Shingles and sets are told apart by 64- and 128-bit hashes.
     """
     rows = bands_for(percent / 100, slots)
     source = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     signed = cut(_signed(source, words, slots, rows))
     usable = signed.where("node IS NOT NULL AND id IS NOT NULL")
-    sets = usable.groupBy("node").agg(F.min("id").alias("id"))
-    exploded = usable.select("node", F.posexplode("bands").alias("band", "bucket"))
+    nodes = cut(usable.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")))
+    exploded = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    parts = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
     shared = cut(  # a table, so that AQE can split hot buckets in the join
-        usable.select("node", "bands").dropDuplicates(["node"]).select(F.explode("bands").alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1").select("bucket", parts)
     )
-    met = cut(exploded.join(shared, "bucket").groupBy("bucket", "node").agg(F.max("n").alias("n"), F.max("band").alias("band")))
-    candidates = met.select("node").distinct()
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    hub = met.where(F.col("n") > block).groupBy("bucket").agg(F.min("node").alias("node"), F.max("n").alias("n"))
-    divided = (F.col("n") > block).alias("divided")
-    dealt = met.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).select("bucket", "block", "node", divided, F.lit(False).alias("lent")).unionByName(
-        hub.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", divided, F.lit(True).alias("lent"))
+    met = cut(exploded.join(shared, "bucket").groupBy("bucket", "node").agg(F.max("parts").alias("parts"), F.max("band").alias("band")))
+    hub = met.where("parts > 1").groupBy("bucket").agg(F.min("node").alias("node"), F.max("parts").alias("parts"))
+    own = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int").alias("block")
+    dealt = met.select("bucket", own, "node", "parts", F.lit(False).alias("lent")).unionByName(
+        hub.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "node", "parts", F.lit(True).alias("lent"))
     )
-    texts = cut(_texts(source, sets.join(candidates, "node", "left_semi"), words))
+    texts = cut(_texts(source, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "id"), words))
     # of each node the buckets that it shares, in the order of bands; 0 for others (at most one entry a band)
     listed = met.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("m"))
     places = F.transform(F.sequence(F.lit(0), F.lit(slots // rows - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    known = texts.select("node", "n", "sketch").join(listed.select("node", places.alias("whole")), "node")
-    members = cut(dealt.join(known, "node").select("bucket", "block", "node", "n", "sketch", "whole", "divided", "lent"))
+    known = texts.select("node", "id", "n", "bitmap").join(listed.select("node", places.alias("whole")), "node")
+    members = cut(dealt.join(known, "node").select("bucket", "block", "node", "id", "n", "bitmap", "whole", "parts", "lent"))
     alone = {"low": F.col("block"), "high": F.col("block")}
 
-    offers = cut(_offers(members.withColumns(alone), percent, None).select("a", "b"))
-    links = cut(_verified(offers, texts, words, percent))
+    # an id that stands in several nodes links them
+    ids = signed.where("id IS NOT NULL").select("id", "node").distinct()
+    several = ids.where("node IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    twice = ids.join(several, "id", "left_semi").join(nodes.select("node", F.col("id").alias("first")), "node")
+    links = twice.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    links = cut(links.unionByName(_verified(cut(_offers(members.withColumns(alone), percent)), texts, words, percent)))
     roots = components(links)
-    most = 4
-    while True:  # pairs between components that are still apart
-        labels = members.where("NOT lent").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        entire = labels.where("NOT divided").withColumns(alone)
-        apart = entire.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
-        cells = entire.join(apart, "bucket", "left_semi").unionByName(_grid(labels.where("divided"), block), allowMissingColumns=True)
-        made = cut(_offers(cells, percent, most))
-        more = not made.where("more").isEmpty()
-        new = cut(made.join(offers, ["a", "b"], "left_anti").select("a", "b"))
-        if not new.isEmpty():
-            offers = offers.unionByName(new)
-            found = cut(_verified(new, texts, words, percent))
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                roots = components(links)
-        if not more:
-            break
-        most *= 8
 
-    # nodes to ids: rows of an id may stand in several nodes, which its links then connect
-    ids = signed.where("id IS NOT NULL").select("id", "node").distinct()
-    named = ids.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
-    found = named.join(least, "root", "left").groupBy("id").agg(F.min(F.coalesce("component", "id")).alias("component"))
+    # pairs of a bucket that are still in several components
+    labels = members.where("NOT lent").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root", "id")
+    entire = labels.where("parts = 1").withColumns(alone)
+    mixed_buckets = entire.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("bucket")
+    cells = entire.join(mixed_buckets, "bucket", "left_semi").select(*MEMBER, "n", "bitmap", "whole", "label").unionByName(_grid(labels.where("parts > 1")))
+    apart = cut(_apart(cells, percent))
+    joined = cut(_joined(apart.join(texts.select("node", "z"), "node"), words, percent))
+    if not joined.isEmpty():
+        roots = components(links.unionByName(joined))
+
+    named = nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("component", F.coalesce("root", "id"))
+    named = _salted(named.where("copies > 1 OR component <> id").select("node", "component"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    found = ids.withColumn("salt", salt).join(named, ["node", "salt"], "left").groupBy("id").agg(F.min(F.coalesce("component", "id")).alias("component"))
     out = signed.select("id", "n_shingles").join(found, "id", "left")
     return out.select(F.col("id").alias(id_column), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, n (size of its set), sketch, z (compressed text of a row) of each wanted node(node, id)."""
+    """node, id, n (size of its set), bitmap, z (compressed text of a row) of each wanted node(node, id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -406,19 +487,17 @@ def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "z", max_bytes=1 << 16):
+        for batch in slices(batches, "z", max_bytes=1 << 18):
             sets = shingle_sets([unpack(z) for z in batch.column("z").to_pylist()], words)
             own = [i for i, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if xxh3_128_digest(s.tobytes()) == node]
-            sets = [sets[i] for i in own]
             rows = batch.take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches(sets) if sets else [], pa.binary()), rows.column("z")], names=["node", "n", "sketch", "z"]
-            )
+            sizes, bitmaps = pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([bitmap(sets[i]) for i in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("id"), sizes, bitmaps, rows.column("z")], names=["node", "id", "n", "bitmap", "z"])
 
-    id_type = source.schema["id"].dataType.simpleString()
-    packed = source.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, f"id {id_type}, z binary")
-    joined = packed.join(wanted, "id").select("node", "z")
-    return joined.mapInArrow(check, "node binary, n long, sketch binary, z binary").dropDuplicates(["node"])
+    kind = source.schema["id"].dataType.simpleString()
+    packed = source.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, f"id {kind}, z binary")
+    joined = packed.join(wanted, "id").select("node", "id", "z")
+    return joined.mapInArrow(check, f"node binary, id {kind}, n long, bitmap binary, z binary").dropDuplicates(["node"])
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

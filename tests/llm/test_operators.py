@@ -463,12 +463,71 @@ def test_superminhash_estimates():
     assert sorted(int(x) >> 32 for x in one[0]) == list(range(64))
 
 
+def test_bounds_are_never_below_the_similarity():
+    r = np.random.default_rng(3)
+    for n, share in ((4, 0.5), (100, 0.9), (700, 0.82), (5000, 0.86), (20000, 0.95)):
+        pool = r.integers(0, 1 << 63, size=2 * n, dtype=np.uint64)
+        common = int(n * share)
+        sets = [np.unique(pool[:n]), np.unique(np.concatenate((pool[:common], pool[n : 2 * n - common]))), np.unique(pool[: n // 2 + 1]), np.unique(pool[n:])]
+        bitmaps, sizes = [near_dedup.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+        exact = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+        for percent in (50, 85):
+            near = near_dedup.bounds(bitmaps, sizes, percent)
+            for i in range(4):
+                for j in range(4):
+                    assert i == j or near[i, j] >= exact[i, j] - 1e-6 or near[i, j] == -1 and 100 * exact[i, j] < percent
+            assert (near_dedup.bounds(bitmaps, sizes, percent, 2) == near[:2, 2:]).all()
+
+
+def test_near_dedup_thousands_in_one_bucket(spark):
+    # near copies of one text, those of one family close to each other, the families too far apart; dealt over many blocks
+    r = random.Random(31)
+    base, rows = words(150, 900).split(), []
+    for family in range(60):
+        own = list(base)
+        for i in r.sample(range(150), 9):
+            own[i] = f"f{family}x{i}"
+        for k in range(50):
+            copy = list(own)
+            copy[r.randrange(150)] = f"k{family}.{k}"
+            rows.append(" ".join(copy))
+    r.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(df, percent=80, block=256).collect()}
+    sets = {i: shingles(t) for i, t in enumerate(rows)}
+    # brute force by shared shingles: all pairs, by a product of 0/1 rows
+    names = {s: k for k, s in enumerate(sorted({s for x in sets.values() for s in x}))}
+    matrix = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for i, x in sets.items():
+        matrix[i, [names[s] for s in x]] = 1
+    common, sizes = matrix @ matrix.T, matrix.sum(axis=1)
+    a, b = np.nonzero(np.triu(100 * common >= 80 * (sizes[:, None] + sizes[None] - common), 1))
+    root = near_dedup.union_find(zip(a.tolist(), b.tolist(), strict=True))
+    assert got == {i: root.get(i, i) for i in sets}
+    assert len(set(got.values())) > 20
+
+
+def test_op7_columns(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = brute_components(sets, 85)
+    got = near_dedup.op7_near_dedup(spark, SF)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert {tuple(r) for r in got.collect()} == {(i, len(sets[i]), want[i], want[i] == i) for i in texts}
+
+
+def test_near_dedup_repeated_ids(spark):
+    a, b, c = words(80, 1), words(80, 2), words(80, 3)
+    df = spark.createDataFrame([("d", a), ("b", a), ("d", b), ("c", b), ("e", c), ("e", None), ("f", "")], "doc_id string, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [("b", 76, "b"), ("c", 76, "b"), ("d", 76, "b"), ("d", 76, "b"), ("e", 0, "e"), ("e", 76, "e"), ("f", 0, "f")]
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 400)]
-    key = lambda i: i.to_bytes(4, "big")
-    pairs = [(key(min(a, b)), key(max(a, b))) for a, b in links if a != b]
-    got = {bytes(x["node"]): bytes(x["root"]) for x in near_dedup.components(spark.createDataFrame(pairs, "a binary, b binary").repartition(5)).collect()}
+    pairs = [(a, b) for a, b in links if a != b]
+    got = {x["node"]: x["root"] for x in near_dedup.components(spark.createDataFrame(pairs, "a int, b int").repartition(5)).collect()}
     assert got == near_dedup.union_find(iter(pairs))
 
 
