@@ -10,15 +10,21 @@ first cut into short strings that keep every match. In each window of ``length``
 with the least hash is its anchor. Equal windows have equal anchors at equal places, so only suffixes
 that stand at the same distance from equal anchors can share ``length`` bytes, and strings aligned at
 their anchors need only be compared column by column. A string is the stretch of all windows with one
-anchor (up to 2 * length - k bytes). Anchors that occur once are dropped; equal strings are one
-string with a count; if all strings of an anchor are equal, all their windows repeat. The rounds run
-over what is left, bucket by bucket, and decide by the bytes themselves.
+anchor (up to 2 * length - k bytes). Anchors that occur once are dropped: a gram whose hash is unique
+has no partner. Every other string goes through the rounds, which decide by the bytes themselves;
+hashes only say who meets. (Equal strings that follow on each other, in a text with a short period,
+are compared byte by byte where they stand, and one of them goes through the rounds.)
 
 Scale: anchors are counted with partial aggregation, the join back to the occurrences is an equi-join
-that AQE splits when an anchor is hot, and texts are shuffled twice, compressed. Collections are
-worked off in portions of ``max_collection`` strings that end between anchors. An anchor with more
-different strings than ``hot_strings`` would not fit one task; its windows are counted one by one by
-their 128-bit hash instead, with partial aggregation.
+that AQE splits when an anchor is hot, and texts are shuffled twice, compressed. An anchor with more
+than ``group`` strings is dealt over sub-collections. What each of them finds repeated is repeated; one
+of each of its different strings goes on to the next level, where an anchor is parted further: a
+window has half of its other bytes or more on the left of the anchor, or over half on the right, so
+its strings are cut into those two kinds, keyed by the hash of these bytes as well, and keys that
+occur once are dropped. After eight levels a key stands for whole windows, so a hot anchor ends in
+small groups or in equal strings, of which one a sub-collection goes on. No level drops a match.
+A task works off portions of whole groups, in memory: executors must not use local folders, so the
+sequential files of the construction are the columns of a portion of ``MAX_COLLECTION`` strings.
 """
 
 from __future__ import annotations
@@ -27,16 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm._arrow import slices
+from pipewright.llm._arrow import arrow_schema, record_batch, slices
 from pipewright.llm._tables import cut, table
 
 LENGTH, GRAM = 200, 40
-MAX_COLLECTION = 20_000
-HOT_STRINGS = 20_000
-PORTION = 1 << 20  # bytes of text hashed at once; 24 bits hold a place in it
+MAX_COLLECTION = 8192
+GROUP = 1024
+PORTION = 1 << 18  # bytes of a text hashed at once; 24 bits hold a place in it
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _PLACE = np.uint64((1 << 24) - 1)
 _NONE = 255  # no byte of UTF-8
@@ -96,7 +102,7 @@ def portions(values: list[bytes], length: int) -> Iterator[tuple[bytes, list[tup
             continue
         for at in range(0, max(1, len(value) - length + 1), PORTION):
             part = value[at : at + PORTION + length - 1]
-            if total + len(part) > 4 * PORTION:
+            if total + len(part) > 2 * PORTION:
                 yield b"".join(parts), where
                 parts, where, total = [], [], 0
             where.append((row, at, total))
@@ -107,33 +113,32 @@ def portions(values: list[bytes], length: int) -> Iterator[tuple[bytes, list[tup
 
 
 def _strings(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """k1, k2 (of a row), first and last window start, anchor place, anchor hash, digest: one row for each string.
+    """k1, k2 (of a row), first and last window start, anchor place, anchor hash: one row for each string.
 
     Where a text repeats itself with a short period, equal strings follow on each other; such a run
     is one row: ``times`` strings, of which the first is given, with window starts up to ``until``."""
-    schema = "k1 long, k2 long, first int, last int, place int, anchor long, digest long, until int, times long"
+    schema = "k1 long, k2 long, first int, last int, place int, anchor long, until int, times long"
+    shape = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         for batch in slices(batches, "text"):
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             values = batch.column("text").cast(pa.binary()).to_pylist()
             for data, where in portions(values, length):
                 rows, offsets, begins = (np.array(x, dtype=np.int64) for x in zip(*where, strict=True))
                 first, last, place, anchor = anchored(np.frombuffer(data, dtype=np.uint8), np.append(begins, len(data)), length, k)
-                view = memoryview(data)
-                digest = np.array([xxh3_64_intdigest(view[a:b], seed=c) for a, b, c in zip(first.tolist(), (last + length).tolist(), (place - first).tolist(), strict=True)], dtype=np.uint64)
-                goes_on = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1]) & (first[1:] == last[:-1] + 1)
-                begin = np.flatnonzero(np.concatenate(([True], ~goes_on))) if len(first) else np.empty(0, dtype=np.int64)
+                alike = (anchor[1:] == anchor[:-1]) & (first[1:] == last[:-1] + 1) & (last[1:] - first[1:] == last[:-1] - first[:-1]) & (place[1:] - first[1:] == place[:-1] - first[:-1])
+                for i in np.flatnonzero(alike).tolist():
+                    alike[i] = data[first[i] : last[i] + length] == data[first[i + 1] : last[i + 1] + length]
+                begin = np.flatnonzero(np.concatenate(([True], ~alike))) if len(first) else np.empty(0, dtype=np.int64)
                 end = np.append(begin[1:], len(first))[: len(begin)]
-                first, last, place, anchor, digest, until = first[begin], last[begin], place[begin], anchor[begin], digest[begin], last[end - 1]
+                first, last, place, anchor, until = first[begin], last[begin], place[begin], anchor[begin], last[end - 1]
                 doc = np.searchsorted(begins, first, side="right") - 1
                 shift, row = offsets[doc] - begins[doc], rows[doc]
+                places = [pa.array((x + shift).astype(np.int32)) for x in (first, last, place)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[row]), pa.array(k2[row]), *(pa.array((x + shift).astype(np.int32)) for x in (first, last, place)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array((until + shift).astype(np.int32)), pa.array(end - begin)],
-                    names=["k1", "k2", "first", "last", "place", "anchor", "digest", "until", "times"],
-                )
+                    [pa.array(k1[row]), pa.array(k2[row]), *places, pa.array(anchor.view(np.int64)), pa.array((until + shift).astype(np.int32)), pa.array(end - begin)], schema=shape
+                )
 
     return docs.select("k1", "k2", "text").where(F.octet_length("text") >= length).mapInArrow(run, schema)
 
@@ -207,44 +212,44 @@ def _compressed(df: DataFrame, text: str) -> DataFrame:
     return out.mapInArrow(run, out.select(*keep).withColumn("_z", F.lit(b"")).schema)
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, hot_strings: int = HOT_STRINGS) -> DataFrame:
+STRING = "key long, left int, right int, k1 long, k2 long, first int, before int, string binary"
+
+
+def _dealt(strings: DataFrame, group: int) -> DataFrame:
+    """Strings whose key occurs more than once, each with the number of salts of its key and one of them."""
+    counts = cut(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / group).cast("int").alias("salts")))
+    return strings.join(counts, "key").withColumn("salt", _salt())
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("k1", "k2", "first"), F.col("salts")).cast("int")
+
+
+def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, group: int = GROUP) -> DataFrame:
     """k1, k2 (hashes of id and text, which identify a row), spans array<struct<from, to>>: byte ranges, possibly
     overlapping, whose every window of ``length`` bytes also starts elsewhere in docs. Rows without such are absent."""
     keyed = _row_keys(docs.select(id_column, F.col(text).alias("text")), id_column, "text").select("k1", "k2", "text").where(F.octet_length("text") >= length)
     strings = _strings(keyed, length, k)
     again = cut(  # joined from a table, not below its aggregation: only so can AQE split hot anchors
-        strings.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-        .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    )
-    hits = cut(strings.join(again, "anchor"))
-    plain = hits.where("NOT mixed OR times > 1").select("k1", "k2", F.col("first").alias("from"), (F.col("until") + length).alias("to"))
-    mixed = hits.where("mixed")
-    different = cut(
-        mixed.groupBy("anchor", "digest").agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "first", "last", "place")).alias("one"))
-        .select("anchor", "digest", "n", "one.*")
-    )
-    hot = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_strings).select("anchor")
-    usual = different.join(F.broadcast(hot) if hot_is_small(hot) else hot, "anchor", "left_anti")
-    wanted = usual.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "last", "place")).alias("wanted"))
-    texts = _compressed(keyed, "text")
-    cutout = _cutouts(texts.join(wanted, ["k1", "k2"]), length)
-    runs = _rounds(cutout.repartition("anchor").sortWithinPartitions("anchor"), length, k)
-    found = (
-        mixed.where("times = 1").join(runs, ["anchor", "digest"])
-        .select("k1", "k2", (F.col("first") + F.col("low")).alias("from"), (F.col("first") + F.col("high") + length).alias("to"))
+        strings.groupBy("anchor").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1").select("anchor", F.ceil(F.col("rows") / group).cast("int").alias("salts"), F.col("rows") > 1)
+        .toDF("anchor", "salts", "meets")
     )
-    spans = plain.unionByName(found)
-    if not hot.isEmpty():
-        spans = spans.unionByName(_hot_windows(mixed.join(hot, "anchor", "left_semi"), texts, length))
-    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-
-
-def hot_is_small(hot: DataFrame, bound: int = 10_000) -> bool:
-    return len(hot.take(bound + 1)) <= bound
+    hits = cut(strings.join(again, "anchor").withColumn("salt", _salt()))
+    spans = hits.where("times > 1").select("k1", "k2", F.col("first").alias("from"), (F.col("until") + length).alias("to"))
+    wanted = hits.where("meets").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "salt", "salts", "first", "last", "place")).alias("wanted"))
+    level = _cutouts(_compressed(keyed, "text").join(wanted, ["k1", "k2"]), length)
+    while True:
+        found = cut(_rounds(level, length, k))
+        spans = spans.unionByName(found.where("string IS NULL").select("k1", "k2", F.col("first").alias("from"), F.col("to")))
+        left = found.where("string IS NOT NULL").drop("to")
+        if left.isEmpty():
+            return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+        level = _dealt(_parted(left, length, k), group)
 
 
 def _cutouts(joined: DataFrame, length: int) -> DataFrame:
-    schema = "anchor long, digest long, n long, before int, string binary"
+    schema = f"{STRING}, salt int, salts int"
+    shape = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -252,81 +257,98 @@ def _cutouts(joined: DataFrame, length: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         out: list[tuple] = []
         total = 0
-        names = ["anchor", "digest", "n", "before", "string"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        emit = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-        for batch in slices(batches, "_z"):
-            for z, wanted in zip(batch.column("_z").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for batch in slices(batches, "_z", max_bytes=1 << 20, max_rows=256):
+            for z, wanted, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("_z", "wanted", "k1", "k2")), strict=True):
                 data = unpack(z)
                 for w in wanted:
                     string = data[w["first"] : w["last"] + length]
-                    out.append((w["anchor"], w["digest"], w["n"], w["place"] - w["first"], string))
+                    out.append((w["anchor"], 0, 0, k1, k2, w["first"], w["place"] - w["first"], string, w["salt"], w["salts"]))
                     total += len(string)
-                    if total > 4 << 20:
-                        yield emit()
+                    if total > 1 << 20:
+                        yield record_batch(zip(*out, strict=True), shape)
                         out, total = [], 0
         if out:
-            yield emit()
+            yield record_batch(zip(*out, strict=True), shape)
 
-    return joined.select("_z", "wanted").mapInArrow(run, schema)
+    return joined.select("_z", "wanted", "k1", "k2").mapInArrow(run, schema)
 
 
-def _rounds(cutouts: DataFrame, length: int, k: int) -> DataFrame:
-    """anchor, digest, low, high: runs of repeated window starts within a string. Rows of an anchor must be together."""
-    schema = "anchor long, digest long, low int, high int"
+def _rounds(strings: DataFrame, length: int, k: int) -> DataFrame:
+    """Spans (k1, k2, first, to; string null) of repeated windows, and the different strings of each sub-collection of a key with several."""
+    schema = f"{STRING}, to int"
+    shape = arrow_schema(schema)
+    columns = [*(f.split()[0] for f in STRING.split(", ")), "salt", "salts"]
 
-    def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, digest, n, before, strings = zip(*rows, strict=True)
-        anchor, digest = np.array(anchor, dtype=np.int64), np.array(digest, dtype=np.int64)
-        string, low, high = Collection(list(strings), list(before), length, k).repeated()
-        # a string that occurs several times repeats whole
-        once = np.array(n)[string] == 1
-        string, low, high = string[once], low[once], high[once]
-        many = np.flatnonzero(np.array(n) > 1)
-        whole = np.array([len(strings[i]) - length for i in many], dtype=np.int64)
-        string, low, high = np.concatenate((string, many)), np.concatenate((low, np.zeros(len(many), dtype=np.int64))), np.concatenate((high, whole))
-        if len(string):
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[string]), pa.array(digest[string]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["anchor", "digest", "low", "high"])
+    def work(rows: list[tuple]) -> Iterator[tuple]:
+        string, low, high = Collection([r[7] for r in rows], [r[6] for r in rows], length, k).repeated()
+        for i, a, b in zip(string.tolist(), low.tolist(), high.tolist(), strict=True):
+            _, _, _, k1, k2, first, *_ = rows[i]
+            yield None, None, None, k1, k2, first + a, None, None, first + b + length
+        seen = set()
+        for r in rows:
+            if r[9] > 1 and (own := (r[0], r[8], r[6], r[7])) not in seen:
+                seen.add(own)
+                yield *r[:8], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "n", "before", "string")), strict=True):
-                if len(rows) >= MAX_COLLECTION and rows[-1][0] != row[0]:
-                    yield from work(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from work(rows)
+        out: list[tuple] = []
+        for rows in collections_of((r for batch in slices(batches, "string", max_bytes=1 << 20) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))):
+            for found in work(rows):
+                out.append(found)
+                if len(out) >= 8192:
+                    yield record_batch(zip(*out, strict=True), shape)
+                    out = []
+        if out:
+            yield record_batch(zip(*out, strict=True), shape)
+
+    dealt = strings.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    return dealt.select(*columns).mapInArrow(run, schema)
+
+
+def collections_of(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in portions of about MAX_COLLECTION that end between two groups (key in front, salt last but one)."""
+    portion: list[tuple] = []
+    for row in rows:
+        if len(portion) >= MAX_COLLECTION and (portion[-1][0], portion[-1][-2]) != (row[0], row[-2]):
+            yield portion
+            portion = []
+        portion.append(row)
+    if portion:
+        yield portion
 
-    return cutouts.mapInArrow(run, schema)
 
+def parted(row: tuple, length: int, k: int) -> Iterator[tuple]:
+    """A string's windows that have at least half of what isn't known to be equal on the left of it, and the others.
 
-def _hot_windows(strings: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """k1, k2, from, to of windows of hot anchors' strings that occur more than once, found by their hashes."""
-    wanted = strings.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("wanted"))
-    schema = "k1 long, k2 long, from int, h1 long, h2 long"
+    All windows of a key's strings cover the anchor with ``left`` and ``right`` more bytes, which are equal."""
+    from xxhash import xxh3_64_intdigest
+
+    key, left, right, k1, k2, first, before, string = row
+    rest = length - k - left - right
+    if not rest:  # whole windows have one key
+        yield row
+        return
+    half = (rest + 1) // 2
+    parting = before - left - half  # the last window with so much on the left
+    last = len(string) - length
+    for side, low, high, more in (("l", 0, min(last, parting), half), ("r", max(0, parting + 1), last, rest - half + 1)):
+        if low <= high:
+            begin, end = (before - left - more, before - left) if side == "l" else (before + k + right, before + k + right + more)
+            own = xxh3_64_intdigest(b"%d %d %d %s " % (key, left, right, side.encode()) + string[begin:end])
+            grown = (left + more, right) if side == "l" else (left, right + more)
+            yield own - (1 << 64) if own >> 63 else own, *grown, k1, k2, first + low, before - low, string[low : high + length]
+
+
+def _parted(strings: DataFrame, length: int, k: int) -> DataFrame:
+    shape = arrow_schema(STRING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        from xxhash import xxh3_128_digest
+        for batch in slices(batches, "string", max_bytes=1 << 20):
+            out = [x for row in zip(*(batch.column(f.name).to_pylist() for f in shape), strict=True) for x in parted(row, length, k)]
+            if out:
+                yield record_batch(zip(*out, strict=True), shape)
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "_z", max_rows=64):
-            k1, k2, at, hashes = [], [], [], []
-            for z, wanted, a, b in zip(*(batch.column(c).to_pylist() for c in ("_z", "wanted", "k1", "k2")), strict=True):
-                view = memoryview(unpack(z))
-                starts = [s for w in wanted for s in range(w["first"], w["last"] + 1)]
-                at += starts
-                hashes += [xxh3_128_digest(view[s : s + length]) for s in starts]
-                k1 += [a] * len(starts)
-                k2 += [b] * len(starts)
-            pair = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["k1", "k2", "from", "h1", "h2"])
-
-    windows = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "_z", "wanted").mapInArrow(run, schema)
-    several = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    return windows.join(several, ["h1", "h2"]).select("k1", "k2", "from", (F.col("from") + length).alias("to"))
+    return cut(strings.select(*shape.names).mapInArrow(run, STRING))
 
 
 def merged_spans(spans: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
@@ -354,7 +376,7 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, characters: bool = False, hot_strings: int = HOT_STRINGS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, characters: bool = False, group: int = GROUP) -> DataFrame:
     """docs without the text column, with ``kept`` (binary), ``n_bytes``, ``removed_spans`` (byte ranges of the input).
 
     Every byte goes that is covered by a ``length``-byte string which also starts anywhere else, in
@@ -365,7 +387,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """
     if k % 8 or not 8 <= k <= length:
         raise ValueError("k must be a multiple of 8 up to length")
-    spans = repeated_spans(docs, id_column, text, length, k, hot_strings)
+    if group < 2:
+        raise ValueError("a group needs two strings to compare")
+    spans = repeated_spans(docs, id_column, text, length, k, group)
     keep = [c for c in docs.columns if c not in (text, "kept", "n_bytes", "removed_spans", "k1", "k2", "_z", "spans")]
     keyed = _row_keys(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(text).alias("_own")), id_column, "_own").drop("_own")
     joined = _compressed(keyed, "_t").join(spans, ["k1", "k2"], "left").drop("k1", "k2")
@@ -375,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
         unpack = zstandard.ZstdDecompressor().decompress
         span_type = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-        for batch in slices(batches, "_z", max_rows=512):
+        for batch in slices(batches, "_z", max_bytes=1 << 20, max_rows=512):
             kept, sizes, removed = [], [], []
             for z, spans in zip(batch.column("_z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = unpack(z)

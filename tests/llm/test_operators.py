@@ -161,9 +161,9 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_STRINGS, 0])
-def test_suffix_dedup(spark, clashing, rows, hot):
-    got = suffix_dedup.remove_repeats(clashing, hot_strings=hot).collect()
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])
+def test_suffix_dedup(spark, clashing, rows, group):
+    got = suffix_dedup.remove_repeats(clashing, group=group).collect()
     given = [*rows, (None, "no id at all, but a text")]
     want = dict(zip([i for i, _ in given], brute_repeats([(t or "").encode() for _, t in given], 200), strict=True))
     texts = {i: (t or "").encode() for i, t in given}
@@ -185,6 +185,49 @@ def test_suffix_dedup_random(spark):
     assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 48)))
 
 
+def test_suffix_dedup_hot_anchors(spark, monkeypatch):
+    # a passage in many contexts, pairs of which agree beyond it, and copies: far more strings at an anchor than a group or a portion has
+    monkeypatch.setattr(suffix_dedup, "MAX_COLLECTION", 8)
+    r = random.Random(8)
+    passage, texts = words(30, 70), []
+    for i in range(60):
+        ends = words(12, 1000 + i), words(12, 2000 + i)
+        texts += [f"{ends[0]} {passage} {ends[1]}", f"{words(3, 3000 + i)} {ends[0]} {passage[r.randrange(20) :]} {words(12, 4000 + i)}"]
+    texts += [texts[0]] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: [(s["from"], s["to"]) for s in x["removed_spans"]] for x in suffix_dedup.remove_repeats(df, length=160, k=16, group=8).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 160)))
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, group=1)
+
+
+def test_parted_strings_keep_every_window():
+    r = random.Random(2)
+    for _ in range(200):
+        length, k = 24, 8
+        string, before = bytes(r.choices(b"ab", k=r.randint(length, 2 * length - k))), 0
+        before = r.randint(max(0, len(string) - length), min(length - k, len(string) - k))
+        level, windows = [(1, 0, 0, 5, 6, 100, before, string)], {100 + s: string[s : s + length] for s in range(len(string) - length + 1)}
+        for _ in range(6):
+            level = [x for row in level for x in suffix_dedup.parted(row, length, k)]
+            assert {x[5] + s: x[7][s : s + length] for x in level for s in range(len(x[7]) - length + 1)} == windows
+            assert all(x[6] >= x[1] and x[6] + k + x[2] <= len(x[7]) for x in level)
+        assert all(len(x[7]) == length and k + x[1] + x[2] == length for x in level)
+        assert len({x[0] for x in level}) == len(set(windows.values()))
+
+
+def test_op3_columns(spark):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = set()
+    for (i, data), spans in zip(texts.items(), brute_repeats(list(texts.values()), 200), strict=True):
+        edges = [0, *(x for s in spans for x in s), len(data)]
+        kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        want.add((i, len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()))
+    got = suffix_dedup.op3_suffix_dedup(spark, SF)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {tuple(r) for r in got.collect()} == want and any(x[2] for x in want)
+
+
 def test_suffix_dedup_edges(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     text = "é" * 150 + "中" * 100
