@@ -38,8 +38,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class WordParts(NamedTuple):
     hashes: np.ndarray  # of the words of all texts, one after the other
-    heads4: np.ndarray  # of their first four bytes
-    heads5: np.ndarray  # of their first five bytes
+    heads: list[np.ndarray]  # of their first four, five ... eight bytes
     tails: np.ndarray  # of their last two bytes
     capitals: np.ndarray  # whether they have at least two capitals A-Z, and no small a-z
     at: np.ndarray  # where each text's words begin, and the end
@@ -76,7 +75,8 @@ def word_parts(texts: list[bytes]) -> WordParts:
     count = lambda low, high: np.concatenate(([0], np.cumsum((data >= low) & (data <= high))))
     big, small = count(65, 90), count(97, 122)
     capitals = (big[end] - big[begin] >= 2) & (small[end] == small[begin])
-    return WordParts(hashed(begin, end), hashed(begin, np.minimum(end, begin + 4)), hashed(begin, np.minimum(end, begin + 5)), hashed(np.maximum(begin, end - 2), end), capitals, at)
+    heads = [hashed(begin, np.minimum(end, begin + n)) for n in range(4, 9)]
+    return WordParts(hashed(begin, end), heads, hashed(np.maximum(begin, end - 2), end), capitals, at)
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:

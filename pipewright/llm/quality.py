@@ -4,15 +4,17 @@ Graded ratings 0 < 1 < ... < G - 1 share one weight vector over hashed features;
 thresholds cut the score: P(grade <= k) = 1 / (1 + exp(score - threshold k)). So a model gives the
 expected grade of a text and the tail probability P(grade >= k) that selection goes by.
 
-Features are hashed to 24 bits: words, their first four and five bytes, their last two bytes, whether
+Features are hashed to 24 bits: words, their first four to eight bytes, their last two bytes, whether
 words repeat the one before or are in capitals, and how large the shares of those and of distinct words
 are. A feature counts once in a text. The model keeps those features that speak for a lower grade in
 the rated sample: log-odds of ``LEAST_ODDS`` at least, ``LEAST_Z`` standard errors from none. So a text
-without such evidence has the top grade, however long or unusual it is. Texts are hashed whole.
+without such evidence has the top grade, however long or unusual it is: what is rare in the sample
+can't make up for junk or abuse, nor count against a text. Texts are hashed whole.
 
-The model is fitted on the driver from a sample of at most ``max_rated`` rated rows, taken in the
-order of a hash of their id; everything else is one pass over the texts without a shuffle. What is
-sent to the executors is the list of kept features, some thousands.
+The model is fitted from a sample of at most ``max_rated`` rated rows, taken in the order of a hash of
+their id. Their texts are hashed on the executors and features are counted by grade with partial
+aggregation; the driver gets the kept features (some thousands) and which of them each rated row has,
+never a text. Everything else is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipewright.llm._arrow import slices, with_columns
-from pipewright.llm._tables import table
+from pipewright.llm._tables import cut, table
 from pipewright.llm._words import mixed, word_parts
 
 BITS = 24
@@ -36,7 +38,7 @@ LEAST_Z, LEAST_ODDS, MOST_ODDS = 3.0, 2.0, 4.0
 PASSES, STEPS = 10, 24_000  # passes over the sample, or as many as make so many steps
 RATE, RIDGE = 0.1, 1e-4
 MOST_WEIGHT = 4.0  # of a rare grade's texts against the others'
-_FAMILIES = [np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in range(1, 7)]
+_FAMILIES = [np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in range(1, 10)]
 
 
 def features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +57,7 @@ def features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.nd
             text, bucket = text[hit], bucket[hit]
         keys.append(text << BITS | bucket)
 
-    for family, hashes in enumerate((parts.hashes, parts.heads4, parts.heads5, parts.tails, flags)):
+    for family, hashes in enumerate((parts.hashes, parts.tails, flags, *parts.heads)):
         add(owner, hashes, family)
     some = np.maximum(1, n_words)
     _, first = np.unique(mixed(parts.hashes + owner.astype(np.uint64) * _FAMILIES[0]), return_index=True)
@@ -64,7 +66,7 @@ def features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.nd
     for kind, share in enumerate(shares):
         for level in range(1, 7):
             text = np.flatnonzero(share >= (2.0**-level if kind < 2 else -(2.0**-level)))
-            add(text, np.full(len(text), 10 * kind + level, dtype=np.uint64), 5)
+            add(text, np.full(len(text), 10 * kind + level, dtype=np.uint64), 8)
     found = np.unique(np.concatenate(keys))
     return found >> BITS, found & ((1 << BITS) - 1)
 
@@ -93,44 +95,20 @@ class OrdinalModel:
         return np.bincount(text, self.weights[np.searchsorted(self.buckets, bucket)] if len(bucket) else None, minlength=len(texts))
 
 
-def evidence(text: np.ndarray, feature: np.ndarray, n_features: int, grades: np.ndarray, n_grades: int) -> np.ndarray:
-    """Of each feature how strongly it speaks for a lower grade: log-odds up to MOST_ODDS, 0 for too little or none."""
-    best = np.zeros(n_features)
-    for k in range(1, n_grades):
-        high = grades >= k
-        if high.all() or not high.any():
-            continue
-        a = np.bincount(feature[high[text]], minlength=n_features) + 0.5
-        b = np.bincount(feature[~high[text]], minlength=n_features) + 0.5
-        odds = np.log(b / (len(high) - high.sum() + 1)) - np.log(a / (high.sum() + 1))
-        strong = (odds >= LEAST_ODDS) & (odds >= LEAST_Z * np.sqrt(1 / a + 1 / b))
-        best = np.maximum(best, np.where(strong, np.minimum(odds, MOST_ODDS), 0))
-    return best
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: np.ndarray, scale: np.ndarray) -> OrdinalModel:
+    """Maximum likelihood by adaptive gradient steps, row by row in a fixed shuffled order.
 
-
-def fit(texts: list[bytes], grades: np.ndarray, n_grades: int) -> OrdinalModel:
-    """Maximum likelihood by adaptive gradient steps, text by text in a fixed shuffled order."""
+    rows: of each rated row the places of its features in ``buckets``; scale: how much each feature counts."""
     thresholds = np.linspace(-4.0, -2.0, n_grades - 1)
-    found = [tuple(x.astype(np.int32) for x in features(texts[i : i + 256])) for i in range(0, len(texts), 256)]
-    if not found:
+    if not rows:
         return OrdinalModel(np.empty(0, dtype=np.int64), np.empty(0), thresholds)
-    text = np.concatenate([t + 256 * i for i, (t, _) in enumerate(found)])
-    buckets, feature = np.unique(np.concatenate([b for _, b in found]), return_inverse=True)
-    del found
-    scale = evidence(text, feature, len(buckets), grades, n_grades) / 2
-    kept = np.flatnonzero(scale)
-    place = np.full(len(buckets), -1)
-    place[kept] = np.arange(len(kept))
-    use = scale[feature] > 0
-    text, feature, buckets, scale = text[use], place[feature[use]], buckets[kept], scale[kept]
-    at = np.searchsorted(text, np.arange(len(texts) + 1))
-    weights, square_w, square_t = np.zeros(len(kept)), np.full(len(kept), 1e-3), np.full(n_grades - 1, 1e-1)
+    weights, square_w, square_t = np.zeros(len(buckets)), np.full(len(buckets), 1e-3), np.full(n_grades - 1, 1e-1)
     share = len(grades) / n_grades / np.maximum(1, np.bincount(grades, minlength=n_grades))
     weight_of = np.minimum(MOST_WEIGHT, share)[grades]
     rng = np.random.default_rng(7)
-    for _ in range(max(PASSES, STEPS // len(texts))):
-        for i in rng.permutation(len(texts)):
-            own, y = feature[at[i] : at[i + 1]], grades[i]
+    for _ in range(max(PASSES, STEPS // len(rows))):
+        for i in rng.permutation(len(rows)):
+            own, y = rows[i], grades[i]
             x = scale[own]
             cut = _sigmoid(thresholds - weights[own] @ x)  # P(grade <= k)
             upper, lower = (cut[y] if y < n_grades - 1 else 1.0), (cut[y - 1] if y else 0.0)
@@ -150,16 +128,44 @@ def fit(texts: list[bytes], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     return OrdinalModel(buckets, weights * scale, thresholds)
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, grade: Column, id_column: str = "doc_id", text: str = "text", max_rated: int = MAX_RATED) -> tuple[list[bytes], np.ndarray]:
-    """Texts and grades of at most max_rated rated rows; rows without a grade, id or text are left out."""
+def rated_sample(docs: DataFrame, ratings: DataFrame, grade: Column, id_column: str = "doc_id", text: str = "text", max_rated: int = MAX_RATED) -> DataFrame:
+    """grade, features of at most max_rated rated rows; rows without a grade, id or text are left out.
+
+    Of several ratings of an id the least counts, of several texts the first in order."""
     some = (
         ratings.select(F.col(id_column).alias("_id"), grade.cast("int").alias("_grade")).where("_id IS NOT NULL AND _grade IS NOT NULL")
         .orderBy(F.xxhash64("_id"), "_id", "_grade").limit(max_rated)
     )
     wanted = some.groupBy("_id").agg(F.min("_grade").alias("_grade"))
-    found = docs.where(F.col(text).isNotNull()).join(F.broadcast(wanted), F.col(id_column) == F.col("_id")).groupBy("_id").agg(F.first("_grade").alias("g"), F.min(text).alias("t"))
-    rows = sorted((r["_id"], r["g"], r["t"]) for r in found.collect())
-    return [t.encode() for _, _, t in rows], np.array([g for _, g, _ in rows], dtype=np.int64)
+    found = docs.where(F.col(text).isNotNull()).join(F.broadcast(wanted), F.col(id_column) == F.col("_id"))
+    texts = found.groupBy(F.col("_id").alias("id")).agg(F.first("_grade").alias("grade"), F.min(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", max_bytes=1 << 19):
+            text, bucket = features(batch.column("text").cast(pa.binary()).to_pylist())
+            ends = np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), own], names=["id", "grade", "features"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, grade int, features array<int>")
+
+
+def evidence(rated: DataFrame, n_grades: int) -> DataFrame:
+    """feature, odds: of each feature of rated(grade, features) how strongly it speaks for a lower grade, log-odds up to MOST_ODDS."""
+    totals = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rated.select("grade", F.explode("features").alias("feature")).groupBy("feature").agg(*(F.count_if(F.col("grade") >= k).alias(f"high{k}") for k in range(n_grades)))
+    best = [F.lit(0.0)]
+    for k in range(1, n_grades):
+        high = sum(n for g, n in totals.items() if g >= k)
+        low = sum(totals.values()) - high
+        if not high or not low:
+            continue
+        a, b = F.col(f"high{k}") + 0.5, F.col("high0") - F.col(f"high{k}") + 0.5
+        odds = F.log(b / F.lit(low + 1.0)) - F.log(a / F.lit(high + 1.0))
+        strong = (odds >= LEAST_ODDS) & (odds >= LEAST_Z * F.sqrt(1 / a + 1 / b))
+        best.append(F.when(strong, F.least(odds, F.lit(MOST_ODDS))).otherwise(0.0))
+    return counts.select("feature", (F.greatest(*best) if len(best) > 1 else best[0]).alias("odds")).where("odds > 0")
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", select_grade: int | None = None, least_tail: float = 0.5) -> DataFrame:
@@ -192,9 +198,23 @@ def label_grade() -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED) -> OrdinalModel:
-    """A model of the labels' grades; without any rated row all texts score alike and are kept."""
-    return fit(*rated_sample(docs, labels, label_grade(), max_rated=max_rated), GRADES)
+def fitted(docs: DataFrame, ratings: DataFrame, grade: Column | None = None, n_grades: int = GRADES, max_rated: int = MAX_RATED) -> OrdinalModel:
+    """A model of the ratings' grades (default: those of the labels table); without any rated row all texts score alike and are kept."""
+    rated = cut(rated_sample(docs, ratings, label_grade() if grade is None else grade, max_rated=max_rated))
+    kept = sorted((r["feature"], r["odds"]) for r in evidence(rated, n_grades).collect())
+    buckets, scale = np.array([f for f, _ in kept], dtype=np.int64), np.array([o for _, o in kept]) / 2
+    rows = sorted((r["id"], r["grade"], r["own"]) for r in _only(rated, buckets).collect())
+    return fit([np.searchsorted(buckets, np.array(own, dtype=np.int64)) for _, _, own in rows], np.array([g for _, g, _ in rows], dtype=np.int64), n_grades, buckets, scale)
+
+
+def _only(rated: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """id, grade, own: the features of each rated row that are among the buckets, in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(x, buckets, assume_unique=True).astype(np.int32) for x in batch.column("features").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array(own, pa.list_(pa.int32()))], names=["id", "grade", "own"])
+
+    return rated.mapInArrow(run, rated.withColumnRenamed("features", "own").schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
