@@ -1,15 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by itself: text in
-menus, headers, footers, sidebars, notices, adverts, forms and comments is out by its markup, text of
-an article is in unless it is mostly links, and elsewhere length, density of stop words and density of
-links decide. Short blocks that say too little stay open, and in the second pass take the label of the
-nearest decided neighbours: that of both if they agree, else of the nearer one.
+A page is cut into blocks at block-level tags. The first pass looks at each block by itself: density of
+stop words, length and density of links make it good or bad; short blocks, and longer ones that are
+neither wordy nor linked enough, stay open. Markup has one vote: text in menus, headers, footers,
+sidebars, notices, adverts, forms and comments is bad, since what is written there reads like any other
+text; an article's tags decide nothing in this pass. In the second pass open blocks take the label of
+the nearest decided neighbours within their own container: that of both if they agree, else of the
+nearer one. Where a container has no decided block, being in an article speaks for the text; otherwise
+neighbours beyond the container decide, and on a page without any good block open ones without links
+are the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,8 +30,7 @@ from pipewright.llm._tables import table
 #: density in running text is lower than with full lists.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.10, 0.12
-MOST_LINKED = 0.2
-MOST_LINKED_IN_ARTICLE = 0.5
+FEW_LINKED, MOST_LINKED = 0.2, 0.5
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -46,15 +50,21 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements whose content isn't text of the page, read up to their end tag whatever is inside.
 RAW_TAGS = ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "select", "noframes")
+#: Elements that hold blocks which belong together; text directly in the body has the whole page around it.
+CONTAINERS = frozenset("article aside center dialog div fieldset footer form header main menu nav section table td".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_TAGS = frozenset("nav header footer aside form menu button dialog fieldset".split())
 IN_TAGS = frozenset(("article", "main"))
-#: Words of class, id and role that tell what an element holds.
+#: Words of class, id and role that tell what an element holds; they count if the name has no others but those of PLAIN_WORDS.
 OUT_WORDS = frozenset(
     """ad ads adbox advert advertisement adverts banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie
     cookies copyright disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo
     promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 )
+PLAIN_WORDS = frozenset(
+    """area bar block bottom box button buttons container content global group inner item items left link links list main outer page primary right
+    secondary section site slot text thread top user wrap wrapper""".split()
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     # a self-closed drawing or formula; a slash that ends an unquoted value closes nothing
@@ -71,37 +81,38 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("linked", "place", "text")
+    __slots__ = ("linked", "place", "region", "text")
 
-    def __init__(self, text: str, linked: int, place: str):
-        self.text, self.linked, self.place = text, linked, place
+    def __init__(self, text: str, linked: int, place: str, region: int):
+        self.text, self.linked, self.place, self.region = text, linked, place, region
 
 
-def _is_out(name: str, attributes: str) -> bool:
+def _is_out(name: str, attributes: str, place: str) -> bool:
     if name in OUT_TAGS:
-        return True
+        return not (name == "header" and place == "in")  # an article's own heading
     if not attributes or name in ("html", "body", "main", "article"):
         return False
     for value in _NAMES.findall(attributes):
-        if OUT_WORDS.intersection(re.split(r"[^a-z]+", value.lower())):
-            return True
+        for one in value.strip("\"'").lower().split():
+            parts = {x for x in re.split(r"[^a-z]+", one) if x}
+            if parts & OUT_WORDS and parts <= OUT_WORDS | PLAIN_WORDS:
+                return True
     return bool(_HIDDEN.search(attributes))
 
 
 def blocks(html: str) -> Iterator[Block]:
-    """Blocks with text, in page order: text, characters inside links, place ('out', 'in' or '')."""
+    """Blocks with text, in page order: text, characters inside links, place ('out', 'in' or ''), number of the innermost container."""
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
-    stack: list[tuple[str, str]] = []  # open elements that matter, with the place they make
-
-    def place() -> str:
-        return stack[-1][1] if stack else ""
+    linked, in_link, at, regions = 0, 0, 0, 0
+    stack: list[tuple[str, str, int]] = []  # open elements that matter, with the place and region they make
+    opened: Counter[str] = Counter()
 
     def flush() -> Iterator[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            yield Block(text, min(linked, len(text)), place())
+            _, place, region = stack[-1] if stack else ("", "", 0)
+            yield Block(text, min(linked, len(text)), place, region)
         parts.clear()
         linked = 0
 
@@ -112,6 +123,13 @@ def blocks(html: str) -> Iterator[Block]:
             if in_link:
                 linked += len(" ".join(unescape(text).split()))
 
+    def close(name: str) -> None:
+        while True:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == name:
+                return
+
     for token in _TOKEN.finditer(html):
         add(html[at : token.start()])
         at = token.end()
@@ -119,81 +137,81 @@ def blocks(html: str) -> Iterator[Block]:
         if not name:
             continue
         closing, attributes = (token[2], token[4]) if token[3] else (token[5], token[7])
+        _, here, region = stack[-1] if stack else ("", "", 0)
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
             add(" ")
             continue
         if name not in BLOCK_TAGS and name not in OUT_TAGS:
-            if closing or name in VOID_TAGS or not attributes or not _is_out(name, attributes):
-                if closing and any(n == name for n, _ in stack):
+            if closing or name in VOID_TAGS or not attributes or not _is_out(name, attributes, here):
+                if closing and opened[name]:
                     yield from flush()
-                    while stack.pop()[0] != name:
-                        pass
+                    close(name)
                 continue
         yield from flush()
         in_link = in_link if name == "a" else 0
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-            continue
-        if name in VOID_TAGS or name == "p" and not _is_out(name, attributes):
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            if opened[name]:
+                close(name)
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
-        here = place()
+            close("p")
+            _, here, region = stack[-1] if stack else ("", "", 0)
+        out = _is_out(name, attributes, here)
+        if name in VOID_TAGS or name == "p" and not out:
+            continue
         if here != "out":
-            here = "out" if _is_out(name, attributes) else "in" if name in IN_TAGS else here
+            here = "out" if out else "in" if name in IN_TAGS else here
         if not attributes.rstrip().endswith("/"):
-            stack.append((name, here))
+            if name in CONTAINERS or out:
+                regions += 1
+                region = regions
+            stack.append((name, here, region))
+            opened[name] += 1
     add(html[at:])
     yield from flush()
 
 
 def _first_pass(block: Block) -> str:
-    """'good', 'bad' or 'short'."""
+    """'good', 'bad' or 'open'."""
     links = block.linked / len(block.text)
-    if block.place == "out":
-        return "bad"
-    if block.place == "in":
-        return "bad" if links > MOST_LINKED_IN_ARTICLE else "good"
-    if links > MOST_LINKED:
+    if block.place == "out" or links > MOST_LINKED or "©" in block.text and len(block.text) < SHORT and block.place != "in":
         return "bad"
-    if len(block.text) < SHORT:
-        return "bad" if block.linked or "©" in block.text else "short"
+    if len(block.text) < SHORT or links > FEW_LINKED:
+        return "open"
     words = _WORD.findall(block.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stop >= STOP_HIGH or stop >= STOP_LOW and len(block.text) > LONG:
-        return "good"
-    return "short" if stop >= STOP_LOW / 2 else "bad"
+    return "good" if stop >= STOP_HIGH or stop >= STOP_LOW and len(block.text) > LONG else "open"
+
+
+def _nearest(first: list[str], wanted: list[int]) -> dict[int, str]:
+    """Of each open block among ``wanted`` (ascending) the label of the nearest decided ones before and after; nothing where there are none."""
+    near: dict[int, list[tuple[int, str]]] = {}
+    for order in (wanted, wanted[::-1]):
+        last = None
+        for i in order:
+            if first[i] != "open":
+                last = i
+            elif last is not None:
+                near.setdefault(i, []).append((abs(i - last), first[last]))
+    return {i: min(x, key=lambda d: (d[0], d[1] != "good"))[1] for i, x in near.items()}
 
 
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     first = [_first_pass(b) for b in found]
-    before: list[tuple[int, str] | None] = []
-    last = None
-    for i, label in enumerate(first):
-        before.append(last)
-        if label != "short":
-            last = (i, label)
-    after: list[tuple[int, str] | None] = []
-    last = None
-    for i in range(len(first) - 1, -1, -1):
-        after.append(last)
-        if first[i] != "short":
-            last = (i, first[i])
-    after.reverse()
-    out = []
-    for i, label in enumerate(first):
-        if label == "short":
-            near = [x for x in (before[i], after[i]) if x]
-            label = min(near, key=lambda x, i=i: (abs(x[0] - i), x[1] != "good"))[1] if near else "bad"
-        out.append(label == "good")
-    return out
+    regions: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if b.region and b.place != "out":
+            regions.setdefault(b.region, []).append(i)
+    label: dict[int, str] = {}
+    for own in regions.values():
+        label |= _nearest(first, own)
+    label |= {i: "good" for i, b in enumerate(found) if first[i] == "open" and i not in label and b.place == "in"}
+    if "good" in first:
+        label = _nearest(first, list(range(len(found)))) | label
+    return [(label.get(i, "bad" if b.linked else "good") if first[i] == "open" else first[i]) == "good" for i, b in enumerate(found)]
 
 
 def main_text(html: str | None) -> str:
