@@ -1,19 +1,26 @@
 """Exact top-k by inner product with cover trees over queries and data.
 
 Vectors are turned to integers, equal vectors are kept only with their k + 1 least ids (no other copy
-can be among the k best beside a query's own), and queries with equal vectors are searched once. Data
-and queries are dealt into blocks of bounded size; each pair of blocks is one task that builds a cover
-tree on either side and walks both together. A pair of nodes is given up if even the bound
+can be among the k best beside a query's own), and queries with equal vectors are searched once.
+
+Data and queries are dealt into blocks by region: the nearest of at most ``PIVOTS`` vectors (a bounded
+sample, which decides about speed alone), and within a region by hash where it has more than a block
+holds. A cover tree is built once for each block and kept as one row. Each query block first meets the
+data blocks of the region nearest to it, which gives every query a k-th score to beat. Then pairs of
+blocks are given up before anything is shuffled where even the bound
 
     <q, x> <= <cq, cx> + |cq| rx + |cx| rq + rq rx
 
-(c: centre, r: covering radius) is below the worst k-th score of the node's queries so far. What the
-blocks find is merged by window limits that start before the shuffle.
+(c: centre, r: covering radius) is below the worst k-th score of the block's queries, and each pair
+that is left is one task that walks both trees together and gives up pairs of nodes by the same bound.
+What the blocks find is merged by window limits that start before the shuffle.
+
+Where vectors have no clusters, in many dimensions, no bound is below a k-th score: then every pair of
+blocks is compared, as a matrix product of the trees' bags. Results are the same.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,113 +29,166 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pipewright.llm._arrow import arrow_schema, record_batch
 from pipewright.llm._tables import cut, table
 
 TOP = 5
-LEAF = 48
-DATA_BLOCK, QUERY_BLOCK = 8192, 4096
+LEAF = 32
+DATA_BLOCK, QUERY_BLOCK = 2048, 2048
+PIVOTS = 1024
+_EXACT = 2.0**53
 
 
-class Node:
-    __slots__ = ("begin", "centre", "children", "end", "norm", "radius")
-
-    def __init__(self, begin: int, end: int, centre: np.ndarray, radius: float):
-        self.begin, self.end, self.centre, self.radius = begin, end, centre, radius
-        self.norm = float(np.sqrt(centre @ centre))
-        self.children: list[Node] = []
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows: in doubles where those are exact, else in Python's integers."""
+    if np.abs(a).max(initial=0) * float(np.abs(b).max(initial=0)) * a.shape[1] < _EXACT:
+        return a.astype(np.float64) @ b.astype(np.float64).T
+    return a.astype(object) @ b.astype(object).T
 
 
 class CoverTree:
-    """Nodes cover runs of ``order``; children's centres are members more than half their parent's radius apart."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
-        self.order = np.arange(len(points))
-        self.root = self._build(0, len(points)) if len(points) else None
-        self.points = points[self.order]
-
-    def _build(self, begin: int, end: int) -> Node:
-        own = self.order[begin:end]
-        centre = self.points[own[0]]
-        apart = np.sqrt(((self.points[own] - centre) ** 2).sum(axis=1))
-        node = Node(begin, end, centre, float(apart.max()))
-        if end - begin <= self.leaf or node.radius == 0:
-            return node
-        parts: list[np.ndarray] = []
-        left, reach = own, node.radius / 2
-        while len(left):
-            far = np.sqrt(((self.points[left] - self.points[left[0]]) ** 2).sum(axis=1)) > reach
-            parts.append(left[~far])
-            left = left[far]
-            if len(parts) > 16 + (end - begin) // 4:  # nothing lies close together here: one flat node
-                return node
-        self.order[begin:end] = np.concatenate(parts)
-        at = begin
-        for part in parts:
-            node.children.append(self._build(at, at + len(part)))
-            at += len(part)
-        return node
+    """Centres are members; those of a node's children are more than half its radius apart, and each member is within that of one.
+
+    Children of ``leaf`` members or less are the node's bag. Nodes are rows: begin, end of the bag, end
+    of the node (places in ``points``), place of the centre; and the radii of the node and of its bag."""
+
+    def __init__(self, points: np.ndarray, order: np.ndarray, nodes: np.ndarray, radii: np.ndarray, children: list[list[int]]):
+        self.points, self.order, self.nodes, self.radii, self.children = points, order, nodes, radii, children
+        self.centres = points[nodes[:, 3]].astype(np.float64)
+        self.norms = np.sqrt((self.centres**2).sum(axis=1))
+
+    @classmethod
+    def built(cls, points: np.ndarray, leaf: int = LEAF) -> CoverTree:
+        real = points.astype(np.float64)
+        square = (real**2).sum(axis=1)
+        apart = square[:, None] + square[None] - 2 * (real @ real.T)
+        apart += 1e-14 * real.shape[1] * (square[:, None] + square[None])  # rounding never makes a radius too small
+        apart = np.sqrt(np.maximum(apart, 0))
+        np.fill_diagonal(apart, 0)
+        order: list[int] = []
+        rows: list[list[int]] = []
+        radii: list[tuple[float, float]] = []
+        children: list[list[int]] = []
+
+        def build(own: np.ndarray) -> int:
+            centre = int(own[((real[own] - real[own].mean(axis=0)) ** 2).sum(axis=1).argmin()])
+            radius = float(apart[centre, own].max())
+            at, begin = len(rows), len(order)
+            rows.append([begin, 0, 0, centre])
+            radii.append((radius, 0.0))
+            children.append([])
+            parts = []
+            if len(own) > leaf and radius > 0:
+                left = np.concatenate(([centre], own[own != centre]))
+                while len(left):
+                    near = apart[left[0], left] <= radius / 2
+                    parts.append(left[near])
+                    left = left[~near]
+            bag = np.concatenate([p for p in parts if len(p) <= leaf] or [own[:0]]) if parts else own
+            order.extend(bag.tolist())
+            rows[at][1] = len(order)
+            radii[at] = (radius, float(apart[centre, bag].max(initial=0)))
+            children[at] = [build(p) for p in parts if len(p) > leaf]
+            rows[at][2] = len(order)
+            return at
+
+        build(np.arange(len(points)))
+        place = np.empty(len(points), dtype=np.int64)
+        place[order] = np.arange(len(points))
+        nodes = np.array(rows, dtype=np.int64)
+        nodes[:, 3] = place[nodes[:, 3]]
+        return cls(points[order], np.array(order), nodes, np.array(radii), children)
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """points in the smallest integer type, nodes with their parents, radii."""
+        kind = next(t for t in (np.int16, np.int32, np.int64) if np.abs(self.points).max(initial=0) <= np.iinfo(t).max)
+        parent = np.zeros(len(self.nodes), dtype=np.int64)
+        for at, own in enumerate(self.children):
+            parent[own] = at
+        return self.points.astype(kind).tobytes(), np.column_stack((self.nodes, parent)).tobytes(), self.radii.tobytes()
+
+    @classmethod
+    def unpacked(cls, n: int, dim: int, points: bytes, nodes: bytes, radii: bytes) -> CoverTree:
+        kind = {2: np.int16, 4: np.int32}.get(len(points) // max(1, n * dim), np.int64)
+        rows = np.frombuffer(nodes, dtype=np.int64).reshape(-1, 5)
+        children: list[list[int]] = [[] for _ in rows]
+        for at in range(1, len(rows)):
+            children[rows[at, 4]].append(at)
+        return cls(np.frombuffer(points, dtype=kind).reshape(n, dim).astype(np.int64), np.arange(n), rows[:, :4], np.frombuffer(radii).reshape(-1, 2), children)
 
 
 class DualSearch:
-    """The ``top`` best (score, id) of each query; ties go to the smaller id."""
-
-    def __init__(self, queries: np.ndarray, data: np.ndarray, ids: np.ndarray, top: int):
-        self.q, self.d, self.top = CoverTree(queries), CoverTree(data), top
-        self.ids = ids[self.d.order]
-        self.best: list[list[tuple[float, int]]] = [[] for _ in range(len(queries))]
-        self.worst = np.full(len(queries), -np.inf)
+    """The ``top`` best (score, id) of each query; ties go to the smaller id. worst: scores below which nothing is wanted."""
+
+    def __init__(self, queries: CoverTree, data: CoverTree, ids: np.ndarray, top: int, worst: np.ndarray | None = None):
+        self.q, self.d, self.ids, self.top = queries, data, ids, top
+        self.best: list[list[tuple[int, int]]] = [[] for _ in range(len(queries.points))]
+        self.worst = np.full(len(queries.points), -np.inf) if worst is None else worst.astype(np.float64)
+        self.real = queries.points.astype(np.float64)
+        self.lengths = np.sqrt((self.real**2).sum(axis=1))
         self.compared = 0
-        if len(queries) and len(data):
-            self._visit(self.q.root, [self.d.root])
-
-    def _bounds(self, q: Node, nodes: list[Node]) -> np.ndarray:
-        centres = np.stack([n.centre for n in nodes])
-        radius = np.array([n.radius for n in nodes])
-        norm = np.array([n.norm for n in nodes])
-        return (centres @ q.centre + q.norm * radius + norm * q.radius + q.radius * radius) * (1 + 1e-12) + 1e-6
-
-    def _visit(self, q: Node, nodes: list[Node]) -> None:
-        if q.children:
-            ready: list[Node] = []
-            while nodes:  # open the data nodes that are wider than this query node
-                wide = [n for n in nodes if n.children and n.radius > q.radius]
-                ready += [n for n in nodes if not (n.children and n.radius > q.radius)]
-                nodes = [c for n in wide for c in n.children]
-            keep = self._bounds(q, ready) >= self.worst[q.begin : q.end].min()
-            kept = [n for n, k in zip(ready, keep, strict=True) if k]
-            for child in q.children if kept else []:
-                self._visit(child, kept)
+        if len(queries.points) and len(data.points):
+            self._visit(0, False, [(0, False)])
+
+    def _parts(self, tree: CoverTree, node: int) -> list[tuple[int, bool]]:
+        return [(node, True)] * bool(tree.nodes[node, 1] > tree.nodes[node, 0]) + [(c, False) for c in tree.children[node]]
+
+    def _range(self, tree: CoverTree, node: int, bag: bool) -> np.ndarray:
+        return np.arange(tree.nodes[node, 0], tree.nodes[node, 1 if bag else 2])
+
+    def _radii(self, nodes: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([n for n, _ in nodes])
+        return at, self.d.radii[at, np.array([int(bag) for _, bag in nodes])]
+
+    def _visit(self, q: int, q_bag: bool, nodes: list[tuple[int, bool]]) -> None:
+        """Data nodes (or their bags) against a query node, best bounds first, down to its bags."""
+        own = self._range(self.q, q, q_bag)
+        if q_bag:
+            self._search(own, nodes)
             return
-        heap = [(-b, i, n) for i, (b, n) in enumerate(zip(self._bounds(q, nodes).tolist(), nodes, strict=True))]
-        heapq.heapify(heap)
-        count = len(heap)
-        while heap:
-            bound, _, node = heapq.heappop(heap)
-            if -bound < self.worst[q.begin : q.end].min():
+        at, radius = self._radii(nodes)
+        apart = self.q.radii[q, 0]
+        bounds = self.d.centres[at] @ self.q.centres[q] + self.q.norms[q] * radius + self.d.norms[at] * apart + apart * radius
+        bounds = bounds * (1 + np.sign(bounds) * 1e-9) + 1e-6
+        for k in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[k] < self.worst[own].min():
                 return
-            if not node.children:
-                self._compare(q, node)
-                continue
-            for b, child in zip(self._bounds(q, node.children).tolist(), node.children, strict=True):
-                heapq.heappush(heap, (-b, count, child))
-                count += 1
-
-    def _compare(self, q: Node, x: Node) -> None:
-        scores = self.q.points[q.begin : q.end] @ self.d.points[x.begin : x.end].T
+            x, x_bag = nodes[k]
+            if not x_bag and self.d.radii[x, 0] >= apart:
+                self._visit(q, q_bag, self._parts(self.d, x))
+            else:
+                for part, bag in self._parts(self.q, q):
+                    self._visit(part, bag, [nodes[k]])
+
+    def _search(self, own: np.ndarray, nodes: list[tuple[int, bool]]) -> None:
+        """Data nodes against the queries of a bag, each of which is a group of its own here: its radius is 0."""
+        at, radius = self._radii(nodes)
+        bounds = self.real[own] @ self.d.centres[at].T + self.lengths[own][:, None] * radius
+        bounds = bounds * (1 + np.sign(bounds) * 1e-9) + 1e-6
+        for k in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+            left = own[bounds[:, k] >= self.worst[own]]
+            if len(left):
+                x, x_bag = nodes[k]
+                if x_bag:
+                    self._compare(left, self._range(self.d, x, True))
+                else:
+                    self._search(left, self._parts(self.d, x))
+
+    def _compare(self, own: np.ndarray, other: np.ndarray) -> None:
+        scores = products(self.q.points[own], self.d.points[other])
         self.compared += scores.size
-        ids = self.ids[x.begin : x.end]
-        for i in np.flatnonzero(scores.max(axis=1) >= self.worst[q.begin : q.end]):
-            at = q.begin + int(i)
+        ids = self.ids[other]
+        for i in np.flatnonzero(scores.max(axis=1) >= self.worst[own]):
+            at = int(own[i])
             hit = np.flatnonzero(scores[i] >= self.worst[at])
             if len(hit) > self.top:
                 hit = hit[np.lexsort((ids[hit], -scores[i][hit]))[: self.top]]
-            best = sorted([*self.best[at], *((-s, v) for s, v in zip(scores[i][hit].tolist(), ids[hit].tolist(), strict=True))])[: self.top]
-            self.best[at] = best
+            found = ((-int(s), int(v)) for s, v in zip(scores[i][hit], ids[hit], strict=True))
+            best = self.best[at] = sorted([*self.best[at], *found])[: self.top]
             if len(best) == self.top:
-                self.worst[at] = -best[-1][0]
+                self.worst[at] = max(self.worst[at], -best[-1][0])
 
-    def results(self) -> Iterator[tuple[int, int, float]]:
+    def results(self) -> Iterator[tuple[int, int, int]]:
         """(query, id, score)."""
         for at, best in enumerate(self.best):
             for score, v in best:
@@ -146,13 +206,80 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~F.coalesce(F.exists(embedding, odd), F.lit(False))
 
 
-def top_products(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vector: str = "vector", top: int = TOP, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _regions(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """rows(dim, v, ..) with ``region``: the nearest pivot of its dimension."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim, region = batch.column("dim").to_numpy(), np.zeros(len(batch), dtype=np.int32)
+            values = batch.column("v")
+            for d in np.unique(dim).tolist():
+                at, own = np.flatnonzero(dim == d), pivots.get(d)
+                if own is not None and d:
+                    points = np.array(values.take(pa.array(at)).flatten().to_numpy(), dtype=np.float64).reshape(len(at), d)
+                    region[at] = ((own**2).sum(axis=1)[None] - 2 * points @ own.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region)], names=[*names, "region"])
+
+    return rows.mapInArrow(run, rows.withColumn("region", F.lit(0)).schema)
+
+
+TREE = "dim int, block long, region int, n int, keys array<long>, points binary, nodes binary, radii binary, centre array<double>, norm double, radius double"
+
+
+def _trees(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """One row for each block of rows(dim, region, v, *key), with its cover tree; keys: those of its vectors, one after the other."""
+    counts = rows.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    dealt = rows.join(counts, ["dim", "region"]).withColumn("part", F.pmod(F.xxhash64(*key, F.lit("part")), "parts").cast("int"))
+    dealt = dealt.withColumn("block", F.xxhash64("dim", "region", "part"))
+    shape = arrow_schema(TREE)
+
+    def run(group: pa.Table) -> pa.Table:
+        dim = group.column("dim")[0].as_py()
+        points = np.array(group.column("v").combine_chunks().flatten().to_numpy(), dtype=np.int64).reshape(len(group), dim)
+        tree = CoverTree.built(points)
+        keys = np.column_stack([group.column(c).to_numpy()[tree.order] for c in key]).reshape(-1)
+        first = [dim, group.column("block")[0].as_py(), group.column("region")[0].as_py(), len(group), keys.tolist()]
+        row = [*first, *tree.packed(), tree.centres[0].tolist(), float(tree.norms[0]), float(tree.radii[0, 0])]
+        return pa.Table.from_batches([record_batch([[x] for x in row], shape)])
+
+    return cut(dealt.select("dim", "block", "region", "v", *key).groupBy("dim", "block").applyInArrow(run, TREE))
+
+
+def _searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, top: int) -> DataFrame:
+    """h1, h2, id, score of the best of each pair(dim, query_block, block); queries with ``worst`` scores by query."""
+    left = pairs.join(data.select("dim", "block", "n", "keys", "points", "nodes", "radii"), ["dim", "block"])
+    again = pairs.select(*(F.col(c).alias(c) for c in pairs.columns))
+    right = again.join(queries.select("dim", F.col("block").alias("query_block"), "n", "keys", "points", "nodes", "radii", "worst"), ["dim", "query_block"])
+    schema = "h1 long, h2 long, id long, score long"
+    shape = arrow_schema(schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, q = a.to_pylist()[0], b.to_pylist()[0]
+        tree = lambda r: CoverTree.unpacked(r["n"], r["dim"], r["points"], r["nodes"], r["radii"])
+        keys = np.array(q["keys"], dtype=np.int64).reshape(-1, 2)
+        worst = np.array([-np.inf if w is None else w for w in q["worst"]])
+        search = DualSearch(tree(q), tree(x), np.array(x["keys"], dtype=np.int64), top, worst)
+        found = [(*keys[i].tolist(), v, s) for i, v, s in search.results()]
+        return pa.Table.from_batches([record_batch(zip(*found, strict=True) if found else [[]] * 4, shape)])
+
+    key = ["dim", "query_block", "block"]
+    return cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema))
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def top_products(
+    vectors: DataFrame, queries: Column, id_column: str = "vec_id", vector: str = "vector", top: int = TOP, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK, pivots: int = PIVOTS,
+) -> DataFrame:
     """query_id, rank, id_column, score: for each row that ``queries`` is true for, its ``top`` best other rows.
 
     vector holds integers. Rows whose id or vector is null take no part; rows equal in id and vector
     are one; rows with the query's id are its own and no candidates; vectors of different lengths
-    aren't compared. Scores are exact while products stay below 2**53. Ties go to the smaller id; with
-    fewer candidates than ``top`` all are returned; an empty table gives an empty result.
+    aren't compared. Scores are exact; one beyond 64 bits raises an error. Ties go to the smaller id;
+    with fewer candidates than ``top`` all are returned; an empty table gives an empty result.
     """
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(
         F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"),
@@ -162,27 +289,35 @@ def top_products(vectors: DataFrame, queries: Column, id_column: str = "vec_id",
     data = cut(distinct.withColumn("n", F.row_number().over(few)).where(F.col("n") <= top + 1).select("h1", "h2", "dim", "id", "v"))
     asked = distinct.where("is_query").select("id", "h1", "h2")
     wanted = cut(distinct.where("is_query").groupBy("h1", "h2", "dim").agg(F.first("v").alias("v")))
-    blocks, query_blocks = (max(1, -(-x.count() // size)) for x, size in ((data, data_block), (wanted, query_block)))
-    place = lambda n: F.pmod(F.xxhash64("h1", "h2", F.lit("block")), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = data.select("dim", "id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(query_blocks).alias("query_block"))
-    right = wanted.select("dim", "h1", "h2", "v", place(query_blocks).alias("query_block"), every(blocks).alias("block"))
-    key = ["dim", "block", "query_block"]
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            found: list[tuple] = []
-        else:
-            matrix = lambda t: np.array(t.column("v").combine_chunks().flatten().to_numpy(), dtype=np.float64).reshape(len(t), -1)
-            h1, h2 = (b.column(c).to_numpy() for c in ("h1", "h2"))
-            search = DualSearch(matrix(b), matrix(a), a.column("id").to_numpy(), top + 1)
-            found = [(int(h1[q]), int(h2[q]), v, int(s)) for q, v, s in search.results()]
-        columns = list(zip(*found, strict=True)) or [[], [], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("h1", "h2", "id", "score"), columns, strict=True)})
-
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "h1 long, h2 long, id long, score long")
+    def dealt(some: DataFrame, key: list[str], size: int) -> DataFrame:
+        wish = min(pivots, -(-some.count() // size))
+        sample: dict[int, list] = {}
+        for r in some.select("dim", "v").orderBy(F.xxhash64("h1", "h2"), *key).limit(wish).collect():
+            sample.setdefault(r["dim"], []).append(r["v"])
+        return _trees(_regions(some.select("dim", "v", *key), {d: np.array(v, dtype=np.float64) for d, v in sample.items()}), key, size)
+
+    trees, asking = dealt(data, ["id"], data_block), dealt(wanted, ["h1", "h2"], query_block)
+    asking = asking.withColumn("worst", F.array_repeat(F.lit(None).cast("double"), F.col("n")))
+    ends = lambda t, block, suffix: t.select("dim", F.col("block").alias(block), *(F.col(c).alias(c + suffix) for c in ("centre", "norm", "radius")))
+    both = ends(trees, "block", "_x").join(ends(asking, "query_block", "_q"), "dim")  # blocks against blocks of the stated queries
+    bound = _dot(F.col("centre_q"), F.col("centre_x")) + F.col("norm_q") * F.col("radius_x") + F.col("norm_x") * F.col("radius_q") + F.col("radius_q") * F.col("radius_x")
+    both = both.withColumn("bound", bound + F.abs(bound) * 1e-9 + 1e-6).select("dim", "query_block", "block", "bound")
+    best = Window.partitionBy("dim", "query_block").orderBy(F.col("bound").desc(), "block")
+    pairs = cut(both.withColumn("first", F.row_number().over(best) == 1))
+    found = _searched(pairs.where("first").select("dim", "query_block", "block"), asking, trees, top + 1)
+    # the score that each query has reached, in the order of its block
+    reached = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("h1", "h2", F.try_element_at("s", F.lit(top + 1)).cast("double").alias("score"))
+    keyed = asking.select("dim", "block", F.posexplode(F.expr("transform(sequence(0, n - 1), i -> struct(keys[2 * i] as h1, keys[2 * i + 1] as h2))")).alias("place", "key"))
+    listed = keyed.select("dim", "block", "place", "key.h1", "key.h2").join(reached, ["h1", "h2"], "left").groupBy("dim", "block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "score"))), lambda x: x["score"]).alias("worst"), F.min(F.coalesce("score", F.lit(float("-inf")))).alias("least")
+    )
+    known = cut(listed)
+    left = pairs.where("NOT first").join(known.select("dim", F.col("block").alias("query_block"), "least"), ["dim", "query_block"]).where("bound >= least")
+    rest = _searched(left.select("dim", "query_block", "block"), asking.drop("worst").join(known.select("dim", "block", "worst"), ["dim", "block"]), trees, top + 1)
+
     order = [F.col("score").desc(), F.col("id")]
-    merged = found.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(*order))).where(F.col("n") <= top + 1)
+    merged = found.unionByName(rest).withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(*order))).where(F.col("n") <= top + 1)
     answers = asked.withColumnRenamed("id", "query_id").join(merged.drop("n"), ["h1", "h2"]).where("id <> query_id")
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "h1", "h2").orderBy(*order)))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(id_column), "score")

@@ -762,16 +762,38 @@ def test_top_products_edges(spark):
 def test_search_prunes():
     r = np.random.default_rng(2)
     centres = r.normal(size=(20, 16)) * 1000
-    data = np.floor(centres[r.integers(0, 20, 3000)] + r.normal(size=(3000, 16)) * 10)
-    queries = np.floor(centres[r.integers(0, 20, 60)] + r.normal(size=(60, 16)) * 10)
-    search = topk_search.DualSearch(queries, data, np.arange(3000), 6)
+    near = lambda n: np.floor(centres[r.integers(0, 20, n)] + r.normal(size=(n, 16)) * 200).astype(np.int64)
+    data, queries = near(3000), near(200)
+    tree, asking = topk_search.CoverTree.built(data), topk_search.CoverTree.built(queries)
     scores = queries @ data.T
-    for q, i, s in search.results():
-        assert scores[q, i] == s
-    for q in range(60):
-        want = sorted(zip(-scores[q], range(3000), strict=True))[:6]
-        assert search.best[list(search.q.order).index(q)] == want
-    assert search.compared < 0.5 * scores.size
+    again = topk_search.CoverTree.unpacked(len(data), 16, *tree.packed())
+    for x in (tree, again):
+        search = topk_search.DualSearch(asking, x, tree.order, 6)
+        for q in range(200):
+            want = sorted(zip(-scores[q], range(3000), strict=True))[:6]
+            assert search.best[list(asking.order).index(q)] == want
+        assert search.compared < 0.5 * scores.size
+    for t in (tree, asking):  # covering and separation
+        for at, (begin, bag, end, centre) in enumerate(t.nodes.tolist()):
+            apart = np.sqrt(((t.points[begin:end] - t.points[centre]) ** 2).sum(axis=1))
+            assert apart.max() <= t.radii[at, 0] + 1e-6 and apart[: bag - begin].max(initial=0) <= t.radii[at, 1] + 1e-6
+            assert sorted([*range(begin, bag), *(i for c in t.children[at] for i in range(t.nodes[c, 0], t.nodes[c, 2]))]) == list(range(begin, end))
+            assert all(t.radii[c, 0] < t.radii[at, 0] or t.radii[at, 0] == 0 for c in t.children[at])
+
+
+def test_search_without_clusters():
+    r = np.random.default_rng(4)
+    data, queries = r.integers(-500, 500, size=(700, 64)), r.integers(-500, 500, size=(40, 64))
+    asking = topk_search.CoverTree.built(queries)
+    search = topk_search.DualSearch(asking, topk_search.CoverTree.built(data), np.arange(700), 6)
+    assert search.compared == 700 * 40  # nothing can be given up here, and nothing is compared twice
+
+
+def test_scores_beyond_doubles(spark):
+    big = 1 << 29
+    rows = [(0, [big + 1, big - 3, 5]), (1, [big + 1, big - 3, 4]), (2, [big + 1, big - 3, 6]), (50, [big, big, 1])]
+    got = topk_search.top_products(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") % 50 == 0).collect()
+    assert {tuple(x) for x in got} == brute_top(dict(rows), [0, 50], 5)
 
 
 # pipeline ---------------------------------------------------------------------------------------
