@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op2_sharding": sharding.OP2_SQL,
     "op10_topk_search": topk_search.OP10_SQL,
 }

@@ -84,17 +84,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .select("_url", F.sha2("expression", 256).alias("url_digest"))
         .withColumn("short", F.substring("url_digest", 1, PREFIX_HEX))
     )
-    order = F.struct(
-        F.length("expression").alias("length"), F.col("host_length"), (F.col("action") == "block").alias("block"),
-        F.hash("rule").alias("tie"), F.col("rule"), F.col("action"),
+    order = F.struct(  # the least is the best
+        (-F.length("expression")).alias("length"), (-F.col("host_length")).alias("host_length"), (F.col("action") != "block").alias("allow"), F.col("rule"), F.col("action"),
     )
     verdicts = (
         expressions.join(ready, "short")
         .where(F.col("url_digest") == F.col("digest"))
-        .groupBy("_url").agg(F.max(order).alias("best"))
+        .groupBy("_url").agg(F.min(order).alias("best"))
         .select("_url", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
     )
-    judged = pages.withColumns(parsed).join(verdicts, F.col(url) == F.col("_url"), "left").drop("_url")
+    free = "_url"
+    while free in pages.columns:
+        free += "_"
+    judged = pages.withColumns(parsed).join(verdicts.withColumnRenamed("_url", free), F.col(url) == F.col(free), "left").drop(free)
     return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 

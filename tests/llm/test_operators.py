@@ -72,7 +72,7 @@ def test_registry_has_all_queries():
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(registry.ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
@@ -109,6 +109,9 @@ def test_url_filter(spark):
     assert len(found) == len(urls) + 1
     for x in found:
         assert (x["host"], x["path"], x["rule"], x["verdict"]) == brute_verdict(x["url"], rules)
+    own = spark.createDataFrame([("http://A.org/x", "mine", 1)], "url string, _url string, _url_ int")
+    tied = url_filter.filter_urls(own, spark.createDataFrame([("a.org/x", "allow"), ("A.org/x", "allow")], "rule string, action string")).collect()
+    assert [(x["_url"], x["_url_"], x["rule"]) for x in tied] == [("mine", 1, "A.org/x")]
     none = url_filter.filter_urls(df, spark.createDataFrame([(None, "block"), ("/x", "block")], "rule string, action string"), default="block")
     assert {(x["rule"], x["verdict"]) for x in none.collect()} == {(None, "block")}
     assert url_filter.filter_urls(df.limit(0), spark.createDataFrame(rules, "rule string, action string")).count() == 0
