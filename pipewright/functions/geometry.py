@@ -49,9 +49,13 @@ def segment_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 def box_distance(a: tuple[Column, ...], box: tuple[Column, ...]) -> Column:
     """Distance of a segment and an axis-parallel box (x1, y1, x2, y2); 0 if they meet."""
     x1, y1, x2, y2 = box
-    inside = (a[0] >= x1) & (a[0] <= x2) & (a[1] >= y1) & (a[1] <= y2)
-    edges = [(x1, y1, x2, y1), (x2, y1, x2, y2), (x2, y2, x1, y2), (x1, y2, x1, y1)]
-    return F.when(inside, 0.0).otherwise(F.least(*[segment_distance(a, e) for e in edges]))
+    corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+    sides = [side(*a, *c) for c in corners]
+    # they meet unless x, y or the segment's normal separates them
+    over = (F.least(a[0], a[2]) <= x2) & (F.greatest(a[0], a[2]) >= x1) & (F.least(a[1], a[3]) <= y2) & (F.greatest(a[1], a[3]) >= y1)
+    meet = over & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    ends = [point_box_distance(*a[:2], *box), point_box_distance(*a[2:], *box)]
+    return F.when(meet, 0.0).otherwise(F.least(*ends, *[point_segment_distance(*c, *a) for c in corners]))
 
 
 def point_box_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -1,40 +1,71 @@
-"""Roll-ups over forests of edges child -> parent, by path doubling instead of walking level by level."""
+"""Roll-ups over forests of edges child -> parent by pointer doubling.
+
+A node keeps one pointer, to its ancestor 2**n edges up, and what it has gathered from its descendants
+less than 2**n edges down. A round adds what the nodes that point at it have gathered and doubles the
+pointers, so a forest of depth d takes about log2(d) rounds of as many rows as it has nodes, also
+where it is one long chain. A cycle raises ValueError.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.session import cut
 
 
-def closure(links: DataFrame) -> DataFrame:
-    """links(node, up, length) of a forest -> all (node, up, length) with the summed length of the path.
+def _rounds(state: DataFrame, carried: list[str], gathered: str, of_one: Column, aggregate, merge) -> DataFrame:
+    """state(node, jump, length, *carried) -> the same when no pointer is left.
 
-    Paths double in each round, so a forest of depth d takes about log2(d) joins. A cycle raises."""
-    step = paths = cut(links.select("node", "up", "length"))
-    while True:  # step holds the paths of 2**n links, paths those and all shorter ones
-        longer = step.select("node", F.col("up").alias("via"), F.col("length").alias("l1"))
-        on = lambda p: longer.join(p.select(F.col("node").alias("via"), "up", F.col("length").alias("l2")), "via").select("node", "up", (F.col("l1") + F.col("l2")).alias("length"))  # noqa: B023, E731
-        added = cut(on(paths))
-        if added.isEmpty():
-            return paths
-        if not added.where(F.col("node") == F.col("up")).isEmpty():
+    gathered: the column to which a round merges aggregate(of_one), by the node pointed at."""
+    state, left, most = cut(state), None, 0
+    while True:
+        open_ = state.where("jump IS NOT NULL")
+        count = open_.count()
+        if left is None:
+            most = left = count
+        if not count:
+            return state
+        if not left:  # paths are longer than there are edges
             raise ValueError("the links have a cycle")
-        step, paths = cut(on(step)), paths.unionByName(added)
+        left //= 2
+        given = open_.groupBy(F.col("jump").alias("node")).agg(aggregate(of_one).alias("_given"))
+        further = state.select(F.col("node").alias("jump"), F.col("jump").alias("_next"), F.col("length").alias("_more"))
+        joined = state.join(given, "node", "left").join(further, "jump", "left")
+        state = cut(joined.select("node", F.col("_next").alias("jump"), (F.col("length") + F.col("_more")).alias("length"), *carried, merge(F.col(gathered), F.col("_given")).alias(gathered)))
+
+
+def _start(edges: DataFrame, *columns: Column) -> DataFrame:
+    """node, jump (its parent, if that has an edge too), length."""
+    known = edges.select(F.col("node").alias("up"), F.col("node").alias("jump"))
+    return edges.join(known, "up", "left").select("node", "jump", "length", *columns)
 
 
 def subtree_sum(edges: DataFrame, value: str) -> DataFrame:
     """edges(node, up, length, value) -> node, total: value summed over the node and all below it."""
-    own = edges.select("node", F.col(value).alias("v"))
-    below = closure(edges).join(own, "node").select(F.col("up").alias("node"), "v")
-    return own.unionByName(below).groupBy("node").agg(F.sum("v").alias("total")).join(edges.select("node"), "node", "left_semi")
+    add = lambda own, given: own + F.coalesce(given, F.lit(0.0))
+    return _rounds(_start(edges, F.col(value).alias("total")), [], "total", F.col("total"), F.sum, add).select("node", "total")
 
 
 def longest_run(edges: DataFrame, same: str) -> DataFrame:
     """edges(node, up, length, same) -> node, run: the longest way down from the edge over edges with an equal value."""
     e = edges.select("node", "up", "length", F.col(same).alias("s"))
     up = e.select(F.col("node").alias("up"), F.col("s").alias("us"))
-    links = e.join(up, "up").where(F.col("s") == F.col("us")).select("node", "up", "length")
-    down = closure(links).groupBy(F.col("up").alias("node")).agg(F.max("length").alias("below"))
-    return e.join(down, "node", "left").select("node", (F.col("length") + F.coalesce("below", F.lit(0.0))).alias("run"))
+    links = e.join(up, "up", "left").select("node", F.when(F.col("s") == F.col("us"), F.col("up")).alias("jump"), "length", F.col("length").alias("own"), F.lit(0.0).alias("below"))
+    best = lambda own, given: F.greatest(own, given)
+    return _rounds(links, ["own"], "below", F.col("length") + F.col("below"), F.max, best).select("node", (F.col("own") + F.col("below")).alias("run"))
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """edges(node, up) -> node, root: the end of the way up, which has no edge of its own."""
+    state, size = cut(edges.select("node", F.col("up").alias("root"))), None
+    while True:
+        joined = state.join(state.select(F.col("node").alias("root"), F.col("root").alias("_further")), "root", "left")
+        after = cut(joined.select("node", F.coalesce("_further", "root").alias("root"), F.col("_further").isNotNull().alias("_moved")))
+        moved = after.where("_moved").count()
+        if not moved:
+            return after.select("node", "root")
+        size = moved if size is None else size // 2
+        if not size:
+            raise ValueError("the links have a cycle")
+        state = after.drop("_moved")

@@ -11,22 +11,24 @@ EPS = 1e-4
 
 def priced_pieces(lines: DataFrame, events: DataFrame, key: str, length: str = "length", default: float = 1.0) -> DataFrame:
     """key, from, to, k: lines(key, length) cut at all ends of events(key, from, to, k), each piece with the
-    greatest k of the events that cover its middle (default: none). Slivers up to EPS go; pieces stay apart."""
+    greatest k of the events that cover it (default: none). Slivers up to EPS go; pieces stay apart.
+
+    k comes from a tariff, so it has few values: for each of them a running sum over the cuts of a line
+    counts the events that are open. One sort by line does it; no event meets another."""
     clipped = events.join(lines.select(key, length), key).select(
         key, F.greatest(F.lit(0.0), F.least("from", "to")).alias("from"), F.least(F.col(length), F.greatest("from", "to")).alias("to"), "k"
     ).where(F.col("from") < F.col("to"))
-    cuts = (
-        lines.select(key, F.explode(F.array(F.lit(0.0), F.col(length))).alias("at"))
-        .unionByName(clipped.select(key, F.explode(F.array("from", "to")).alias("at"))).distinct()
-        .withColumn("to", F.lead("at").over(Window.partitionBy(key).orderBy("at"))).where(F.col("to") - F.col("at") > EPS)
-        .select(key, F.col("at").alias("from"), "to")
-    )
-    covering = clipped.select(F.col(key).alias("_key"), "k", F.col("from").alias("_from"), F.col("to").alias("_to"))
-    middle = (F.col("from") + F.col("to")) / 2
-    return (
-        cuts.join(covering, (F.col(key) == F.col("_key")) & (middle >= F.col("_from")) & (middle <= F.col("_to")), "left")
-        .groupBy(key, "from", "to").agg(F.coalesce(F.greatest(F.max("k"), F.lit(default)), F.lit(default)).alias("k"))
-    )
+    levels = [r["k"] for r in events.select("k").where(F.col("k") > default).distinct().collect()]
+    begin, end = F.struct(F.col("from").alias("at"), F.lit(1).alias("step")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("step"))
+    ends = clipped.select(key, "k", F.explode(F.array(begin, end)).alias("e")).select(key, "k", "e.at", "e.step")
+    whole = lines.select(key, F.explode(F.array(F.lit(0.0), F.col(length))).alias("at")).select(key, F.lit(None).cast("double").alias("k"), "at", F.lit(0).alias("step"))
+    open_ = [f"_open{i}" for i in range(len(levels))]
+    changes = ends.unionByName(whole).groupBy(key, "at").agg(*(F.sum(F.when(F.col("k") == v, F.col("step")).otherwise(0)).alias(c) for v, c in zip(levels, open_, strict=True)))
+    w = Window.partitionBy(key).orderBy("at")
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    counted = changes.select(key, "at", F.lead("at").over(w).alias("to"), *(F.sum(c).over(until).alias(c) for c in open_))
+    k = F.greatest(F.lit(default), F.lit(default), *(F.when(F.col(c) > 0, v) for v, c in zip(levels, open_, strict=True)))
+    return counted.where(F.col("to") - F.col("at") > EPS).select(key, F.col("at").alias("from"), "to", k.alias("k"))
 
 
 def islands(df: DataFrame, key: str, order: str, value: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pipewright.session import cut
+
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
@@ -62,11 +64,11 @@ def nearest(points: DataFrame, key: str, px: str, py: str, shapes: DataFrame, ex
         last = radius >= reach
         near = range_join(open_, px, py, shapes, extent, radius).withColumn("dist", dist).where(F.col("dist") <= radius)
         ranked = near.withColumns({"rn": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-        solved = ranked.where((F.col("_n") >= enough) & (F.col("rn") <= k)).drop("_n")
+        solved = cut(ranked.where((F.col("_n") >= enough) & (F.col("rn") <= k)).drop("_n"))
         done.append(solved)
         if last:
             return reduce(DataFrame.unionByName, done)
-        open_ = open_.join(solved.select(key).distinct(), key, "left_anti")
+        open_ = cut(open_.join(solved.select(key).distinct(), key, "left_anti"))
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)
         radius *= 2.5

@@ -93,11 +93,8 @@ def dp_assign(spark: SparkSession, d: str) -> DataFrame:
     from pipewright.operators import forest
 
     edges = heap(spark, d)
-    links = edges.join(edges.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up", "length")
-    tops = edges.where("up >= 8 AND up < 16").select(F.col("node").alias("top"), F.col("up").alias("root"))
-    member = forest.closure(links).join(tops, F.col("up") == F.col("top")).select("node", "root").unionByName(tops.select(F.col("top").alias("node"), "root"))
     flow = forest.subtree_sum(edges.select("node", "up", "length", "leaf_flow"), "leaf_flow")
-    sized = edges.join(member, "node").join(flow, "node").select("root", "node", "up", "length", F.round("total", 6).alias("flow"))
+    sized = edges.join(forest.roots(edges), "node").join(flow, "node").select("root", "node", "up", "length", F.round("total", 6).alias("flow"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = [Edge(str(n), str(u), length, length, f) for n, u, length, f in zip(pdf["node"], pdf["up"], pdf["length"], pdf["flow"], strict=True)]

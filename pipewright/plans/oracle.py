@@ -109,7 +109,7 @@ SELECT okey, round(t, 6) AS turn, t <= 90.0001 AS allowed FROM a""",
 m AS (SELECT okey, seg, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) AS len FROM legs),
 r AS (SELECT *, sum(len) OVER (PARTITION BY okey ORDER BY seg) AS m_to FROM m)
 SELECT okey, seg, round(len, 4) AS length, round(m_to - len, 4) AS m_from, round(m_to, 4) AS m_to FROM r""",
-    "project_point_measure": sql("consumer", "pipe") + f" SELECT c.ckey, p.pkey, round({_t('c.x', 'c.y', *_PIPE)} * sqrt((p.x2 - p.x1) * (p.x2 - p.x1) + (p.y2 - p.y1) * (p.y2 - p.y1)), 4) AS measure, round({_psd('c.x', 'c.y', *_PIPE)}, 4) AS dist FROM consumer c JOIN pipe p ON p.pkey = c.ckey % 10",
+    "project_point_measure": sql("consumer", "pipe") + f" SELECT c.ckey, p.pkey, round({_t('c.x', 'c.y', *_PIPE)} * sqrt((p.x2 - p.x1) * (p.x2 - p.x1) + (p.y2 - p.y1) * (p.y2 - p.y1)), 4) AS measure, round({_psd('c.x', 'c.y', *_PIPE)}, 4) AS dist FROM consumer c JOIN pipe p ON p.pkey = c.ckey % (SELECT max(s_suppkey) + 1 FROM supplier)",
     "clip_to_bbox": sql("pipe") + """, d AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM pipe),
 t AS (SELECT *, CASE WHEN dy = 0 AND (y1 < 1000 OR y1 > 3000) THEN 2 WHEN dy = 0 THEN greatest(0, (CASE WHEN dx > 0 THEN 1000 - x1 ELSE 3000 - x1 END) / dx)
     ELSE greatest(0, (CASE WHEN dx > 0 THEN 1000 - x1 ELSE 3000 - x1 END) / dx, (CASE WHEN dy > 0 THEN 1000 - y1 ELSE 3000 - y1 END) / dy) END AS t0,

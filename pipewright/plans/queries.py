@@ -154,7 +154,9 @@ def segment_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def project_point_measure(spark: SparkSession, d: str) -> DataFrame:
-    c = scene(spark, d, "consumer").withColumn("pkey", F.col("ckey") % 10)
+    """Each consumer on one of all pipes, dealt in turn."""
+    pipes = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("top")).first()["top"]
+    c = scene(spark, d, "consumer").withColumn("pkey", F.col("ckey") % F.lit((pipes or 0) + 1))
     j = c.join(scene(spark, d, "pipe"), "pkey")
     t = geo.along(*_cols("x", "y", *SEGMENT))
     return j.select("ckey", "pkey", F.round(t * geo.distance(*_cols(*SEGMENT)), 4).alias("measure"), F.round(geo.point_segment_distance(*_cols("x", "y", *SEGMENT)), 4).alias("dist"))
@@ -229,7 +231,7 @@ def _route_legs(spark: SparkSession, d: str) -> DataFrame:
 def hard_violations(spark: SparkSession, d: str) -> DataFrame:
     """Routes that come closer to a hard obstacle than its clearance and half their own width."""
     boxes = scene(spark, d, "box").where(F.col("kind").isin(HARD))
-    j = spatial.extent_join(_route_legs(spark, d), ("ax", "ay", "bx", "by"), boxes, SEGMENT, 12.0, 128.0)
+    j = spatial.extent_join(_route_legs(spark, d), ("ax", "ay", "bx", "by"), boxes, SEGMENT, 12.0, 64.0)
     radius = cat.clearance(F.col("kind"), cat.diameter(F.col("dn_idx"))) + cat.width(F.col("dn_idx")) / 2
     near = j.withColumns({"dist": geo.box_distance(_cols("ax", "ay", "bx", "by"), _cols(*SEGMENT)), "radius": radius})
     return near.groupBy("okey", "bkey", "kind").agg(F.min("dist").alias("dist"), F.first("radius").alias("radius")).where(F.col("dist") < F.col("radius") - geo.EPS).select("okey", "bkey", "kind", F.round("dist", 4).alias("dist"))
@@ -278,9 +280,7 @@ def crossing_pairs(spark: SparkSession, d: str) -> DataFrame:
 def _sized_heap(spark: SparkSession, d: str) -> DataFrame:
     """node, up, length, flow, dn_idx of the forest's edges."""
     edges = heap(spark, d)
-    inner = edges.join(edges.select(F.col("node").alias("up")), "up", "left_semi")  # links between edges
-    below = forest.closure(inner).join(edges.select("node", "leaf_flow"), "node").select(F.col("up").alias("node"), "leaf_flow")
-    flow = edges.select("node", "leaf_flow").unionByName(below).groupBy("node").agg(F.sum("leaf_flow").alias("flow"))
+    flow = forest.subtree_sum(edges, "leaf_flow").withColumnRenamed("total", "flow")
     return edges.join(flow, "node").withColumn("dn_idx", cat.smallest(F.round("flow", 6), F.col("length"))).select("node", "up", "length", "flow", "dn_idx")
 
 
@@ -329,10 +329,7 @@ def pending_penalty(spark: SparkSession, d: str) -> DataFrame:
 @query
 def network_score(spark: SparkSession, d: str) -> DataFrame:
     sized = _sized_heap(spark, d)
-    links = sized.join(sized.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up", "length")
-    tops = sized.where("up < 16").select(F.col("node").alias("top"), F.col("up").alias("root"))
-    of = forest.closure(links).join(tops, F.col("up") == F.col("top")).select("node", "root").unionByName(tops.select(F.col("top").alias("node"), "root"))
-    total = sized.join(of, "node").groupBy("root").agg(F.sum(F.col("length") * cat.price(F.col("dn_idx"))).alias("cost"), F.sum("length").alias("length"))
+    total = sized.join(forest.roots(sized), "node").groupBy("root").agg(F.sum(F.col("length") * cat.price(F.col("dn_idx"))).alias("cost"), F.sum("length").alias("length"))
     return total.select("root", F.round("cost", 2).alias("cost"), F.round("length", 4).alias("length"), F.round(cat.score(F.col("cost"), F.col("length")), 6).alias("score"))
 
 
@@ -384,10 +381,7 @@ def pareto_labels(spark: SparkSession, d: str) -> DataFrame:
 def consumer_groups(spark: SparkSession, d: str) -> DataFrame:
     """The consumers (leaves) that hang on each root, as one sorted list."""
     edges = heap(spark, d)
-    links = edges.join(edges.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up", "length")
-    tops = edges.where("up < 16").select(F.col("node").alias("top"), F.col("up").alias("root"))
-    of = forest.closure(links).join(tops, F.col("up") == F.col("top")).select("node", "root").unionByName(tops.select(F.col("top").alias("node"), "root"))
-    leaves = edges.where("leaf_flow > 0").join(of, "node")
+    leaves = edges.where("leaf_flow > 0").join(forest.roots(edges), "node")
     listed = leaves.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("nodes"))
     return listed.select("root", "n", F.md5(F.col("nodes").cast("binary")).alias("digest"))
 

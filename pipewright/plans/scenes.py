@@ -28,12 +28,12 @@ SCENES: dict[str, tuple[str, str, dict[str, str]]] = {
         "dn_idx": "CAST(3 + s_suppkey % 10 AS INT)"}),
     "chamber": ("supplier", "s_suppkey % 3 = 0", {
         "hkey": "s_suppkey", "hx": "CAST(s_suppkey * 6007 % 4000 + s_suppkey % 15 AS DOUBLE)", "hy": "CAST(s_suppkey * 15013 % 4000 AS DOUBLE)"}),
-    "dense": ("supplier", "s_suppkey < 200", {
-        "pkey": "s_suppkey", "x1": "CAST(s_suppkey * 6007 % 400 AS DOUBLE)", "y1": "CAST(s_suppkey * 15013 % 400 AS DOUBLE)",
-        "x2": "CAST(s_suppkey * 6007 % 400 + 50 + s_suppkey * 13 % 100 AS DOUBLE)", "y2": "CAST(s_suppkey * 15013 % 400 + s_suppkey * 17 % 160 - 80 AS DOUBLE)"}),
-    "lattice": ("supplier", "s_suppkey < 100", {
-        "pkey": "s_suppkey", "x1": "CAST(50 * (s_suppkey % 10) AS DOUBLE)", "y1": "CAST(50 * (CAST(floor(s_suppkey / 10) AS BIGINT) % 10) AS DOUBLE)",
-        "x2": "CAST(50 * (s_suppkey % 10) + CASE WHEN s_suppkey % 2 = 0 THEN 100 ELSE 0 END AS DOUBLE)",
+    "dense": ("supplier", "true", {  # a town quarter for each 200 keys
+        "pkey": "s_suppkey", "x1": "CAST(s_suppkey * 6007 % 400 + 1000 * CAST(floor(s_suppkey / 200) AS BIGINT) AS DOUBLE)", "y1": "CAST(s_suppkey * 15013 % 400 AS DOUBLE)",
+        "x2": "CAST(s_suppkey * 6007 % 400 + 1000 * CAST(floor(s_suppkey / 200) AS BIGINT) + 50 + s_suppkey * 13 % 100 AS DOUBLE)", "y2": "CAST(s_suppkey * 15013 % 400 + s_suppkey * 17 % 160 - 80 AS DOUBLE)"}),
+    "lattice": ("supplier", "true", {  # a lattice for each 100 keys
+        "pkey": "s_suppkey", "x1": "CAST(50 * (s_suppkey % 10) + 1000 * CAST(floor(s_suppkey / 100) AS BIGINT) AS DOUBLE)", "y1": "CAST(50 * (CAST(floor(s_suppkey / 10) AS BIGINT) % 10) AS DOUBLE)",
+        "x2": "CAST(50 * (s_suppkey % 10) + 1000 * CAST(floor(s_suppkey / 100) AS BIGINT) + CASE WHEN s_suppkey % 2 = 0 THEN 100 ELSE 0 END AS DOUBLE)",
         "y2": "CAST(50 * (CAST(floor(s_suppkey / 10) AS BIGINT) % 10) + CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 100 END AS DOUBLE)",
         "dn_idx": "CAST(3 + s_suppkey % 10 AS INT)"}),
     "box": ("part", "true", {
