@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pipewright.functions import catalog as cat
 
@@ -23,7 +23,9 @@ class State:
     dn: int
     run: float  # length with this size from here down
     cost: float
-    chosen: dict[str, int] = field(default_factory=dict)
+    node: str = ""
+    below: State | None = None  # of the children that are settled, the last one's state
+    before: State | None = None  # and the choice for those before it
 
 
 def _pareto(states: list[State]) -> list[State]:
@@ -38,65 +40,80 @@ def _pareto(states: list[State]) -> list[State]:
     return out
 
 
-def size_tree(root: str, edges: list[Edge], existing_dn: int, on_chamber: bool) -> tuple[float, dict[str, int]] | None:
-    """(cost with chambers, size of each edge by node), or None if no choice obeys capacity, run length and falling sizes.
+def _downwards(children: dict[str, list[Edge]], tops: list[Edge]) -> list[Edge]:
+    """The edges below (and with) tops, parents first; a cycle raises."""
+    out, seen = list(tops), {e.node for e in tops}
+    for e in out:
+        for c in children.get(e.node, []):
+            if c.node in seen:
+                raise ValueError("the network has a cycle")
+            seen.add(c.node)
+            out.append(c)
+    return out
 
-    Sizes never grow downstream, stay the same where there is no branch, and a run of one size is at
-    most as long as the catalogue allows. A branch needs a chamber for its largest pipe; a root on a
-    bare pipe one for the larger of the old and the new pipe; a root in a chamber a price per edge."""
+
+def _by_parent(edges: list[Edge]) -> dict[str, list[Edge]]:
     children: dict[str, list[Edge]] = {}
     for e in edges:
         children.setdefault(e.parent, []).append(e)
+    return children
 
-    def states(e: Edge) -> list[State]:
-        below = children.get(e.node, [])
-        options = [states(c) for c in below]
-        out: list[State] = []
-        for dn in range(len(cat.PIPES)):
-            _, capacity, longest, price, _ = cat.PIPES[dn]
-            if capacity < e.flow:
-                continue
-            partial = [State(dn, 0.0, cat.chamber_price(cat.PIPES[dn][0]) if len(below) > 1 else 0.0)]
-            for choices in options:
-                fit = [s for s in choices if s.dn <= dn and (len(below) > 1 or s.dn == dn)]
-                partial = _pareto([State(dn, max(p.run, s.run if s.dn == dn else 0.0), p.cost + s.cost, p.chosen | s.chosen) for p in partial for s in fit])
-            for p in partial:
-                if p.run + e.length <= longest:
-                    out.append(State(dn, p.run + e.length, p.cost + e.weighted * price, p.chosen | {e.node: dn}))
-        return _pareto(out)
 
+def _states(e: Edge, options: list[list[State]]) -> list[State]:
+    """Choices for an edge, given those for the edges below it."""
+    out: list[State] = []
+    for dn, (size, capacity, longest, price, _) in enumerate(cat.PIPES):
+        if capacity < e.flow:
+            continue
+        partial = [State(dn, 0.0, cat.chamber_price(size) if len(options) > 1 else 0.0)]
+        for choices in options:
+            fit = [s for s in choices if s.dn <= dn and (len(options) > 1 or s.dn == dn)]
+            partial = _pareto([State(dn, max(p.run, s.run if s.dn == dn else 0.0), p.cost + s.cost, "", s, p) for p in partial for s in fit])
+        out += [State(dn, p.run + e.length, p.cost + e.weighted * price, e.node, None, p) for p in partial if p.run + e.length <= longest]
+    return _pareto(out)
+
+
+def _chosen(states: list[State]) -> dict[str, int]:
+    """Size by node of the states and all that they rest on."""
+    out, left = {}, list(states)
+    while left:
+        s = left.pop()
+        if s.node:
+            out[s.node] = s.dn
+        left += [x for x in (s.below, s.before) if x is not None]
+    return out
+
+
+def size_tree(root: str, edges: list[Edge], existing_dn: int, on_chamber: bool) -> tuple[float, dict[str, int]] | None:
+    """(cost with chambers, size of each edge by node), or None if no choice obeys capacity, run length and falling sizes.
+
+    Sizes never grow downstream, stay the same where there is no branch, and a run of one size is at
+    most as long as the catalogue allows. A branch needs a chamber for its largest pipe; a root on a
+    bare pipe one for the larger of the old and the new pipe; a root in a chamber a price per edge. The
+    largest size at the root is tried for all its edges at once, so their order doesn't matter."""
+    children = _by_parent(edges)
     below = children.get(root, [])
-    total, chosen = 0.0, {}
-    largest = existing_dn
-    for e in below:
-        found = states(e)
-        if not found:
-            return None
-        # the chamber's price depends on the largest edge alone: count its tier with each choice
-        tier = lambda s: 0.0 if on_chamber else max(0.0, cat.chamber_price(cat.PIPES[max(largest, s.dn)][0]) - cat.chamber_price(cat.PIPES[largest][0]))  # noqa: B023, E731
-        best = min(found, key=lambda s: (s.cost + tier(s), s.dn))
-        largest = max(largest, best.dn)
-        total += best.cost
-        chosen |= best.chosen
-    total += cat.TIE_IN_PRICE * len(below) if on_chamber else cat.chamber_price(cat.PIPES[largest][0])
-    return total, chosen
+    found: dict[str, list[State]] = {}
+    for e in reversed(_downwards(children, below)):
+        found[e.node] = _states(e, [found.pop(c.node) for c in children.get(e.node, [])])
+    best: tuple[float, list[State]] | None = None
+    for top in range(existing_dn, len(cat.PIPES)):
+        fit = [[s for s in found[e.node] if s.dn <= top] for e in below]
+        if not all(fit):
+            continue
+        own = [min(states, key=lambda s: (s.cost, s.dn)) for states in fit]
+        total = sum(s.cost for s in own) + (cat.TIE_IN_PRICE * len(below) if on_chamber else cat.chamber_price(cat.PIPES[top][0]))
+        if best is None or total < best[0]:
+            best = (total, own)
+    return best and (best[0], _chosen(best[1]))
 
 
 def flows(edges: list[Edge], demand: dict[str, float]) -> None:
     """Set each edge's flow to the demand of its node and all below; a cycle raises."""
-    children: dict[str, list[Edge]] = {}
-    for e in edges:
-        children.setdefault(e.parent, []).append(e)
-
-    def walk(e: Edge, seen: frozenset[str]) -> float:
-        if e.node in seen:
-            raise ValueError("the network has a cycle")
-        e.flow = demand.get(e.node, 0.0) + sum(walk(c, seen | {e.node}) for c in children.get(e.node, []))
-        return e.flow
-
-    tops = {e.parent for e in edges} - {e.node for e in edges}
-    if not tops and edges:
+    children = _by_parent(edges)
+    ends = {e.node for e in edges}
+    order = _downwards(children, [e for e in edges if e.parent not in ends])
+    if len(order) < len(edges):
         raise ValueError("the network has a cycle")
-    for e in edges:
-        if e.parent in tops:
-            walk(e, frozenset((e.parent,)))
+    for e in reversed(order):
+        e.flow = demand.get(e.node, 0.0) + sum(c.flow for c in children.get(e.node, []))

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 
 from pipewright.functions import catalog as cat
 from pipewright.functions.planar import Point, Shape, band, dist, line_length, measure, nearest_on, sub_line
-from pipewright.operators.routing import Route, objective, search
+from pipewright.operators.routing import Route, counted_search, objective
 from pipewright.operators.rules import HARD, SPECIAL, check, sweep
 from pipewright.operators.sizing import Edge, flows, size_tree
 
 PROFILES = ("economic", "compact", "balanced")
+REPAIRS = 5
 SNAP = 10.0 + 1e-3  # m; coordinates come from degrees with ten decimals
 
 
@@ -232,18 +233,30 @@ class Planner:
         self.routes: dict[tuple, Route | None] = {}
         self.by_key = {x.key: x for x in t.targets}
 
-    def route(self, start: Point, target: Target, pipe: str | None, dn: int, profile: str) -> Route | None:
-        key = (start, target.key, pipe, dn, profile)
+    def route(self, start: Point, goal: Point, pipe: str | None, dn: int, profile: str) -> Route | None:
+        key = (start, goal, pipe, dn, profile)
         if key not in self.routes:
             left = self.options.total_expansions - self.spent
             if left <= 0:
                 return None
-            self.spent += 1
-            self.routes[key] = search(start, target.point, dn, self.t.obstacles, pipe, profile, self.options.refinements, min(left, self.options.expansions_per_route), self.options.neighbours, frozenset(self.t.unknown_width))
+            o = self.options
+            self.routes[key], used = counted_search(
+                start, goal, dn, self.t.obstacles, pipe, profile, o.refinements, o.expansions_per_route, o.neighbours, frozenset(self.t.unknown_width), left
+            )
+            self.spent += max(1, used)
         return self.routes[key]
 
+    def widened(self, start: Point, target: Target, pipe: str | None, dn: int, profile: str) -> Route | None:
+        """A route at the given size, else at the next ones that may be longer: what is too long or has no way at one size can have one at another."""
+        while True:
+            found = self.route(start, target.point, pipe, dn, profile)
+            further = [i for i in range(dn + 1, len(cat.PIPES)) if cat.PIPES[i][2] > cat.PIPES[dn][2]]
+            if found or not further:
+                return found
+            dn = further[0]
+
     def evaluate(self, n: Network) -> Network | None:
-        """Sized, priced and validated, or None."""
+        """Sized, priced and validated, or None. An edge that its size makes illegal is led another way, up to five times."""
         demand = {k: self.by_key[k].flow for k in n.served}
         edges = [Edge(p.end, p.start, line_length(p.line), 0.0) for p in n.pieces]
         lines = {p.end: p.line for p in n.pieces}
@@ -252,9 +265,17 @@ class Planner:
         except ValueError:
             return None
         sizes: dict[str, int] = {}
-        for _ in range(5):  # weighted lengths depend on clearances, and those on sizes
+        repairs = 0
+        for _ in range(5 + REPAIRS):  # weighted lengths depend on clearances, and those on sizes
             for e in edges:
-                judged = self.judge(n, e.parent, e.node, lines[e.node], sizes.get(e.node, self.least(e.flow, e.length)))
+                dn = sizes.get(e.node, self.least(e.flow, e.length))
+                judged = self.judge(n, e.parent, e.node, lines[e.node], dn)
+                if not judged.legal and repairs < REPAIRS:
+                    repairs += 1
+                    root = n.roots.get(e.parent)
+                    other = self.route(n.points[e.parent], n.points[e.node], root.pipe if root else None, dn, "balanced")
+                    if other:
+                        lines[e.node], e.length, judged = other.line, line_length(other.line), self.judge(n, e.parent, e.node, other.line, dn)
                 if not judged.legal or not self.t.covered(lines[e.node]):
                     return None
                 e.weighted = judged.weighted
@@ -275,7 +296,7 @@ class Planner:
         ties = sum(1 for p in n.pieces if p.start in n.roots and n.roots[p.start].chamber)
         missing = [x for x in self.t.targets if x.key not in n.served]
         return replace(
-            n, sizes=sizes, flow={e.node: e.flow for e in edges}, cost=total, chambers=total - pipes, length=sum(e.length for e in edges), tie_ins=ties,
+            n, pieces=[replace(p, line=lines[p.end]) for p in n.pieces], sizes=sizes, flow={e.node: e.flow for e in edges}, cost=total, chambers=total - pipes, length=sum(e.length for e in edges), tie_ins=ties,
             penalty=sum(cat.PENDING_BASE + cat.PENDING_PER_FLOW * x.flow for x in missing),
         )
 
@@ -303,7 +324,7 @@ class Planner:
                 dn = self.least(target.flow, dist(root.point, target.point))
                 if sum(p.start == root.key for p in n.pieces) + _degree(self.t, root.point) >= 4:
                     continue
-                found = self.route(root.point, target, root.pipe, dn, profile)
+                found = self.widened(root.point, target, root.pipe, dn, profile)
                 if found:
                     out.append(replace(n, roots=n.roots | {root.key: root}, points=n.points | {root.key: root.point, target.key: target.point}, pieces=[*n.pieces, Piece(root.key, target.key, found.line)], served=n.served | {target.key}))
             if out:
@@ -318,7 +339,7 @@ class Planner:
                 made, node = split
                 if sum(p.start == node for p in made.pieces) >= 3:
                     continue
-                found = self.route(made.points[node], target, None, self.least(target.flow, 0.0), profile)
+                found = self.widened(made.points[node], target, None, self.least(target.flow, 0.0), profile)
                 if found:
                     out.append(replace(made, points=made.points | {target.key: target.point}, pieces=[*made.pieces, Piece(node, target.key, found.line)], served=made.served | {target.key}))
         done = [e for x in out if (e := self.evaluate(x)) and not self.overlaps(e)]
@@ -465,17 +486,26 @@ PLAN_SCHEMA = (
 )
 
 
+def known_ids(t: Territory) -> set[str]:
+    """Texts of all ids in the territory, without their kind."""
+    keys = [k for k, _ in t.chambers] + [x.key for x in t.targets] + [k for k, _, _ in t.pipes] + [s.key for s in t.obstacles]
+    return {k.removeprefix("s:").removeprefix("n:") for k in keys}
+
+
 def export(t: Territory, n: Network, territory: str, variant: int) -> list[dict]:
     """Rows of a variant: new chambers and nodes, pipes cut where the tariff changes, and a summary."""
     blank = dict.fromkeys(c.split()[0] for c in PLAN_SCHEMA.split(", "))
     rows: list[dict] = []
     existing = {k for k, _ in t.chambers} | {x.key for x in t.targets}
-    serial = 0
+    given, serial = known_ids(t), 0
 
     def new_id() -> str:
         nonlocal serial
-        serial += 1
-        return f"new:{variant}:{serial}"
+        while True:
+            serial += 1
+            made = f"new:{variant}:{serial}"
+            if made not in given:
+                return made
 
     children: dict[str, list[Piece]] = {}
     for p in n.pieces:
@@ -611,7 +641,7 @@ def verify(t: Territory, rows: list[dict]) -> list[str]:
     Pipes that don't make a forest of known nodes are told as that; their routes, sizes and chambers aren't judged."""
     errors: list[str] = []
     ids = [r["id"] for r in rows]
-    if len(set(ids)) != len(ids):
+    if len(set(ids)) != len(ids) or known_ids(t) & set(ids):
         errors.append("DUPLICATE_ID")
     known = set(ids) | {k for k, _ in t.chambers} | {x.key for x in t.targets}
     near = _near

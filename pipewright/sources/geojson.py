@@ -17,7 +17,6 @@ from pipewright.functions import geometry as geo
 TYPES = ["Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon"]
 #: How deep the positions lie in the coordinates of each type.
 DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
-MAX_COLLECTION_DEPTH = 8
 
 
 def parse(texts: DataFrame, text: str = "value") -> DataFrame:
@@ -59,8 +58,11 @@ def id_text(v: Column) -> Column:
 
 def id_key(v: Column) -> Column:
     """``s:<text>`` or ``n:<number without trailing zeros>``: 1 and 1.0 are one id, "1" is another."""
-    number = get(v, "$", "decimal(38,10)").cast("string")
-    return F.when(kind_of(v) == "string", F.concat(F.lit("s:"), id_text(v))).when(kind_of(v) == "number", F.concat(F.lit("n:"), F.regexp_replace(number, r"\.?0*$", "")))
+    text = id_text(v)  # without trailing zeros, but for doubles
+    large = get(v, "$", "decimal(38,0)").cast("string")
+    small = F.regexp_replace(get(v, "$", "decimal(38,18)").cast("string"), r"\.?0*$", "")
+    number = F.when(text.contains("E"), F.coalesce(F.when(F.abs(get(v, "$", "double")) >= 1, large).otherwise(small), text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
+    return F.when(kind_of(v) == "string", F.concat(F.lit("s:"), id_text(v))).when(kind_of(v) == "number", F.concat(F.lit("n:"), number))
 
 
 def _position_ok(p: Column) -> Column:
@@ -101,17 +103,15 @@ def bad_geometries(found: DataFrame) -> DataFrame:
     """path, pos of features with a malformed geometry; collections are opened level by level."""
     level = found.select("path", "pos", get(F.col("feature"), "$.geometry", "variant").alias("g")).where(kind_of(F.col("g")) == "object")
     bad = []
-    for _ in range(MAX_COLLECTION_DEPTH):
+    while True:
         is_collection = F.coalesce(get(F.col("g"), "$.type", "string") == "GeometryCollection", F.lit(False))
         bad.append(level.where(~is_collection & ~simple_geometry_ok(F.col("g"))).select("path", "pos"))
         inner = level.where(is_collection)
         listed = get(F.col("g"), "$.geometries", "array<variant>")
         bad.append(inner.where(listed.isNull()).select("path", "pos"))
-        level = inner.select("path", "pos", F.explode(listed).alias("g"))
-        if level.isEmpty():
+        if inner.isEmpty():
             break
-    else:
-        bad.append(level.select("path", "pos"))
+        level = inner.select("path", "pos", F.explode(listed).alias("g"))
     return reduce(DataFrame.unionByName, bad).distinct()
 
 
@@ -182,6 +182,11 @@ def _metric(geometry: Column, depth: int) -> Column:
     return F.to_json(project(coordinates(geometry, depth), depth))
 
 
+def _outside(c: Column, depth: int) -> Column:
+    """Whether some position has a latitude that the projection doesn't cover."""
+    return F.exists(c, lambda x: _outside(x, depth - 1)) if depth else (c[1] < 0) | (c[1] > 84)
+
+
 def planning_features(found: DataFrame) -> DataFrame:
     """Rows for plans.planner.plan: typed properties, and coordinates in metres (zone 37 north), a row per feature.
 
@@ -190,8 +195,8 @@ def planning_features(found: DataFrame) -> DataFrame:
     geometry = get(f, "$.geometry", "variant")
     kind = get(geometry, "$.type", "string")
     coords = reduce(lambda acc, k: acc.when(kind == k, _metric(geometry, DEPTH[k])), TYPES[1:], F.when(kind == "Point", _metric(geometry, 0)))
-    lat = F.when(kind == "Point", coordinates(geometry, 0)[1])
-    guard = F.when(lat.isNotNull() & ((lat < 0) | (lat > 84)), F.raise_error(F.lit("latitude outside the projection"))).otherwise(kind)
+    outside = reduce(lambda acc, k: acc.when(kind == k, _outside(coordinates(geometry, DEPTH[k]), DEPTH[k])), TYPES[1:], F.when(kind == "Point", _outside(coordinates(geometry, 0), 0)))
+    guard = F.when(outside, F.raise_error(F.lit("latitude outside the projection"))).otherwise(kind)
     number = lambda path: F.when(kind_of(get(f, path, "variant")) == "number", get(f, path, "double"))
     return found.select(
         F.col("path").alias("territory"), id_key(get(f, "$.properties.id", "variant")).alias("id_key"), get(f, "$.properties.object_type", "string").alias("object_type"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import random
 
 import pytest
 
@@ -128,6 +130,80 @@ def test_sizes_obey_capacity_and_order():
     assert all(cat.PIPES[chosen[e.node]][1] >= e.flow for e in edges)
 
 
+def brute_sizes(root, edges, existing, on_chamber):
+    """The least cost over all choices of sizes, by trying each."""
+    best = math.inf
+    children = {e.node: [c for c in edges if c.parent == e.node] for e in edges} | {root: [e for e in edges if e.parent == root]}
+    for choice in itertools.product(range(12), repeat=len(edges)):
+        dn = dict(zip([e.node for e in edges], choice, strict=True))
+
+        def run(e, dn=dn):
+            return e.length + max([run(c) for c in children[e.node] if dn[c.node] == dn[e.node]], default=0.0)
+
+        if any(cat.PIPES[dn[e.node]][1] < e.flow or run(e) > cat.PIPES[dn[e.node]][2] for e in edges):
+            continue
+        if any(dn[c.node] > dn[e.node] or len(children[e.node]) == 1 and dn[c.node] != dn[e.node] for e in edges for c in children[e.node]):
+            continue
+        cost = sum(e.weighted * cat.PIPES[dn[e.node]][3] for e in edges) + sum(cat.chamber_price(cat.PIPES[dn[e.node]][0]) for e in edges if len(children[e.node]) > 1)
+        top = max([existing, *(dn[e.node] for e in children[root])])
+        best = min(best, cost + (cat.TIE_IN_PRICE * len(children[root]) if on_chamber else cat.chamber_price(cat.PIPES[top][0])))
+    return best
+
+
+def test_sizes_are_the_cheapest_of_all():
+    r = random.Random(4)
+    for trial in range(25):
+        edges = []
+        for i in range(r.randint(2, 4)):
+            parent = "root" if i == 0 else r.choice(["root", *(e.node for e in edges)])
+            length = r.uniform(20, 900)
+            edges.append(Edge(f"n{i}", parent, length, length * r.uniform(1, 1.5)))
+        flows(edges, {e.node: r.uniform(1, 25) for e in edges})
+        want = brute_sizes("root", edges, 3, trial % 2 == 0)
+        found = size_tree("root", edges, 3, trial % 2 == 0)
+        again = size_tree("root", edges[::-1], 3, trial % 2 == 0)
+        assert (found is None and again is None) if want == math.inf else found[0] == pytest.approx(want) == again[0]
+        if found:
+            assert set(found[1]) == {e.node for e in edges}
+
+
+def test_long_chains():
+    edges = [Edge(str(i + 1), str(i), 0.1, 0.1) for i in range(3000)]
+    flows(edges, {"3000": 5.0})
+    assert edges[0].flow == 5.0
+    cost, chosen = size_tree("0", edges, 3, True)
+    assert len(chosen) == 3000 and len(set(chosen.values())) == 1
+    with pytest.raises(ValueError, match="cycle"):
+        flows([*edges, Edge("0", "3000", 1.0, 1.0)], {})
+
+
+def test_a_way_that_is_too_long_for_its_size_gets_the_next():
+    planner = Planner(load(BASIC), Options())
+    calls = []
+    planner.route = lambda start, goal, pipe, dn, profile: calls.append(dn) or ("found" if len(calls) == 3 else None)
+    assert planner.widened((0.0, 0.0), planner.t.targets[0], None, 3, "balanced") == "found"
+    assert calls == sorted(set(calls)) and [cat.PIPES[i][2] for i in calls] == sorted({cat.PIPES[i][2] for i in calls})
+
+
+def test_expansions_are_counted():
+    house = feature("s:house", "restriction", "Polygon", [[at(-20, 40), at(20, 40), at(20, 60), at(-20, 60), at(-20, 40)]], restriction="oks")
+    rows = [*BASIC, house]
+    planner = Planner(load(rows), Options())
+    planner.run()
+    assert planner.spent > 3 * len(planner.routes) / 2
+    short = Planner(load(rows), Options(total_expansions=40))
+    short.run()
+    assert short.spent <= 40 + len(short.routes)
+
+
+def test_new_ids_avoid_those_in_use():
+    own = feature("s:new:1:1", "restriction", "Point", at(500, 500), restriction="water")
+    rows = plan_rows([*BASIC, own], "a", Options())
+    made = [r for r in rows if r["variant"] == 1]
+    assert made and "new:1:1" not in {r["id"] for r in made} and verify(load([*BASIC, own]), made) == []
+    assert "DUPLICATE_ID" in verify(load([*BASIC, feature("s:" + made[0]["id"], "restriction", "Point", at(500, 500), restriction="water")]), made)
+
+
 def test_ids_of_two_kinds_and_duplicates():
     t = load([PIPE, feature("n:1", "oks_connection_point", "Point", at(0, 50), flow=1.0), feature("s:1", "oks_connection_point", "Point", at(0, 60), flow=1.0)])
     assert len(t.targets) == 2

@@ -130,3 +130,29 @@ def test_inbox(spark, folder, tmp_path):
     q = inbox.inspect_arrivals(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(CASES) + len(TEXTS)
+
+
+def test_collections_of_any_depth(spark):
+    def nested(depth, inner):
+        return inner if not depth else {"type": "GeometryCollection", "geometries": [nested(depth - 1, inner)]}
+
+    made = [{"type": "Feature", "geometry": nested(n, point(1, y)), "properties": {"id": f"{n}.{y}", "object_type": "x"}} for n in (7, 8, 12) for y in (2, 99)]
+    text = json.dumps({"type": "FeatureCollection", "features": made})
+    docs = geojson.parse(spark.createDataFrame([("a", len(text), text)], "path string, file_size long, value string"))
+    assert {r["pos"] for r in geojson.violations(geojson.features(docs)).collect()} == {1, 3, 5}
+
+
+def test_ids_with_many_digits(spark):
+    texts = ["1", "1.0", "1e0", "10", "0.12345678901234", "0.12345678901235", "123456789012345678901234567890", '"1"']
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", geojson.id_key(F.parse_json("t")).alias("k"))
+    keys = {r["t"]: r["k"] for r in made.collect()}
+    assert keys["1"] == keys["1.0"] == keys["1e0"] == "n:1" and keys["10"] == "n:10" and keys['"1"'] == "s:1"
+    assert len({*keys.values()}) == 6 and None not in keys.values()
+
+
+def test_latitudes_beyond_the_projection(spark):
+    for kind, coords in (("LineString", [[37.0, 55.0], [37.0, 85.0]]), ("Polygon", [[[37, -1], [38, 0], [38, 1], [37, -1]]])):
+        text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": kind, "coordinates": coords}, "properties": {"id": 1, "object_type": "x"}}]})
+        docs = geojson.parse(spark.createDataFrame([("a", len(text), text)], "path string, file_size long, value string"))
+        with pytest.raises(Exception, match="latitude"):
+            geojson.planning_features(geojson.features(docs)).collect()
