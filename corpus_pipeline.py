@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipewright.llm._tables import ensure_checkpoint_dir
+from pipewright.llm._tables import drop_folder, ensure_checkpoint_dir
 from pipewright.llm.near_dedup import near_dedup_stage
 from pipewright.llm.packing import packing_stage
 from pipewright.llm.quality import quality_stage
@@ -29,11 +29,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``; what a stage returns is kept under the checkpoint folder."""
+    """The stages in turn over ``documents``; what a stage returns is written under the checkpoint folder, and removed once the next one's is."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
