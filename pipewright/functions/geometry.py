@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-4
@@ -46,16 +46,27 @@ def segment_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.when(crosses(a, b), 0.0).otherwise(ends)
 
 
-def box_distance(a: tuple[Column, ...], box: tuple[Column, ...]) -> Column:
-    """Distance of a segment and an axis-parallel box (x1, y1, x2, y2); 0 if they meet."""
-    x1, y1, x2, y2 = box
+def with_box_distance(df: DataFrame, name: str, a: tuple[str, ...], box: tuple[str, ...]) -> DataFrame:
+    """df with the distance of a segment and an axis-parallel box (x1, y1, x2, y2), 0 if they meet.
+
+    It is made column by column, so that what several terms share is computed once for a row. They meet
+    unless x, y or the segment's normal separates them."""
+    ax, ay, bx, by = map(F.col, a)
+    x1, y1, x2, y2 = map(F.col, box)
     corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
-    sides = [side(*a, *c) for c in corners]
-    # they meet unless x, y or the segment's normal separates them
-    over = (F.least(a[0], a[2]) <= x2) & (F.greatest(a[0], a[2]) >= x1) & (F.least(a[1], a[3]) <= y2) & (F.greatest(a[1], a[3]) >= y1)
-    meet = over & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
-    ends = [point_box_distance(*a[:2], *box), point_box_distance(*a[2:], *box)]
-    return F.when(meet, 0.0).otherwise(F.least(*ends, *[point_segment_distance(*c, *a) for c in corners]))
+    dx, dy, square = F.col("_dx"), F.col("_dy"), F.col("_square")
+    keep = [c for c in df.columns if c != name]
+    df = df.withColumns({"_dx": bx - ax, "_dy": by - ay}).withColumn("_square", F.greatest(dx * dx + dy * dy, F.lit(1e-300)))
+    along_it = lambda x, y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / square))
+    df = df.withColumns({f"_t{i}": along_it(x, y) for i, (x, y) in enumerate(corners)} | {f"_s{i}": dx * (y - ay) - dy * (x - ax) for i, (x, y) in enumerate(corners)})
+    df = df.withColumns({f"_u{i}": x - ax - F.col(f"_t{i}") * dx for i, (x, _) in enumerate(corners)} | {f"_v{i}": y - ay - F.col(f"_t{i}") * dy for i, (_, y) in enumerate(corners)})
+    gap = lambda v, low, high: F.greatest(low - v, F.lit(0.0), v - high)
+    df = df.withColumns({"_u4": gap(ax, x1, x2), "_v4": gap(ay, y1, y2), "_u5": gap(bx, x1, x2), "_v5": gap(by, y1, y2)})
+    least = F.least(*(F.col(f"_u{i}") * F.col(f"_u{i}") + F.col(f"_v{i}") * F.col(f"_v{i}") for i in range(6)))
+    sides = [F.col(f"_s{i}") for i in range(4)]
+    over = (F.least(ax, bx) <= x2) & (F.greatest(ax, bx) >= x1) & (F.least(ay, by) <= y2) & (F.greatest(ay, by) >= y1)
+    df = df.withColumns({"_least": least, "_meet": over & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)})
+    return df.select(*keep, F.when(F.col("_meet"), 0.0).otherwise(F.sqrt("_least")).alias(name))
 
 
 def point_box_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
