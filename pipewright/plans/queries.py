@@ -234,8 +234,9 @@ def hard_violations(spark: SparkSession, d: str) -> DataFrame:
     j = spatial.extent_join(_route_legs(spark, d), ("ax", "ay", "bx", "by"), boxes, SEGMENT, 12.0, 64.0)
     radius = cat.clearance(F.col("kind"), cat.diameter(F.col("dn_idx"))) + cat.width(F.col("dn_idx")) / 2
     near = geo.with_box_distance(j, "dist", ("ax", "ay", "bx", "by"), SEGMENT).withColumn("radius", radius)
-    close = near.where(F.col("dist") < F.col("radius") - geo.EPS)
-    return close.groupBy("okey", "bkey", "kind").agg(F.min("dist").alias("dist")).select("okey", "bkey", "kind", F.round("dist", 4).alias("dist"))
+    # the limit comes after the aggregation: pushed below it, it would compute the distance a second time
+    nearest = near.groupBy("okey", "bkey", "kind").agg(F.min("dist").alias("dist"), F.first("radius").alias("radius"))
+    return nearest.where(F.col("dist") < F.col("radius") - geo.EPS).select("okey", "bkey", "kind", F.round("dist", 4).alias("dist"))
 
 
 def _road_events(spark: SparkSession, d: str) -> DataFrame:
