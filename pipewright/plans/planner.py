@@ -229,7 +229,7 @@ def _degree(t: Territory, p: Point) -> int:
 
 class Planner:
     def __init__(self, t: Territory, options: Options):
-        self.t, self.options, self.spent = t, options, 0
+        self.t, self.options, self.spent, self.candidates = t, options, 0, 0
         self.routes: dict[tuple, Route | None] = {}
         self.by_key = {x.key: x for x in t.targets}
 
@@ -257,6 +257,7 @@ class Planner:
 
     def evaluate(self, n: Network) -> Network | None:
         """Sized, priced and validated, or None. An edge that its size makes illegal is led another way, up to five times."""
+        self.candidates += 1
         demand = {k: self.by_key[k].flow for k in n.served}
         edges = [Edge(p.end, p.start, line_length(p.line), 0.0) for p in n.pieces]
         lines = {p.end: p.line for p in n.pieces}
@@ -718,6 +719,8 @@ def plan_rows(rows: Iterator[dict], territory: str, options: Options, roads: Roa
     for x in t.targets:
         if not t.invalid and any(x.key not in s for s in served or [frozenset()]) and t.pipes:
             t.diagnostics.append(("SEARCH_BUDGET_EXHAUSTED" if planner.spent >= options.total_expansions else "NO_ROUTE_FOUND_AFTER_REFINEMENT", x.key))
+    counters = {"expansions": planner.spent, "route_calls": len(planner.routes), "candidates": planner.candidates, "variants": rank, "budget_exhausted": planner.spent >= options.total_expansions}
+    out.append(blank | {"territory": territory, "variant": 0, "id": json.dumps(counters), "object_type": "search_statistics"})
     if t.needed:
         t.diagnostics.append(("OSM_COVERAGE_INCOMPLETE", json.dumps(t.needed)))
     for code, key in dict.fromkeys(t.diagnostics):
