@@ -241,3 +241,16 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: Right for pages whose text is what stands in their one article, without anything in it that has to go.
+OP8_SQL = r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<article[^>]*>(.*)</article>', 1), '\s+', ' ', 'g') AS h FROM pages),
+lines AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(h, '<br[^>]*>', ' ', 'g'), '</?(p|h[1-6]|ul|ol|li|div|section)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS parts FROM inner_html),
+decoded AS (
+  SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(replace(replace(replace(replace(replace(replace(p, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM lines),
+joined AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda p: p <> ''), chr(10)) AS text FROM decoded)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined
+"""

@@ -19,5 +19,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_sharding": sharding.OP2_SQL,
+    "op3_suffix_dedup": suffix_dedup.OP3_SQL,
+    "op7_near_dedup": near_dedup.OP7_SQL,
+    "op8_html_extract": html_extract.OP8_SQL,
     "op10_topk_search": topk_search.OP10_SQL,
 }

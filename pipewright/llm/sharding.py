@@ -83,9 +83,9 @@ docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, text, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size FROM documents),
 summed AS (
   SELECT docs.* EXCLUDE (text), CAST(CASE WHEN text IS NOT NULL THEN xor(list_reduce(
-      list_transform(range(octet_length(encode(text))), lambda i: CAST('0x' || substring(h, 2 * i + 1, 2) AS BIGINT)),
+      list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS BIGINT)),
       lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) END AS BIGINT) AS text_crc32
-  FROM (SELECT *, hex(encode(text)) AS h FROM docs) docs, crc_table),
+  FROM docs, crc_table),
 waits AS (
   SELECT r, s, -ln((CAST(CAST('0x' || substring(md5(k || ':' || s), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) AS wait
   FROM summed, (SELECT unnest(range(17)) AS s)),

@@ -427,3 +427,35 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents without repeated passages; whole characters go, n_chars follows, no row is dropped."""
     out = remove_repeats(docs, characters=True).withColumn("text", F.col("kept").cast("string"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def _doubled(length: int) -> str:
+    """Hashes of each length-byte string, put together from those of 1, 2, 4 ... bytes."""
+    steps, k = ["h1 AS (SELECT r, i, x, hash(x) AS h1 FROM bytes)"], 1
+    while 2 * k <= length:
+        steps.append(f"h{2 * k} AS (SELECT *, hash(h{k}, lead(h{k}, {k}) OVER (PARTITION BY r ORDER BY i)) AS h{2 * k} FROM h{k})")
+        k *= 2
+    parts, at, last = [], 0, k
+    while at < length:
+        if k <= length - at:
+            parts.append(f"lead(h{k}, {at}) OVER (PARTITION BY r ORDER BY i)")
+            at += k
+        k //= 2
+    return ",\n".join([*steps, f"strings AS (SELECT r, i, x, CASE WHEN i <= max(i) OVER (PARTITION BY r) - {length - 1} THEN hash({', '.join(parts)}) END AS w FROM h{last})"])
+
+
+OP3_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, regexp_extract_all(hex(encode(text)), '..') AS b FROM docs),
+bytes AS (SELECT r, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS x FROM split),
+{_doubled(LENGTH)},
+again AS (SELECT w FROM strings WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+flagged AS (SELECT r, i, x, w IN (SELECT w FROM again) AS hit FROM strings),
+covered AS (SELECT r, i, x, coalesce(bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), false) AS gone FROM flagged),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS first FROM covered),
+found AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256 FROM runs GROUP BY r)
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM docs LEFT JOIN found USING (r)
+"""
