@@ -78,9 +78,9 @@ ways AS (""" + " UNION ALL ".join(f"SELECT ckey, bkey, {w} AS gap, {a} AS ex1, {
 nearest AS (SELECT * FROM ways QUALIFY gap <= min(gap) OVER (PARTITION BY ckey, bkey) + 0.000001),
 judged AS (SELECT n.ckey, n.bkey, NOT EXISTS (SELECT 1 FROM box b WHERE b.kind IN (""" + ", ".join(f"'{k}'" for k in HARD) + """) AND b.bkey <> n.bkey
   AND b.x1 - 1 < n.ex2 AND b.x2 + 1 > n.ex1 AND b.y1 - 1 < n.ey2 AND b.y2 + 1 > n.ey1) AS free FROM nearest n)
-SELECT ckey, bkey, count(*) AS ways, 'TERMINAL_APPROACH_BLOCKED' AS code FROM judged GROUP BY ckey, bkey HAVING NOT bool_or(free)""")
-def terminal_blocked(spark: SparkSession, d: str) -> DataFrame:
-    """Consumers in a building whose nearest ways out all pass within 1 m of another hard obstacle."""
+SELECT ckey, bkey, count(*) AS ways, count(*) FILTER (free) AS free, CASE WHEN NOT bool_or(free) THEN 'TERMINAL_APPROACH_BLOCKED' END AS code FROM judged GROUP BY ckey, bkey""")
+def terminal_approach(spark: SparkSession, d: str) -> DataFrame:
+    """Consumers in a building: how many of the nearest ways out pass no other hard obstacle within 1 m, and the code where none does."""
     buildings = scene(spark, d, "box").where("kind = 'oks'")
     own = spatial.range_join(scene(spark, d, "consumer"), "x", "y", buildings, SEGMENT, 0.0, 64.0).where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
     way = lambda w, *extent: F.struct(F.expr(w).alias("gap"), *(F.expr(e).cast("double").alias(n) for e, n in zip(extent, ("ex1", "ey1", "ex2", "ey2"), strict=True)))
@@ -91,7 +91,8 @@ def terminal_blocked(spark: SparkSession, d: str) -> DataFrame:
     met = spatial.extent_join(nearest, ("ex1", "ey1", "ex2", "ey2"), others, SEGMENT, 1.0, 64.0).where("other <> bkey AND x1 - 1 < ex2 AND x2 + 1 > ex1 AND y1 - 1 < ey2 AND y2 + 1 > ey1")
     blocked = met.select("ckey", "bkey", "way").distinct().groupBy("ckey", "bkey").agg(F.count(F.lit(1)).alias("blocked"))
     total = nearest.groupBy("ckey", "bkey").agg(F.count(F.lit(1)).alias("ways"))
-    return total.join(blocked, ["ckey", "bkey"]).where("ways = blocked").select("ckey", "bkey", "ways", F.lit("TERMINAL_APPROACH_BLOCKED").alias("code"))
+    free = total.join(blocked, ["ckey", "bkey"], "left").withColumn("free", F.col("ways") - F.coalesce("blocked", F.lit(0)))
+    return free.select("ckey", "bkey", "ways", "free", F.when(F.col("free") == 0, "TERMINAL_APPROACH_BLOCKED").alias("code"))
 
 
 @query(sql("route") + """,
