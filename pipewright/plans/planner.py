@@ -720,7 +720,7 @@ def plan_rows(rows: Iterator[dict], territory: str, options: Options, roads: Roa
         if not t.invalid and any(x.key not in s for s in served or [frozenset()]) and t.pipes:
             t.diagnostics.append(("SEARCH_BUDGET_EXHAUSTED" if planner.spent >= options.total_expansions else "NO_ROUTE_FOUND_AFTER_REFINEMENT", x.key))
     counters = {"expansions": planner.spent, "route_calls": len(planner.routes), "candidates": planner.candidates, "variants": rank, "budget_exhausted": planner.spent >= options.total_expansions}
-    out.append(blank | {"territory": territory, "variant": 0, "id": json.dumps(counters), "object_type": "search_statistics"})
+    out.append(blank | {"territory": territory, "id": json.dumps(counters), "object_type": "search_statistics"})  # of the search: no variant
     if t.needed:
         t.diagnostics.append(("OSM_COVERAGE_INCOMPLETE", json.dumps(t.needed)))
     for code, key in dict.fromkeys(t.diagnostics):

@@ -196,6 +196,12 @@ def test_expansions_are_counted():
     assert short.spent <= 40 + len(short.routes)
 
 
+def test_search_statistics():
+    (row,) = [r for r in plan_rows(BASIC, "a", Options()) if r["object_type"] == "search_statistics"]
+    counters = json.loads(row["id"])
+    assert row["variant"] is None and counters["variants"] >= 1 and counters["candidates"] >= 1 and counters["route_calls"] >= 1 and not counters["budget_exhausted"]
+
+
 def test_new_ids_avoid_those_in_use():
     own = feature("s:new:1:1", "restriction", "Point", at(500, 500), restriction="water")
     rows = plan_rows([*BASIC, own], "a", Options())
