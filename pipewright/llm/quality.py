@@ -6,10 +6,12 @@ expected grade of a text and the tail probability P(grade >= k) that selection g
 
 Features are hashed to 24 bits: words, their first four to eight bytes, their last two bytes, whether
 words repeat the one before or are in capitals, and how large the shares of those and of distinct words
-are. A feature counts once in a text. The model keeps those features that speak for a lower grade in
-the rated sample: log-odds of ``LEAST_ODDS`` at least, ``LEAST_Z`` standard errors from none. So a text
-without such evidence has the top grade, however long or unusual it is: what is rare in the sample
-can't make up for junk or abuse, nor count against a text. Texts are hashed whole.
+are. A feature counts once in a text; heads of words that come twice or more are features of their own,
+since some count for nothing until they are repeated. The model keeps those features that speak for a
+lower grade in the rated sample: log-odds of ``LEAST_ODDS`` at least, and a likelihood ratio of
+``LEAST_Z`` standard deviations. Weights are held at or below zero. So a text without such evidence has
+the top grade, however long or unusual it is: what is rare in the sample can't make up for junk or
+abuse, nor count against a text. Texts are hashed whole.
 
 The model is fitted from a sample of at most ``max_rated`` rated rows, taken in the order of a hash of
 their id. Their texts are hashed on the executors and features are counted by grade with partial
@@ -19,6 +21,7 @@ never a text. Everything else is one pass over the texts without a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +37,9 @@ from pipewright.llm._words import mixed, word_parts
 
 BITS = 24
 MAX_RATED = 5000
-LEAST_Z, LEAST_ODDS, MOST_ODDS = 3.0, 2.0, 4.0
-PASSES, STEPS = 10, 24_000  # passes over the sample, or as many as make so many steps
-RATE, RIDGE = 0.1, 1e-4
+TWICE = 1 << (BITS - 1)  # flipped in the bucket of a head that comes twice or more
+LEAST_Z, LEAST_ODDS, MOST_ODDS = 4.0, 2.0, 4.0
+STEPS, RATE, RIDGE = 400, 0.1, 1.0
 MOST_WEIGHT = 4.0  # of a rare grade's texts against the others'
 _FAMILIES = [np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in range(1, 10)]
 
@@ -48,17 +51,17 @@ def features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.nd
     owner = np.repeat(np.arange(len(texts)), n_words)
     repeats = np.concatenate(([False], parts.hashes[1:] == parts.hashes[:-1])) if len(owner) else np.empty(0, dtype=bool)
     flags = repeats.astype(np.uint64) + 2 * parts.capitals.astype(np.uint64)
-    keys = []
 
-    def add(text: np.ndarray, hashes: np.ndarray, family: int) -> None:
+    def placed(text: np.ndarray, hashes: np.ndarray, family: int, twice: bool = False) -> np.ndarray:
         bucket = (mixed(hashes ^ _FAMILIES[family]) >> np.uint64(64 - BITS)).astype(np.int64)
         if known is not None:
-            hit = known[bucket]
+            hit = known[bucket] | known[bucket ^ TWICE] if twice else known[bucket]
             text, bucket = text[hit], bucket[hit]
-        keys.append(text << BITS | bucket)
+        return text << BITS | bucket
 
-    for family, hashes in enumerate((parts.hashes, parts.tails, flags, *parts.heads)):
-        add(owner, hashes, family)
+    keys = [placed(owner, hashes, family) for family, hashes in enumerate((parts.hashes, parts.tails, flags))]
+    heads, times = np.unique(np.concatenate([placed(owner, hashes, family, True) for family, hashes in enumerate(parts.heads, 3)]), return_counts=True)
+    keys += [heads, heads[times > 1] ^ TWICE]
     some = np.maximum(1, n_words)
     _, first = np.unique(mixed(parts.hashes + owner.astype(np.uint64) * _FAMILIES[0]), return_index=True)
     distinct = np.bincount(owner[first], minlength=len(texts))
@@ -66,9 +69,13 @@ def features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.nd
     for kind, share in enumerate(shares):
         for level in range(1, 7):
             text = np.flatnonzero(share >= (2.0**-level if kind < 2 else -(2.0**-level)))
-            add(text, np.full(len(text), 10 * kind + level, dtype=np.uint64), 8)
+            keys.append(placed(text, np.full(len(text), 10 * kind + level, dtype=np.uint64), 8))
     found = np.unique(np.concatenate(keys))
-    return found >> BITS, found & ((1 << BITS) - 1)
+    text, bucket = found >> BITS, found & ((1 << BITS) - 1)
+    if known is not None:
+        hit = known[bucket]
+        text, bucket = text[hit], bucket[hit]
+    return text, bucket
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -96,35 +103,31 @@ class OrdinalModel:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: np.ndarray, scale: np.ndarray) -> OrdinalModel:
-    """Maximum likelihood by adaptive gradient steps, row by row in a fixed shuffled order.
+    """Maximum likelihood with a ridge, by gradient steps over the whole sample with a rate for each weight; no weight over zero.
 
     rows: of each rated row the places of its features in ``buckets``; scale: how much each feature counts."""
     thresholds = np.linspace(-4.0, -2.0, n_grades - 1)
     if not rows:
         return OrdinalModel(np.empty(0, dtype=np.int64), np.empty(0), thresholds)
-    weights, square_w, square_t = np.zeros(len(buckets)), np.full(len(buckets), 1e-3), np.full(n_grades - 1, 1e-1)
-    share = len(grades) / n_grades / np.maximum(1, np.bincount(grades, minlength=n_grades))
-    weight_of = np.minimum(MOST_WEIGHT, share)[grades]
-    rng = np.random.default_rng(7)
-    for _ in range(max(PASSES, STEPS // len(rows))):
-        for i in rng.permutation(len(rows)):
-            own, y = rows[i], grades[i]
-            x = scale[own]
-            cut = _sigmoid(thresholds - weights[own] @ x)  # P(grade <= k)
-            upper, lower = (cut[y] if y < n_grades - 1 else 1.0), (cut[y - 1] if y else 0.0)
-            # d log P(y) / d (threshold - score) at the two borders
-            p = max(upper - lower, 1e-9)
-            up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-            g = weight_of[i] * (low - up) * x - RIDGE * weights[own]
-            square_w[own] += g * g
-            weights[own] += RATE * g / np.sqrt(square_w[own])
-            step = np.zeros(n_grades - 1)
-            if y < n_grades - 1:
-                step[y] += weight_of[i] * up
-            if y:
-                step[y - 1] -= weight_of[i] * low
-            square_t += step * step
-            thresholds = np.maximum.accumulate(thresholds + RATE * step / np.sqrt(square_t))
+    n, size = len(rows), len(buckets)
+    own, place = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
+    x, weights = scale[place], np.zeros(size)
+    weight_of = np.minimum(MOST_WEIGHT, n / n_grades / np.maximum(1, np.bincount(grades, minlength=n_grades)))[grades]
+    mean, square = np.zeros(size + n_grades - 1), np.zeros(size + n_grades - 1)
+    for step in range(1, STEPS + 1):
+        scores = np.bincount(own, weights[place] * x, minlength=n)
+        cut = np.pad(_sigmoid(thresholds[None, :] - scores[:, None]), ((0, 0), (1, 1)), constant_values=((0, 0), (0.0, 1.0)))  # P(grade < k)
+        lower, upper = cut[np.arange(n), grades], cut[np.arange(n), grades + 1]
+        p = np.maximum(upper - lower, 1e-9)
+        # d log P(grade) / d (threshold - score) at the two borders
+        up, low = weight_of * upper * (1 - upper) / p, weight_of * lower * (1 - lower) / p
+        at_borders = np.bincount(grades, up, minlength=n_grades)[:-1] - np.bincount(grades, low, minlength=n_grades)[1:]
+        gradient = np.concatenate((np.bincount(place, (low - up)[own] * x, minlength=size) - RIDGE * weights, at_borders))
+        mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient * gradient
+        rate = RATE * (1 - step / (STEPS + 1))
+        move = rate * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        weights = np.minimum(0.0, weights + move[:size])
+        thresholds = np.maximum.accumulate(thresholds + move[size:])
     return OrdinalModel(buckets, weights * scale, thresholds)
 
 
@@ -154,6 +157,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, grade: Column, id_column:
 def evidence(rated: DataFrame, n_grades: int) -> DataFrame:
     """feature, odds: of each feature of rated(grade, features) how strongly it speaks for a lower grade, log-odds up to MOST_ODDS."""
     totals = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    x_log = lambda c: F.when(c > 0, c * F.log(c)).otherwise(0.0)
     counts = rated.select("grade", F.explode("features").alias("feature")).groupBy("feature").agg(*(F.count_if(F.col("grade") >= k).alias(f"high{k}") for k in range(n_grades)))
     best = [F.lit(0.0)]
     for k in range(1, n_grades):
@@ -161,9 +165,12 @@ def evidence(rated: DataFrame, n_grades: int) -> DataFrame:
         low = sum(totals.values()) - high
         if not high or not low:
             continue
-        a, b = F.col(f"high{k}") + 0.5, F.col("high0") - F.col(f"high{k}") + 0.5
-        odds = F.log(b / F.lit(low + 1.0)) - F.log(a / F.lit(high + 1.0))
-        strong = (odds >= LEAST_ODDS) & (odds >= LEAST_Z * F.sqrt(1 / a + 1 / b))
+        both, a = F.col("high0").cast("double"), F.col(f"high{k}").cast("double")
+        b = both - a
+        odds = F.log((b + 0.5) / F.lit(low + 1.0)) - F.log((a + 0.5) / F.lit(high + 1.0))
+        split = x_log(a) + x_log(b) + x_log(high - a) + x_log(low - b) - x_log(both) - x_log(high + low - both)
+        whole = sum(n * math.log(n) * s for n, s in ((high + low, 1), (high, -1), (low, -1)))
+        strong = (odds >= LEAST_ODDS) & (2 * (split + whole) >= LEAST_Z**2)
         best.append(F.when(strong, F.least(odds, F.lit(MOST_ODDS))).otherwise(0.0))
     return counts.select("feature", (F.greatest(*best) if len(best) > 1 else best[0]).alias("odds")).where("odds > 0")
 

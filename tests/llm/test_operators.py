@@ -277,14 +277,16 @@ def test_op4_columns(spark):
     bucket = functools.cache(lambda x, family: int((mixed(np.array([x ^ int(quality._FAMILIES[family])], dtype=np.uint64)) >> np.uint64(40))[0]))
 
     def found(text):
-        out, before = set(), None
+        out, heads, before = set(), Counter(), None
         repeats = capitals = 0
         own = re.findall(rb"[^\x20\x09-\x0D]+", text)
         for w in own:
             low = w.lower()
             repeat, capital = low == before, len(re.findall(rb"[A-Z]", w)) >= 2 and not re.search(rb"[a-z]", w)
             before, repeats, capitals = low, repeats + repeat, capitals + capital
-            out |= {bucket(one(low), 0), bucket(one(low[-2:]), 1), bucket(repeat + 2 * capital, 2)} | {bucket(one(low[:n]), n - 1) for n in range(4, 9)}
+            out |= {bucket(one(low), 0), bucket(one(low[-2:]), 1), bucket(repeat + 2 * capital, 2)}
+            heads.update(bucket(one(low[:n]), n - 1) for n in range(4, 9))
+        out |= heads.keys() | {b ^ quality.TWICE for b, n in heads.items() if n > 1}
         distinct = len({w.lower() for w in own})
         for level in range(1, 7):
             tests = repeats >= len(own) / 2**level and own, capitals >= len(own) / 2**level and own, len(own) >= 8 and distinct <= len(own) / 2**level
@@ -300,10 +302,13 @@ def test_op4_columns(spark):
         for i, g in grade.items():
             (a if g >= k else b).update(own[i])
         high = sum(g >= k for g in grade.values())
+        low = len(grade) - high
         for f in a.keys() | b.keys():
-            p, q = a[f] + 0.5, b[f] + 0.5
-            x = math.log(q / (len(grade) - high + 1)) - math.log(p / (high + 1))
-            if x >= quality.LEAST_ODDS and x >= quality.LEAST_Z * math.sqrt(1 / p + 1 / q):
+            x = math.log((b[f] + 0.5) / (low + 1)) - math.log((a[f] + 0.5) / (high + 1))
+            table = [(a[f], high), (high - a[f], high), (b[f], low), (low - b[f], low)]
+            share = (a[f] + b[f]) / len(grade)
+            ratio = 2 * sum(n * math.log(n / of / (share if k % 2 == 0 else 1 - share)) for k, (n, of) in enumerate(table) if n)
+            if x >= quality.LEAST_ODDS and ratio >= quality.LEAST_Z**2:
                 odds[f] = x
     assert set(model.buckets.tolist()) == set(odds)
     weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
