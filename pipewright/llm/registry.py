@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pipewright.llm import fingerprint, html_extract, manifest, near_dedup, packing, piece_codec, quality, sharding, suffix_dedup, topk_search, url_filter
+from pipewright.llm import class_lm, fingerprint, html_extract, manifest, near_dedup, packing, piece_codec, quality, sharding, spelling, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_topk_search": topk_search.op10_topk_search,
+    "op11_class_lm": class_lm.op11_class_lm,
     "op12_manifest": manifest.op12_manifest,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op8_html_extract": html_extract.OP8_SQL,
     "op10_topk_search": topk_search.OP10_SQL,
     "op12_manifest": manifest.OP12_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
