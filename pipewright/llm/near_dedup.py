@@ -104,8 +104,8 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, slots: int, rows: int) -> DataFrame:
-    """id, n_shingles, node (digest of the set; null if empty), bands."""
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, node binary, bands array<long>"
+    """id, t1, t2 (hashes of the text), n_shingles, node (digest of the set; null if empty), bands."""
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, t1 long, t2 long, n_shingles long, node binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -120,8 +120,8 @@ def _signed(docs: DataFrame, words: int, slots: int, rows: int) -> DataFrame:
                 for j, i in enumerate(full):
                     node[i], bands[i] = xxh3_128_digest(sets[i].tobytes()), hashes[j]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "node", "bands"],
+                [*(batch.column(c) for c in ("id", "t1", "t2")), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "t1", "t2", "n_shingles", "node", "bands"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -423,10 +423,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     lost, whatever the size of a bucket. Shingles and sets are told apart by 64- and 128-bit hashes.
     """
     rows = bands_for(percent / 100, slots)
-    source = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), F.col(text).alias("text"))
     signed = cut(_signed(source, words, slots, rows))
     usable = signed.where("node IS NOT NULL AND id IS NOT NULL")
-    nodes = cut(usable.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")))
+    row = F.min(F.struct("id", "t1", "t2")).alias("row")  # whose text stands for the node
+    nodes = cut(usable.groupBy("node").agg(F.min("id").alias("id"), row, F.first("bands").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")))
     exploded = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     parts = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
     shared = cut(  # a table, so that AQE can split hot buckets in the join
@@ -438,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     dealt = met.select("bucket", own, "node", "parts", F.lit(False).alias("lent")).unionByName(
         hub.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "node", "parts", F.lit(True).alias("lent"))
     )
-    texts = cut(_texts(source, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "id"), words))
+    texts = cut(_texts(source, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "id", "row.t1", "row.t2"), words))
     # of each node the buckets that it shares, in the order of bands; 0 for others (at most one entry a band)
     listed = met.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("m"))
     places = F.transform(F.sequence(F.lit(0), F.lit(slots // rows - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
@@ -473,31 +474,31 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, id, n (size of its set), bitmap, z (compressed text of a row) of each wanted node(node, id)."""
+    """node, id, n (size of its set), bitmap, z (compressed text of a row) of each wanted node(node, id, t1, t2)."""
+    keys = ["id", "t1", "t2"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, "text"):
             packed = [pack(v) for v in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "z"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(packed, pa.binary())], names=[*keys, "z"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from xxhash import xxh3_128_digest
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "z", max_bytes=1 << 18):
             sets = shingle_sets([unpack(z) for z in batch.column("z").to_pylist()], words)
-            own = [i for i, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if xxh3_128_digest(s.tobytes()) == node]
-            rows = batch.take(pa.array(own, pa.int64()))
-            sizes, bitmaps = pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([bitmap(sets[i]) for i in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("id"), sizes, bitmaps, rows.column("z")], names=["node", "id", "n", "bitmap", "z"])
+            sizes, bitmaps = pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("id"), sizes, bitmaps, batch.column("z")], names=["node", "id", "n", "bitmap", "z"])
 
     kind = source.schema["id"].dataType.simpleString()
-    packed = source.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, f"id {kind}, z binary")
-    joined = packed.join(wanted, "id").select("node", "id", "z")
-    return joined.mapInArrow(check, f"node binary, id {kind}, n long, bitmap binary, z binary").dropDuplicates(["node"])
+    packed = source.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, f"id {kind}, t1 long, t2 long, z binary")
+    # a row's id and text lead to its node alone, however many texts an id has; equal rows become one before they are measured
+    joined = packed.join(wanted, keys).select("node", "id", "z").dropDuplicates(["node"])
+    return joined.mapInArrow(measured, f"node binary, id {kind}, n long, bitmap binary, z binary")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ has no partner. Every other string goes through the rounds, which decide by the
 hashes only say who meets. (Equal strings that follow on each other, in a text with a short period,
 are compared byte by byte where they stand, and one of them goes through the rounds.)
 
-Scale: anchors are counted with partial aggregation, the join back to the occurrences is an equi-join
+Scale: equal texts are one text with a count from the start: what they repeat of each other needs no
+rounds, and one of them meets the others' strings. Anchors are counted with partial aggregation, the join back to the occurrences is an equi-join
 that AQE splits when an anchor is hot, and texts are shuffled twice, compressed. An anchor with more
 than ``group`` strings is dealt over sub-collections. What each of them finds repeated is repeated; one
 of each of its different strings goes on to the next level, where an anchor is parted further: a
@@ -113,7 +114,7 @@ def portions(values: list[bytes], length: int) -> Iterator[tuple[bytes, list[tup
 
 
 def _strings(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """k1, k2 (of a row), first and last window start, anchor place, anchor hash: one row for each string.
+    """k1, k2 (of a text), first and last window start, anchor place, anchor hash: one row for each string.
 
     Where a text repeats itself with a short period, equal strings follow on each other; such a run
     is one row: ``times`` strings, of which the first is given, with window starts up to ``until``."""
@@ -191,9 +192,8 @@ class Collection:
         return string, up - self.begin[string], down - 1 - self.begin[string]
 
 
-def _row_keys(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    other = [F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.col(id_column).isNull(), F.col(text)]
-    return df.withColumns({"k1": F.xxhash64(*other), "k2": F.xxhash64(F.lit("second"), *other)})
+def _text_keys(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second"), text)})
 
 
 def _compressed(df: DataFrame, text: str) -> DataFrame:
@@ -225,25 +225,29 @@ def _salt() -> Column:
     return F.pmod(F.xxhash64("k1", "k2", "first"), F.col("salts")).cast("int")
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, group: int = GROUP) -> DataFrame:
-    """k1, k2 (hashes of id and text, which identify a row), spans array<struct<from, to>>: byte ranges, possibly
-    overlapping, whose every window of ``length`` bytes also starts elsewhere in docs. Rows without such are absent."""
-    keyed = _row_keys(docs.select(id_column, F.col(text).alias("text")), id_column, "text").select("k1", "k2", "text").where(F.octet_length("text") >= length)
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = GRAM, group: int = GROUP) -> DataFrame:
+    """k1, k2 (hashes of a text), spans array<struct<from, to>>: byte ranges, possibly overlapping, whose every window of
+    ``length`` bytes also starts elsewhere in docs. Texts without such are absent. Rows with equal texts are one text
+    with a count: all of it occurs again, and to other texts it is a single partner."""
+    keyed = _text_keys(docs.select(F.col(text).alias("text")), "text").where(F.octet_length("text") >= length)
+    copies = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("to")).where("n > 1")
     strings = _strings(keyed, length, k)
     again = cut(  # joined from a table, not below its aggregation: only so can AQE split hot anchors
-        strings.groupBy("anchor").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1").select("anchor", F.ceil(F.col("rows") / group).cast("int").alias("salts"), F.col("rows") > 1)
-        .toDF("anchor", "salts", "meets")
+        strings.withColumn("own", F.xxhash64("k1", "k2", "first")).groupBy("anchor")
+        .agg(F.max("times").alias("times"), F.count(F.lit(1)).alias("rows"), (F.min("own") != F.max("own")).alias("meets")).where("meets OR times > 1")
+        .select("anchor", F.ceil(F.col("rows") / group).cast("int").alias("salts"), "meets")
     )
     hits = cut(strings.join(again, "anchor").withColumn("salt", _salt()))
     spans = hits.where("times > 1").select("k1", "k2", F.col("first").alias("from"), (F.col("until") + length).alias("to"))
-    wanted = hits.where("meets").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "salt", "salts", "first", "last", "place")).alias("wanted"))
-    level = _cutouts(_compressed(keyed, "text").join(wanted, ["k1", "k2"]), length)
+    spans = spans.unionByName(copies.select("k1", "k2", F.lit(0).alias("from"), "to"))
+    wanted = hits.where("meets").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "salt", "salts", "first", "last", "place")).alias("wanted"))
+    level = _cutouts(_compressed(keyed, "text").dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]), length)
     while True:
         found = cut(_rounds(level, length, k))
         spans = spans.unionByName(found.where("string IS NULL").select("k1", "k2", F.col("first").alias("from"), F.col("to")))
         left = found.where("string IS NOT NULL").drop("to")
         if left.isEmpty():
-            return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+            return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
         level = _dealt(_parted(left, length, k), group)
 
 
@@ -376,22 +380,22 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, characters: bool = False, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = GRAM, characters: bool = False, group: int = GROUP) -> DataFrame:
     """docs without the text column, with ``kept`` (binary), ``n_bytes``, ``removed_spans`` (byte ranges of the input).
 
     Every byte goes that is covered by a ``length``-byte string which also starts anywhere else, in
     another row or the same one; copies count as rows of their own. A null text is treated as empty;
-    texts shorter than ``length`` stay whole; an empty table gives an empty result. Rows that are
-    equal in id and text are treated alike. characters: keep the bytes of characters that are only
+    texts shorter than ``length`` stay whole; an empty table gives an empty result. Rows with equal
+    texts, with or without ids, cost no more than one. characters: keep the bytes of characters that are only
     partly covered, so that ``kept`` is valid UTF-8. Columns of docs with the new names are replaced.
     """
     if k % 8 or not 8 <= k <= length:
         raise ValueError("k must be a multiple of 8 up to length")
     if group < 2:
         raise ValueError("a group needs two strings to compare")
-    spans = repeated_spans(docs, id_column, text, length, k, group)
+    spans = repeated_spans(docs, text, length, k, group)
     keep = [c for c in docs.columns if c not in (text, "kept", "n_bytes", "removed_spans", "k1", "k2", "_z", "spans")]
-    keyed = _row_keys(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(text).alias("_own")), id_column, "_own").drop("_own")
+    keyed = _text_keys(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t")), "_t")
     joined = _compressed(keyed, "_t").join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

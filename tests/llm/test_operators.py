@@ -207,6 +207,20 @@ def test_suffix_dedup_hot_anchors(spark, monkeypatch):
         suffix_dedup.remove_repeats(df, group=1)
 
 
+def test_suffix_dedup_many_equal_rows(spark):
+    """Thousands of equal rows, with an id of their own, one id or none, cost what one costs; others still meet them."""
+    base, other = words(900, 11), words(300, 12)
+    inner = base[1000:1500]
+    rows = [(7, base)] * 1500 + [(None, base)] * 1500 + [(10_000 + i, base) for i in range(1500)] + [(8, other + inner), (9, other[:150]), (9, other[:150])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    began = time.time()
+    got = Counter((r["doc_id"] if r["doc_id"] in (7, 8, 9, None) else "own", tuple((s["from"], s["to"]) for s in r["removed_spans"])) for r in suffix_dedup.remove_repeats(df).collect())
+    whole = ((0, len(base)),)
+    assert got == {(7, whole): 1500, (None, whole): 1500, ("own", whole): 1500, (8, ((len(other), len(other) + 500),)): 1, (9, ()): 2}
+    assert time.time() - began < 60
+
+
 def test_parted_strings_keep_every_window():
     r = random.Random(2)
     for _ in range(200):
@@ -623,6 +637,18 @@ def test_near_dedup_repeated_ids(spark):
     assert got == [("b", 76, "b"), ("c", 76, "b"), ("d", 76, "b"), ("d", 76, "b"), ("e", 0, "e"), ("e", 76, "e"), ("f", 0, "f")]
 
 
+def test_near_dedup_many_texts_of_one_id(spark):
+    texts = [words(60, i) for i in range(2500)]
+    alike = texts[0].split()
+    alike[-1] = "changed"
+    rows = [(5, t) for t in texts] + [(5, texts[1])] * 2500 + [(9, " ".join(alike)), (4, texts[2400]), (3, words(60, 99_999))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {(5, 4, False), (9, 4, False), (4, 4, True), (3, 3, True)}
+    assert time.time() - began < 90
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 400)]
