@@ -79,6 +79,59 @@ def measure(line: list[Point], p: Point) -> float:
     return best[1]
 
 
+def last_contact(line: list[Point], other: list[Point]) -> float | None:
+    """The greatest measure along a line, short of its end, at which it meets another line."""
+    best, at, total = None, 0.0, line_length(line)
+    for a, b in zip(line, line[1:]):
+        n = dist(a, b)
+        for c, d in zip(other, other[1:]):
+            for t in meeting(a, b, c, d):
+                if at + t * n < total - EPS and (best is None or at + t * n > best):
+                    best = at + t * n
+        at += n
+    return best
+
+
+def capsule_span(a: Point, b: Point, c: Point, d: Point, r: float) -> tuple[float, float] | None:
+    """Shares of a-b between which it is within r of the segment c-d: one span, since what is near a segment is convex."""
+    found: list[float] = []
+    for q in (c, d):  # the discs at its ends
+        ux, uy, wx, wy = b[0] - a[0], b[1] - a[1], a[0] - q[0], a[1] - q[1]
+        square, half, rest = ux * ux + uy * uy, ux * wx + uy * wy, wx * wx + wy * wy - r * r
+        if square == 0:
+            if rest <= 0:
+                found += [0.0, 1.0]
+        elif half * half - square * rest >= 0:
+            root = math.sqrt(half * half - square * rest)
+            found += [(-half - root) / square, (-half + root) / square]
+    n = dist(c, d)
+    if n:  # the band between them
+        low, high = -math.inf, math.inf
+        for vx, vy, least, most in (((d[0] - c[0]) / n, (d[1] - c[1]) / n, 0.0, n), (-(d[1] - c[1]) / n, (d[0] - c[0]) / n, -r, r)):
+            start, step = (a[0] - c[0]) * vx + (a[1] - c[1]) * vy, (b[0] - a[0]) * vx + (b[1] - a[1]) * vy
+            if abs(step) > 1e-12:
+                x, y = sorted(((least - start) / step, (most - start) / step))
+                low, high = max(low, x), min(high, y)
+            elif not least <= start <= most:
+                low, high = 1.0, 0.0
+        if low <= high:
+            found += [low, high]
+    if not found or max(found) <= 0 or min(found) >= 1:
+        return None
+    return max(0.0, min(found)), min(1.0, max(found))
+
+
+def length_within(line: list[Point], others: list[list[Point]], r: float) -> float:
+    """How much of a line runs within r of one of the others: spans by leg and segment, merged."""
+    total = 0.0
+    for a, b in zip(line, line[1:]):
+        end = 0.0
+        for low, high in sorted(s for other in others for c, d in zip(other, other[1:]) if (s := capsule_span(a, b, c, d, r))):
+            total += max(0.0, high - max(low, end)) * dist(a, b)
+            end = max(end, high)
+    return total
+
+
 @dataclass
 class Shape:
     """An obstacle: polygons as lists of rings (the first is the shell), and open lines (a point is a line of one)."""

@@ -12,14 +12,15 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from pipewright.functions import catalog as cat
-from pipewright.functions.planar import Point, Shape, band, dist, line_length, measure, nearest_on, sub_line
-from pipewright.operators.routing import Route, counted_search, objective
+from pipewright.functions.planar import Point, Shape, band, dist, last_contact, length_within, line_length, measure, nearest_on, sub_line
+from pipewright.operators.routing import Route, blocked, counted_search, objective
 from pipewright.operators.rules import HARD, SPECIAL, check, sweep
 from pipewright.operators.sizing import Edge, flows, size_tree
 
@@ -230,20 +231,39 @@ def _degree(t: Territory, p: Point) -> int:
 class Planner:
     def __init__(self, t: Territory, options: Options):
         self.t, self.options, self.spent, self.candidates = t, options, 0, 0
+        self.most = options.total_expansions  # what may be spent at present
         self.routes: dict[tuple, Route | None] = {}
         self.by_key = {x.key: x for x in t.targets}
 
-    def route(self, start: Point, goal: Point, pipe: str | None, dn: int, profile: str) -> Route | None:
-        key = (start, goal, pipe, dn, profile)
+    @contextmanager
+    def within(self, expansions: int):
+        """A slice of the budget: at most so many expansions inside; what isn't used stays in the budget around it."""
+        around = self.most
+        self.most = min(around, self.spent + expansions)
+        try:
+            yield
+        finally:
+            self.most = around
+
+    @property
+    def exhausted(self) -> bool:
+        return self.spent >= self.most
+
+    def route(self, start: Point, goal: Point, pipe: str | None, dn: int, profile: str, levels: int | None = None, avoid: list[Point] | None = None) -> Route | None:
+        key = (start, goal, pipe, dn, profile, levels, tuple(avoid) if avoid else None)
         if key not in self.routes:
-            left = self.options.total_expansions - self.spent
+            left = self.most - self.spent
             if left <= 0:
                 return None
             o = self.options
-            self.routes[key], used = counted_search(
-                start, goal, dn, self.t.obstacles, pipe, profile, o.refinements, o.expansions_per_route, o.neighbours, frozenset(self.t.unknown_width), left
+            corridor = ([avoid], o.similarity_tolerance) if avoid else None
+            found, used = counted_search(
+                start, goal, dn, self.t.obstacles, pipe, profile, levels or o.refinements, o.expansions_per_route, o.neighbours, frozenset(self.t.unknown_width), left, corridor
             )
             self.spent += max(1, used)
+            if found is None and used >= left:
+                return None  # cut off by the budget: another slice may find it
+            self.routes[key] = found
         return self.routes[key]
 
     def widened(self, start: Point, target: Target, pipe: str | None, dn: int, profile: str) -> Route | None:
@@ -317,33 +337,92 @@ class Planner:
         target = self.by_key.get(end)
         return check(line, dn, self.t.obstacles, target.point if target else None, (root.point, root.pipe) if root else None, frozenset(self.t.unknown_width))
 
+    def seed(self) -> Network:
+        """One network before any beam: in round r each consumer without a connection offers its r-th tie-in, and offers are
+        taken in the order of keys as they come out right. A route that runs into the network joins it as a shared
+        stem. Rounds have three quarters of the budget, and search on the coarsest level only."""
+        o, n = self.options, self.evaluate(Network())
+        order = sorted(self.t.targets, key=lambda x: x.key)
+        offers = {x.key: roots(self.t, x, o) for x in order}
+        with self.within(o.total_expansions * 3 // 4):
+            for r in range(o.initial_tie_ins):
+                for target in order:
+                    if self.exhausted:
+                        return n
+                    if target.key in n.served or r >= len(offers[target.key]):
+                        continue
+                    root = offers[target.key][r]
+                    if sum(p.start == root.key for p in n.pieces) + _degree(self.t, root.point) >= 4:
+                        continue
+                    found = self.route(root.point, target.point, root.pipe, self.least(target.flow, dist(root.point, target.point)), "balanced", levels=1)
+                    if found:
+                        n = self.accepted(n, root, target, found.line) or n
+        return n
+
+    def accepted(self, n: Network, root: Root, target: Target, line: list[Point]) -> Network | None:
+        """The network with a route from a tie-in: as it is, or from where it last meets the network."""
+        grown = replace(
+            n, roots=n.roots | {root.key: root}, points=n.points | {root.key: root.point, target.key: target.point}, pieces=[*n.pieces, Piece(root.key, target.key, line)], served=n.served | {target.key}
+        )
+        whole = self.evaluate(grown)
+        return whole if whole and not self.overlaps(whole) else self.joined(n, target, line)
+
+    def joined(self, n: Network, target: Target, line: list[Point]) -> Network | None:
+        """The network with a consumer by what is left of a route after its last contact with a new pipe, which is split there."""
+        contacts = [(m, i) for i, p in enumerate(n.pieces) if (m := last_contact(line, p.line)) is not None]
+        if not contacts:
+            return None
+        at, i = max(contacts, key=lambda x: (x[0], -x[1]))
+        piece = n.pieces[i]
+        rest = sub_line(line, at, line_length(line))
+        split = self.split(n, piece, measure(piece.line, rest[0]))
+        if split is None:
+            return None
+        made, node = split
+        if sum(p.start == node for p in made.pieces) >= 3:
+            return None
+        rest[0] = made.points[node]
+        made = replace(made, points=made.points | {target.key: target.point}, pieces=[*made.pieces, Piece(node, target.key, rest)], served=made.served | {target.key})
+        whole = self.evaluate(made)
+        return whole if whole and not self.overlaps(whole) else None
+
     def attach(self, n: Network, target: Target, profile: str) -> list[Network]:
-        """The network with one consumer more, by each tie-in and each near new pipe that a route is found from."""
-        out: list[Network] = []
+        """The network with one consumer more, within a slice of the budget: a third of each consumer's share, 100 expansions at least."""
+        with self.within(max(100, self.options.total_expansions // max(1, 3 * len(self.t.targets)))):
+            return self.attached(n, target, profile)
+
+    def attached(self, n: Network, target: Target, profile: str) -> list[Network]:
+        """By each tie-in, and by each near new pipe, that a route is found from."""
+        done: list[Network] = []
         for level in range(self.options.refinements):
             for root in roots(self.t, target, self.options, level):
                 dn = self.least(target.flow, dist(root.point, target.point))
+                if self.exhausted:
+                    break
                 if sum(p.start == root.key for p in n.pieces) + _degree(self.t, root.point) >= 4:
                     continue
                 found = self.widened(root.point, target, root.pipe, dn, profile)
-                if found:
-                    out.append(replace(n, roots=n.roots | {root.key: root}, points=n.points | {root.key: root.point, target.key: target.point}, pieces=[*n.pieces, Piece(root.key, target.key, found.line)], served=n.served | {target.key}))
-            if out:
+                made = self.accepted(n, root, target, found.line) if found else None
+                if made:
+                    done.append(made)
+            if done:
                 break
         near = sorted(n.pieces, key=lambda p: min(dist(target.point, nearest_on(target.point, a, b)[1]) for a, b in zip(p.line, p.line[1:])))
         for piece in near[: self.options.max_tie_ins]:
             total = line_length(piece.line)
             for m in {round(measure(piece.line, target.point), 6), round(total / 2, 6)}:
                 split = self.split(n, piece, m)
-                if split is None:
+                if split is None or self.exhausted:
                     continue
                 made, node = split
                 if sum(p.start == node for p in made.pieces) >= 3:
                     continue
                 found = self.widened(made.points[node], target, None, self.least(target.flow, 0.0), profile)
                 if found:
-                    out.append(replace(made, points=made.points | {target.key: target.point}, pieces=[*made.pieces, Piece(node, target.key, found.line)], served=made.served | {target.key}))
-        done = [e for x in out if (e := self.evaluate(x)) and not self.overlaps(e)]
+                    grown = replace(made, points=made.points | {target.key: target.point}, pieces=[*made.pieces, Piece(node, target.key, found.line)], served=made.served | {target.key})
+                    whole = self.evaluate(grown)
+                    if whole and not self.overlaps(whole):
+                        done.append(whole)
         return done
 
     def split(self, n: Network, piece: Piece, m: float) -> tuple[Network, str] | None:
@@ -370,37 +449,102 @@ class Planner:
                     return True
         return False
 
+    def below(self, n: Network, node: str) -> set[str]:
+        """A node and all that hangs on it."""
+        out, at = {node}, {node}
+        while at:
+            at = {p.end for p in n.pieces if p.start in at} - out
+            out |= at
+        return out
+
+    def cut_off(self, n: Network, piece: Piece) -> Network:
+        """The network without a piece: what it led to hangs loose; nodes that then lead nowhere go, and a junction with one way on is dissolved."""
+        pieces, end = [p for p in n.pieces if p is not piece], piece.start
+        while not any(p.start == end for p in pieces) and end not in n.roots and end not in self.by_key:
+            above = next(p for p in pieces if p.end == end)
+            pieces, end = [p for p in pieces if p is not above], above.start
+        after, before = [p for p in pieces if p.start == end], [p for p in pieces if p.end == end]
+        if len(after) == 1 and before and end not in self.by_key:
+            pieces = [p for p in pieces if p is not after[0] and p is not before[0]] + [Piece(before[0].start, after[0].end, [*before[0].line, *after[0].line[1:]])]
+        used = {k for p in pieces for k in (p.start, p.end)} | {piece.end}
+        return replace(n, roots={k: r for k, r in n.roots.items() if k in used}, points={k: p for k, p in n.points.items() if k in used}, pieces=pieces)
+
     def detach(self, n: Network, key: str) -> Network:
-        """The network without a consumer: its pipe goes, with nodes that then lead nowhere; a junction with one way on is dissolved."""
-        pieces, end = list(n.pieces), key
-        while True:
-            piece = next(p for p in pieces if p.end == end)
-            pieces.remove(piece)
-            end = piece.start
-            if any(p.start == end for p in pieces) or end in n.roots or end in self.by_key:
-                break
-        below, above = [p for p in pieces if p.start == end], [p for p in pieces if p.end == end]
-        if len(below) == 1 and above and end not in self.by_key:
-            pieces = [p for p in pieces if p is not below[0] and p is not above[0]] + [Piece(above[0].start, below[0].end, [*above[0].line, *below[0].line[1:]])]
-        used = {k for p in pieces for k in (p.start, p.end)}
-        return replace(n, roots={k: r for k, r in n.roots.items() if k in used}, points={k: p for k, p in n.points.items() if k in used}, pieces=pieces, served=n.served - {key})
-
-    def nudged(self, n: Network, step: float) -> Iterator[Network]:
-        """The network with one junction moved by a step, for each junction and direction."""
+        """The network without a consumer."""
+        left = self.cut_off(n, next(p for p in n.pieces if p.end == key))
+        return replace(left, points={k: p for k, p in left.points.items() if k != key}, served=n.served - {key})
+
+    def connected(self, n: Network, start: str, end: str, dn: int, profile: str) -> Network | None:
+        """The network with a loose subtree led to from another node; a pipe that is too long at one size is tried at the next."""
+        if start == end or sum(p.start == start for p in n.pieces) >= 3 or start in self.by_key:
+            return None
+        root = n.roots.get(start)
+        if root and sum(p.start == start for p in n.pieces) + _degree(self.t, root.point) >= 4:
+            return None
+        found = self.widened(n.points[start], Target(end, n.points[end], 0.0), root.pipe if root else None, dn, profile)
+        if not found:
+            return None
+        whole = self.evaluate(replace(n, pieces=[*n.pieces, Piece(start, end, found.line)]))
+        return whole if whole and not self.overlaps(whole) else None
+
+    def rerouted(self, n: Network, profile: str) -> Iterator[Network]:
+        """The network with one piece led by another way, away from its own corridor."""
+        for i, p in enumerate(n.pieces):
+            root = n.roots.get(p.start)
+            found = self.route(n.points[p.start], n.points[p.end], root.pipe if root else None, n.sizes[p.end], profile, avoid=p.line)
+            if found and found.line != p.line:
+                whole = self.evaluate(replace(n, pieces=[replace(q, line=found.line) if j == i else q for j, q in enumerate(n.pieces)]))
+                if whole and not self.overlaps(whole):
+                    yield whole
+
+    def moved(self, n: Network, profile: str, level: int) -> Iterator[Network]:
+        """The network with one whole subtree on another tie-in or on another branch."""
+        for p in n.pieces:
+            loose, hanging, dn = self.cut_off(n, p), self.below(n, p.end), n.sizes[p.end]
+            flow = sum(x.flow for x in self.t.targets if x.key in hanging)
+            for root in roots(self.t, Target(p.end, n.points[p.end], flow), self.options, level):
+                if root.key == p.start or self.exhausted:
+                    continue
+                grown = replace(loose, roots=loose.roots | {root.key: root}, points=loose.points | {root.key: root.point})
+                whole = self.connected(grown, root.key, p.end, dn, profile)
+                if whole:
+                    yield whole
+            for q in loose.pieces:
+                if q.start in hanging or q.end in hanging or self.exhausted:
+                    continue
+                split = self.split(loose, q, measure(q.line, n.points[p.end]))
+                whole = self.connected(split[0], split[1], p.end, dn, profile) if split else None
+                if whole:
+                    yield whole
+
+    def nudged(self, n: Network, step: float, profile: str) -> Iterator[Network]:
+        """The network with one junction moved by a step, for each junction and direction; the pieces that meet in it are routed anew."""
         for node, (x, y) in n.points.items():
             if not node.startswith("junction:"):
                 continue
             for dx, dy in ((step, 0.0), (-step, 0.0), (0.0, step), (0.0, -step)):
                 p = (x + dx, y + dy)
                 name = f"junction:{math.floor(p[0] * 1000 + 0.5)}:{math.floor(p[1] * 1000 + 0.5)}"
-                moved = [Piece(name if q.start == node else q.start, name if q.end == node else q.end, [p if q.start == node else q.line[0], *q.line[1:-1], p if q.end == node else q.line[-1]]) for q in n.pieces]
-                yield replace(n, points={name if k == node else k: p if k == node else v for k, v in n.points.items()}, pieces=moved)
+                points = {name if k == node else k: p if k == node else v for k, v in n.points.items()}
+                pieces = []
+                for q in n.pieces:
+                    if node in (q.start, q.end):
+                        start, end = (name if k == node else k for k in (q.start, q.end))
+                        root = n.roots.get(start)
+                        found = self.route(points[start], points[end], root.pipe if root else None, n.sizes[q.end], profile)
+                        if not found:
+                            break
+                        q = Piece(start, end, found.line)
+                    pieces.append(q)
+                else:
+                    whole = self.evaluate(replace(n, points=points, pieces=pieces))
+                    if whole and not self.overlaps(whole):
+                        yield whole
 
     def improve(self, n: Network, profile: str) -> Network:
-        """Better networks nearby, until there is none: consumers connected anew (another root, branch or way) and junctions moved."""
+        """Better networks nearby, until there is none: pieces led another way, subtrees moved to other roots or branches, junctions moved."""
         for i in range(self.options.local_search):
-            near = [x for key in sorted(n.served) for x in self.attach(self.detach(n, key), self.by_key[key], profile)]
-            near += [x for m in self.nudged(n, 5.0 / 2**i) if (x := self.evaluate(m)) and not self.overlaps(x)]
+            near = [*self.rerouted(n, profile), *self.moved(n, profile, min(i, self.options.refinements - 1)), *self.nudged(n, 5.0 / 2**i, profile)]
             best = min(near, key=lambda x: (-len(x.served), x.score, x.signature()), default=n)
             if (-len(best.served), best.score) >= (-len(n.served), n.score - 1e-12):
                 break
@@ -417,31 +561,44 @@ class Planner:
             t.diagnostics.append(("NO_TARGETS", ""))
         if t.invalid or not t.pipes or not t.targets:
             return []
+        for x in t.targets:
+            if x.flow > max(p[1] for p in cat.PIPES):
+                t.diagnostics.append(("NO_SUPPORTED_DIAMETER_FOR_CANDIDATE", x.key))
+            elif blocked(x.point, self.least(x.flow, 0.0), t.obstacles):
+                t.diagnostics.append(("TERMINAL_APPROACH_BLOCKED", x.key))
         far = lambda x: min(dist(x.point, nearest_on(x.point, a, b)[1]) for _, line, _ in t.pipes for a, b in zip(line, line[1:]))
         by_distance = sorted(t.targets, key=lambda x: (-far(x), x.key))
         by_flow = sorted(t.targets, key=lambda x: (-x.flow, x.key))
         mixed = sorted(t.targets, key=lambda x: x.key)
         random.Random(o.seed).shuffle(mixed)
-        empty = self.evaluate(Network())
-        pool: dict[str, Network] = {}
+        empty, seeded = self.evaluate(Network()), self.seed()
+        pool: dict[str, Network] = {seeded.signature(): seeded} if seeded.pieces else {}
         for profile in PROFILES:
             weigh = lambda n, profile=profile: objective(profile, (n.cost + n.penalty) / cat.PIPES[0][3], n.length, 0)
             for order in (by_distance, by_flow, mixed):
                 beam = [empty]
                 for target in order:
-                    grown = [x for n in beam for x in self.attach(n, target, profile)] + beam
+                    grown = [x for n in beam if target.key not in n.served for x in self.attach(n, target, profile)] + beam
                     distinct = {x.signature(): x for x in grown}
                     beam = [x for _, x in sorted(distinct.items(), key=lambda kv: (-len(kv[1].served), weigh(kv[1]), kv[0]))[: o.beam_width]]
                 pool |= {x.signature(): x for x in beam if x.pieces}
                 if beam[0].pieces:
                     better = self.improve(beam[0], profile)
                     pool[better.signature()] = better
+        if seeded.pieces:  # what the rounds have connected is completed and improved as well
+            pool |= {x.signature(): x for x in [self.improve(self.completed(seeded), "balanced")]}
         for n in sorted(pool.values(), key=lambda n: (-len(n.served), n.score, n.signature()))[: o.beam_width]:
-            for target in t.targets:  # what no order has connected is tried once more
-                if target.key not in n.served:
-                    pool |= {x.signature(): x for x in self.attach(n, target, "balanced")}
+            full = self.completed(n)
+            pool[full.signature()] = full
         return self.select(list(pool.values()))
 
+    def completed(self, n: Network) -> Network:
+        """What no order has connected is tried once more, each time by the network with the least score."""
+        for target in sorted(self.t.targets, key=lambda x: x.key):
+            if target.key not in n.served:
+                n = min(self.attach(n, target, "balanced"), key=lambda x: (x.score, x.signature()), default=n)
+        return n
+
     def select(self, pool: list[Network]) -> list[Network]:
         """Up to three networks with the most consumers, near the best score, that differ from each other."""
         if not pool:
@@ -461,7 +618,7 @@ class Planner:
         groups = lambda n: sorted(sorted(e.node for e in self.subtree([Edge(p.end, p.start, 0, 0) for p in n.pieces], r) if e.node in self.by_key) for r in n.roots)
         if len(a.roots) != len(b.roots) or groups(a) != groups(b):
             return True
-        share = lambda x, y: sum(any(Shape("", "", lines=[q.line]).gap(s, s) <= self.options.similarity_tolerance for q in y.pieces) for p in x.pieces for s in _samples(p.line)) / max(1, sum(len(_samples(p.line)) for p in x.pieces))
+        share = lambda x, y: sum(length_within(p.line, [q.line for q in y.pieces], self.options.similarity_tolerance) for p in x.pieces) / max(1e-9, sum(line_length(p.line) for p in x.pieces))
         return min(share(a, b), share(b, a)) < self.options.max_overlap
 
 

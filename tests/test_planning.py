@@ -10,11 +10,11 @@ import random
 import pytest
 
 from pipewright.functions import catalog as cat
-from pipewright.functions.planar import Shape, band, line_length
-from pipewright.operators.routing import search
+from pipewright.functions.planar import Shape, band, length_within, line_length, nearest_on, sub_line
+from pipewright.operators.routing import counted_search, search
 from pipewright.operators.rules import check
 from pipewright.operators.sizing import Edge, flows, size_tree
-from pipewright.plans.planner import Options, Planner, RoadData, load, plan, plan_rows, verify
+from pipewright.plans.planner import Network, Options, Piece, Planner, RoadData, export, load, plan, plan_rows, roots, verify
 
 X, Y = 414000.0, 6179000.0
 
@@ -80,6 +80,100 @@ def test_detaching_dissolves_junctions():
     assert left and left.served == {"s:t0"} and len(left.pieces) == 1 and set(left.points) == {left.pieces[0].start, "s:t0"}
 
 
+def two_targets(*places, flow=10.0):
+    return [PIPE, CHAMBER, *(feature(f"s:{k}", "oks_connection_point", "Point", at(x, y), flow=flow) for k, (x, y) in zip("abcdefgh", places, strict=False))]
+
+
+def connected_to(p, key, line):
+    """A network of one straight pipe from the chamber."""
+    [root] = [r for r in roots(p.t, p.by_key[key], Options(), 0) if r.chamber]
+    return p.evaluate(Network({root.key: root}, {root.key: root.point, key: p.by_key[key].point}, [Piece(root.key, key, [tuple(at(*x)) for x in line])], frozenset([key]))), root
+
+
+def test_overlapping_routes_become_a_shared_stem():
+    p = Planner(load(two_targets((0, 100), (50, 100))), Options(beam_width=2, local_search=0))
+    n, root = connected_to(p, "s:a", [(0, 0), (0, 100)])
+    route = [tuple(at(*x)) for x in ((0, 0), (0, 50), (50, 100))]
+    joined = p.accepted(n, root, p.by_key["s:b"], route)
+    assert joined and joined.served == {"s:a", "s:b"} and len(joined.pieces) == 3
+    [stem] = [x for x in joined.pieces if x.start == root.key]
+    assert joined.flow[stem.end] == pytest.approx(20) and line_length(stem.line) == pytest.approx(50)
+    assert verify(p.t, export(p.t, joined, "a", 1)) == []
+    assert len(n.pieces) == 1 and n.served == {"s:a"}
+    through = [tuple(at(*x)) for x in ((0, 0), (0, 100), (50, 100))]
+    assert p.joined(n, p.by_key["s:b"], through) is None  # a consumer is no junction
+
+
+def test_seed_serves_consumers_before_any_beam():
+    long = feature("s:pipe", "heat_network", "LineString", [at(-100, 0), at(100, 0)], diameter=200)
+    features = [long, *two_targets((-80, 80), (-20, 110), (0, 90), (20, 110), (80, 80))[2:]]
+    p = Planner(load(features), Options())
+    n = p.seed()
+    assert n.served == set(p.by_key) and p.spent <= Options().total_expansions * 3 // 4
+    assert verify(p.t, export(p.t, n, "a", 1)) == []
+    full = Planner(load(two_targets((-20, 110), (0, 90), (20, 110))), Options())
+    assert full.seed().served == {"s:a", "s:b"}  # two places are left at the only tie-in: taken in the order of keys
+    tiny = Planner(load(features), Options(total_expansions=1))
+    tiny.run()
+    assert tiny.spent <= 1
+
+
+def test_a_hopeless_consumer_does_not_starve_the_next():
+    moat = feature("s:moat", "restriction", "Polygon", [[at(*x) for x in box(-120, 60, -40, 140)], [at(*x) for x in box(-110, 70, -50, 130)]], restriction="water")
+    house = feature("s:house", "restriction", "Polygon", [[at(*x) for x in box(-20, 40, 20, 60)]], restriction="oks")
+    features = [*two_targets((-80, 100), (0, 110)), moat, house]
+    p = Planner(load(features), Options(total_expansions=3000))
+    with p.within(500):
+        assert p.attach(p.evaluate(Network()), p.by_key["s:a"], "balanced") == []
+    assert p.spent <= 500 and p.most == 3000
+    assert p.attach(p.evaluate(Network()), p.by_key["s:b"], "balanced")
+
+
+def test_only_moving_a_subtree_helps():
+    near = feature("s:near", "heat_network", "LineString", [at(180, 90), at(220, 90)], diameter=100)
+    p = Planner(load([*two_targets((190, 130), (210, 130)), near]), Options())
+    [root] = [r for r in roots(p.t, p.by_key["s:a"], Options(max_tie_ins=16, initial_tie_ins=16), 0) if r.chamber]
+    junction = f"junction:{round((X + 200) * 1000)}:{round((Y + 110) * 1000)}"
+    spot = tuple(at(200, 110))
+    pieces = [Piece(root.key, junction, [root.point, spot]), *(Piece(junction, k, [spot, p.by_key[k].point]) for k in ("s:a", "s:b"))]
+    n = p.evaluate(Network({root.key: root}, {root.key: root.point, junction: spot, **{k: x.point for k, x in p.by_key.items()}}, pieces, frozenset(p.by_key)))
+    assert n
+    # a consumer alone can leave the long stem only by a stem of its own
+    alone = [x for k in p.by_key for x in p.attach(p.detach(n, k), p.by_key[k], "balanced") if len(x.roots) == 1]
+    assert all(x.length > 200 for x in alone)
+    whole = [x for x in p.moved(n, "balanced", 0) if len(x.roots) == 1 and x.length < 100]
+    assert whole and all(x.served == n.served and junction in x.points for x in whole)
+    better = p.improve(n, "balanced")
+    assert better.score < n.score / 2 and verify(p.t, export(p.t, better, "a", 1)) == []
+
+
+def test_another_way_leaves_the_corridor():
+    house = Shape("h", "oks", [[box(-10.0, 40.0, 11.0, 60.0)]])
+    first, _ = counted_search((0.0, 0.0), (0.0, 100.0), 3, [house], None, "compact", 2, 1500, 24, frozenset())
+    other, _ = counted_search((0.0, 0.0), (0.0, 100.0), 3, [house], None, "compact", 2, 1500, 24, frozenset(), avoid=([first.line], 5.0))
+    side = lambda line: math.copysign(1, max((x for x, _ in line), key=abs))
+    assert side(first.line) == -side(other.line)
+    assert length_within(other.line, [first.line], 5.0) < length_within(first.line, [first.line], 5.0) == pytest.approx(line_length(first.line))
+
+
+def test_length_within_a_corridor():
+    r = random.Random(6)
+    for _ in range(60):
+        line, other = ([(r.uniform(0, 40), r.uniform(0, 40)) for _ in range(r.randint(2, 4))] for _ in range(2))
+        got, n = length_within(line, [other], 6.0), 4000
+        near = lambda p: min(math.dist(p, nearest_on(p, c, d)[1]) for c, d in zip(other, other[1:])) <= 6.0
+        want = sum(near(sub_line(line, m, m)[0]) for m in ((i + 0.5) * line_length(line) / n for i in range(n))) * line_length(line) / n
+        assert got == pytest.approx(want, abs=line_length(line) * 3e-3)
+
+
+def test_approach_blocked_and_flow_beyond_the_catalogue():
+    inner = [feature("s:own", "restriction", "Polygon", [[at(*x) for x in box(-10, 90, 10, 104)]], restriction="oks"), feature("s:park", "restriction", "Polygon", [[at(*x) for x in box(-30, 106, 30, 112)]], restriction="park")]
+    codes = {(r["object_type"], r["id"]) for r in plan_rows([*two_targets((0, 100)), *inner], "a", Options(total_expansions=500))}
+    assert ("diagnostic:TERMINAL_APPROACH_BLOCKED", "s:a") in codes
+    codes = {(r["object_type"], r["id"]) for r in plan_rows(two_targets((0, 100), flow=1e6), "a", Options(total_expansions=500))}
+    assert ("diagnostic:NO_SUPPORTED_DIAMETER_FOR_CANDIDATE", "s:a") in codes
+
+
 def test_road_crossings():
     road = Shape("r", "road", [[box(-50.0, 40.0, 50.0, 60.0)]])
     assert check(STRAIGHT, 3, [road]).weighted == pytest.approx(115.6)
