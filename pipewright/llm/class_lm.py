@@ -181,8 +181,8 @@ def _found(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == words
 
 
-def _replies(asks: DataFrame, shards: DataFrame, kinds: Shape) -> DataFrame:
-    """block, shard, classes, counts: what shards(shard, words, counts, moved, classes) know of the words of each ask."""
+def _replies(asks: DataFrame, shards: DataFrame, kinds: Shape, counted: bool = False) -> DataFrame:
+    """block, shard, classes, counts (if counted): what shards(shard, words, counts, moved, classes) know of the words of each ask."""
     schema = "block long, shard int, classes binary, counts binary"
     shape = arrow_schema(schema)
 
@@ -195,28 +195,30 @@ def _replies(asks: DataFrame, shards: DataFrame, kinds: Shape) -> DataFrame:
                 words, counts, moved, classes = (np.frombuffer(row[c] or b"" if row["kind"] == 0 else b"", dtype=t) for c, t in (("words", np.uint64), ("counts", np.int64), ("moved", np.uint64), ("classes", np.uint8)))
             if row["kind"]:
                 asked = np.frombuffer(row["words"], dtype=np.uint64)
-                at, there = _found(words, asked)
-                n = np.where(there, counts[at] if len(counts) else 0, 0)
+                packed = None
+                if counted:
+                    at, there = _found(words, asked)
+                    packed = _pack(np.where(there, counts[at] if len(counts) else 0, 0).astype(np.int64))
                 at, there = _found(moved, asked)
                 own = np.where(there, classes[at] if len(classes) else 0, kinds.rare).astype(np.uint8)
                 own[asked == END] = kinds.end
-                yield _row(shape, row["block"], shard, own.tobytes(), _pack(n.astype(np.int64)))
+                yield _row(shape, row["block"], shard, own.tobytes(), packed)
 
     none = F.lit(None).cast("binary")
     known = shards.select("shard", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("block"), "words", "counts", "moved", "classes")
-    return _by_shard(known.unionByName(asks.withColumns({"moved": none, "classes": none}))).mapInArrow(run, schema)
+    return _by_shard(known.unionByName(asks.withColumns({"counts": none, "moved": none, "classes": none}))).mapInArrow(run, schema)
 
 
 def _told(blocks: DataFrame, replies: DataFrame, work, schema: str) -> DataFrame:
-    """work(block's row, classes, counts of its words) on each block, whose replies meet it by its number."""
+    """work(block's row, classes, counts of its words, if told) on each block, whose replies meet it by its number."""
     shape = arrow_schema(schema)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("shard")
         classes = np.frombuffer(b"".join(right.column("classes").to_pylist()), dtype=np.uint8)
-        counts = [_unpack(x, np.int64) for x in right.column("counts").to_pylist()]
+        counts = [_unpack(x, np.int64) for x in right.column("counts").to_pylist() if x is not None]
         row = {name: left.column(name)[0].as_py() for name in left.schema.names}
-        return pa.Table.from_batches(list(work(row, classes, np.concatenate(counts))), schema=shape)
+        return pa.Table.from_batches(list(work(row, classes, np.concatenate(counts) if counts else None)), schema=shape)
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
@@ -236,7 +238,7 @@ def profiles(blocks: DataFrame, asks: DataFrame, shards: DataFrame, kinds: Shape
     sent_shape = arrow_schema(sent)
     width = 2 * kinds.contexts
 
-    def work(row: dict, classes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(row: dict, classes: np.ndarray, counts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         words, codes = np.frombuffer(row["words"], dtype=np.uint64), _unpack(row["codes"], np.uint32)
         sizes, held = np.array(row["sizes"], dtype=np.int64), np.array(row["held"], dtype=bool)
         codes, sizes = codes[~np.repeat(held, sizes)].astype(np.int64), sizes[~held]
@@ -271,7 +273,7 @@ def profiles(blocks: DataFrame, asks: DataFrame, shards: DataFrame, kinds: Shape
             sizes = np.bincount(cells // width, minlength=len(moved)).astype(np.uint16)
             yield _row(shape, shard, known["words"], known["counts"], known["moved"], known["classes"], sizes.tobytes(), _pack((cells % width).astype(np.uint8)), _pack(dense[cells]))
 
-    told = _told(blocks, _replies(asks, shards, kinds), work, sent)
+    told = _told(blocks.select("block", "held", "sizes", "codes", "words"), _replies(asks, shards, kinds), work, sent)
     none = F.lit(None).cast("binary")
     known = shards.select("shard", F.lit(0).cast("byte").alias("kind"), "words", "counts", "moved", "classes", *(none.alias(c) for c in ("sizes", "features", "tallies")))
     told = told.withColumns({"counts": none, "moved": none, "classes": none})
@@ -444,7 +446,7 @@ def class_scores(docs: DataFrame, id_column: str, text: str, held_out: str, clas
     total = shards.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("known", "once", "total"))).first()
     known, once, tokens = (int(x) for x in total)
     state = clustered(blocks, asks, shards, kinds, bits, least, passes, rounds)
-    counted = _counted(blocks, _replies(asks, state, kinds), kinds)
+    counted = _counted(blocks, _replies(asks, state, kinds, counted=True), kinds)
     cells = kinds.contexts**2
 
     def cells_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -464,7 +466,7 @@ def _counted(blocks: DataFrame, replies: DataFrame, kinds: Shape) -> DataFrame:
     shape = arrow_schema(schema)
     width = kinds.contexts
 
-    def work(row: dict, classes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(row: dict, classes: np.ndarray, counts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         codes, sizes = _unpack(row["codes"], np.uint32), np.array(row["sizes"], dtype=np.int64)
         own, n = classes[codes].astype(np.int64), counts[codes]
         first = np.cumsum(sizes) - sizes
@@ -479,7 +481,7 @@ def _counted(blocks: DataFrame, replies: DataFrame, kinds: Shape) -> DataFrame:
         columns = [row["ids"], row["held"], sizes, known, logs, plain, [p[0] for p in parts], [p[1] for p in parts]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
-    return cut(_told(blocks, replies, work, schema))
+    return cut(_told(blocks.select("block", "ids", "held", "sizes", "codes"), replies, work, schema))
 
 
 def _scored(counted: DataFrame, model: Model, tokens: int, known: int) -> DataFrame:
