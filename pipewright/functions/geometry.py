@@ -46,6 +46,56 @@ def segment_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.when(crosses(a, b), 0.0).otherwise(ends)
 
 
+def meeting(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Shares of the segment a (x1, y1, x2, y2) at which it meets b: none, one, or both ends of an overlap; an array."""
+    ax, ay, bx, by = a
+    cx, cy, dx, dy = b
+    ux, uy, vx, vy, wx, wy = bx - ax, by - ay, dx - cx, dy - cy, cx - ax, cy - ay
+    cross, square = ux * vy - uy * vx, ux * ux + uy * uy
+    slant = F.abs(cross) > 1e-9 * F.sqrt(square) * F.sqrt(vx * vx + vy * vy)
+    t, s = (wx * vy - wy * vx) / F.when(slant, cross), (wx * uy - wy * ux) / F.when(slant, cross)
+    hit = t.between(-1e-9, 1 + 1e-9) & s.between(-1e-9, 1 + 1e-9)
+    share = lambda x, y: ((x - ax) * ux + (y - ay) * uy) / F.when(square > 0, square)
+    low = F.greatest(F.lit(0.0), F.least(share(cx, cy), share(dx, dy)))
+    high = F.least(F.lit(1.0), F.greatest(share(cx, cy), share(dx, dy)))
+    along_it = (F.abs(wx * uy - wy * ux) <= 1e-7 * F.sqrt(square)) & (square > 0) & (high >= low - 1e-9)
+    none = F.array().cast("array<double>")
+    parallel = F.when(along_it, F.when(high - low > 1e-9, F.array(low, high)).otherwise(F.array(low))).otherwise(none)
+    return F.when(slant, F.when(hit, F.array(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))).otherwise(none)).otherwise(parallel)
+
+
+def with_near_span(df: DataFrame, low: str, high: str, a: tuple[str, ...], b: tuple[str, ...], r: Column) -> DataFrame:
+    """df with the shares between which the segment a is within r of the segment b; nulls if it never is.
+
+    What is near a segment is convex, so it is one span: that of the discs at b's ends and of the band between them.
+    It is made column by column, so that what several terms share is computed once for a row."""
+    ax, ay, bx, by = map(F.col, a)
+    cx, cy, dx, dy = map(F.col, b)
+    ux, uy, vx, vy, square, n, reach = map(F.col, ("_ux", "_uy", "_vx", "_vy", "_square", "_n", "_r"))
+    keep = [c for c in df.columns if c not in (low, high)]
+    df = df.withColumns({"_ux": bx - ax, "_uy": by - ay, "_vx": dx - cx, "_vy": dy - cy, "_r": r}).withColumns({"_square": ux * ux + uy * uy, "_n": F.sqrt(vx * vx + vy * vy)})
+    ends = (("1", cx, cy), ("2", dx, dy))
+    df = df.withColumns({f"_h{i}": ux * (ax - qx) + uy * (ay - qy) for i, qx, qy in ends} | {f"_w{i}": (ax - qx) * (ax - qx) + (ay - qy) * (ay - qy) - reach * reach for i, qx, qy in ends})
+    rest = lambda i: F.col(f"_h{i}") * F.col(f"_h{i}") - square * F.col(f"_w{i}")
+    df = df.withColumns({f"_q{i}": F.sqrt(F.when((rest(i) >= 0) & (square > 0), rest(i))) for i in "12"})
+    # along the segment from 0 to n, and across it from -r to r
+    df = df.withColumns({"_s1": ((ax - cx) * vx + (ay - cy) * vy) / n, "_d1": (ux * vx + uy * vy) / n, "_s2": ((ay - cy) * vx - (ax - cx) * vy) / n, "_d2": (uy * vx - ux * vy) / n})
+    bounds = {"1": (F.lit(0.0), n), "2": (-reach, reach)}
+    step = lambda i: F.when(F.abs(F.col(f"_d{i}")) > 1e-12, F.col(f"_d{i}"))
+    df = df.withColumns({f"_{k}{i}": (bounds[i][j] - F.col(f"_s{i}")) / step(i) for i in "12" for j, k in enumerate("xy")})
+    always = lambda i: F.col(f"_s{i}").between(*bounds[i])
+    df = df.withColumns(
+        {f"_b{i}": F.coalesce(F.least(f"_x{i}", f"_y{i}"), F.when(always(i), float("-inf")).otherwise(2.0)) for i in "12"}
+        | {f"_e{i}": F.coalesce(F.greatest(f"_x{i}", f"_y{i}"), F.when(always(i), float("inf")).otherwise(-1.0)) for i in "12"}
+    )
+    df = df.withColumns({"_b": F.greatest("_b1", "_b2"), "_e": F.least("_e1", "_e2")})
+    df = df.withColumn("_band", (n > 0) & (F.col("_b") <= F.col("_e")))
+    out = {f"_{k}": f(*((sign * F.col(f"_q{i}") - F.col(f"_h{i}")) / square for i in "12"), F.when(F.col("_band"), F.col(end))) for k, f, sign, end in (("low", F.least, -1, "_b"), ("high", F.greatest, 1, "_e"))}
+    df = df.withColumns(out)
+    some = (F.col("_high") > 0) & (F.col("_low") < 1)
+    return df.select(*keep, F.when(some, F.greatest(F.col("_low"), F.lit(0.0))).alias(low), F.when(some, F.least(F.col("_high"), F.lit(1.0))).alias(high))
+
+
 def with_box_distance(df: DataFrame, name: str, a: tuple[str, ...], box: tuple[str, ...]) -> DataFrame:
     """df with the distance of a segment and an axis-parallel box (x1, y1, x2, y2), 0 if they meet.
 

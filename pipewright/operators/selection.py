@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pipewright.session import cut
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
     """The first k rows of each group; Spark limits groups before it shuffles them."""
@@ -32,3 +34,21 @@ def select_variants(candidates: DataFrame, keys: list[str], most: int = 3, worse
     full = candidates.withColumn("_top", F.max("connected").over(group)).where("connected = _top")
     near = full.withColumn("_best", F.min("score").over(group)).where(F.col("score") <= F.col("_best") * (1 + worse))
     return top_k(near.drop("_top", "_best"), keys, ["score", "signature"], most)
+
+
+def accept_offers(offers: DataFrame, taker: str, giver: str, turn: str, capacity: int, rounds: int) -> DataFrame:
+    """Which offers are taken: rows of offers(taker, giver, turn, ...), at most one for a taker and ``capacity`` for a giver.
+
+    In round r each taker without a place makes its r-th offer (turn = r, from 1), and each giver takes those of the round
+    in the takers' order as long as it has places. So nobody gets a second try before everybody had a first one. A
+    round's window keeps ``capacity`` rows of a giver before it shuffles, however many offer to it; rows with a null
+    taker or giver are never taken, and of a taker's equal offers one is."""
+    offers = offers.where(F.col(taker).isNotNull() & F.col(giver).isNotNull()).dropDuplicates([taker, giver, turn])
+    taken = offers.limit(0)
+    for r in range(1, rounds + 1):
+        here = offers.where(F.col(turn) == r).dropDuplicates([taker]).join(taken.select(taker), taker, "left_anti")
+        first = top_k(here, [giver], [taker], capacity)
+        used = taken.groupBy(giver).agg(F.count(F.lit(1)).alias("_used"))
+        fits = first.join(used, giver, "left").where(F.col("rn") <= capacity - F.coalesce("_used", F.lit(0)))
+        taken = cut(taken.unionByName(fits.select(*offers.columns)))
+    return taken
