@@ -17,9 +17,10 @@ from pipewright.functions import catalog as cat
 from pipewright.functions.planar import Shape, line_length
 from pipewright.operators.routing import search
 from pipewright.operators.sizing import Edge, size_tree
-from pipewright.plans.planner import Options, load, plan, spread, verify
+from pipewright.plans.planner import Options, plan, spread
 from pipewright.plans.scenes import KINDS, heap
-from pipewright.session import table
+from pipewright.plans.verification import violations
+from pipewright.session import cut, table
 from pipewright.sources import geojson
 
 DEMO_OPTIONS = Options()
@@ -60,16 +61,12 @@ def export_variant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_variants(spark: SparkSession, d: str) -> DataFrame:
-    """What the independent check finds in each planned variant: no codes, if planning and export are right."""
-    features, rows = territories(spark, d), plan(territories(spark, d), DEMO_OPTIONS).where("variant > 0")
-
-    def one(key: tuple, made: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda x: x.astype(object).where(x.notna(), None).to_dict("records")
-        t = load(plain(given))
-        found = [(key[0], int(v), len(part), ",".join(verify(t, plain(part)))) for v, part in made.groupby("variant")]
-        return pd.DataFrame(found, columns=["territory", "variant", "objects", "codes"])
-
-    return spread(rows).groupBy("territory").cogroup(spread(features).groupBy("territory")).applyInPandas(one, "territory string, variant int, objects int, codes string")
+    """What the verification of all states in one job finds in each planned variant: no codes, if planning and export are right."""
+    features = territories(spark, d)
+    rows = cut(plan(features, DEMO_OPTIONS).where("variant > 0"))
+    found = violations(rows, features).groupBy("territory", "variant").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    objects = rows.groupBy("territory", "variant").agg(F.count(F.lit(1)).cast("int").alias("objects"))
+    return objects.join(found, ["territory", "variant"], "left").select("territory", "variant", "objects", F.coalesce("codes", F.lit("")).alias("codes"))
 
 
 def route_detour(spark: SparkSession, d: str) -> DataFrame:

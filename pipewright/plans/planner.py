@@ -740,8 +740,8 @@ def _network_errors(t: Territory, rows: list[dict], pipes: list[dict]) -> list[s
     size = {end: max(index[r["diameter"]] for r in chain) for end, chain in chains.items()}
     tops = set(below) - set(chains)
     for root in tops:
-        if root not in existing and not _pipes_at(t, points[root]):
-            errors.append("INVALID_NEW_TIE_IN")
+        if not _pipes_at(t, points[root]):
+            errors.append("CAMERA_NOT_ON_NETWORK" if root in existing else "INVALID_NEW_TIE_IN")
         if root not in existing and any(dist(q, points[root]) <= 10.0 and 0 < _degree(t, q) and _degree(t, q) + len(below.get(c, [])) < 4 for c, q in t.chambers):
             errors.append("INVALID_NETWORK:CAMERA_WITHIN_10M")
 
@@ -806,6 +806,10 @@ def verify(t: Territory, rows: list[dict]) -> list[str]:
     summary = next((r for r in rows if r["object_type"] == "variant_summary"), None)
     if summary is None:
         return [*errors, "MISSING_SUMMARY"]
+    if sum(r["object_type"] == "variant_summary" for r in rows) > 1:
+        errors.append("INVALID_SUMMARY")
+    if any(r["object_type"] not in ("heat_chamber", "technical_node", "heat_network", "variant_summary") for r in rows):
+        errors.append("UNSUPPORTED_OUTPUT_OBJECT")
     pipes, total, length = [r for r in rows if r["object_type"] == "heat_network"], 0.0, 0.0
     price = {p[0]: p[3] for p in cat.PIPES}
     for r in pipes:
@@ -837,6 +841,8 @@ def verify(t: Territory, rows: list[dict]) -> list[str]:
         errors.append("INVALID_NETWORK:CYCLE")
     if served - {e.node for e in edges} or set(pending) & {e.node for e in edges}:
         errors.append("INVALID_NETWORK:TARGET_ACCOUNTING")
+    if len({(e.parent, e.node) for e in edges}) != len(edges):
+        errors.append("DUPLICATE_EDGE")
     ends = [e.node for e in edges]
     if len(set(ends)) != len(ends):
         errors.append("INVALID_NETWORK:ROOT_OR_CYCLE")

@@ -9,11 +9,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pipewright.plans import demo, network_queries, oracle, queries, rule_queries
+from pipewright.plans import demo, network_queries, oracle, queries, rule_queries, tampered
 
 SF = "/root/testdata/sf0.001"
-QUERIES = queries.QUERIES | rule_queries.QUERIES | network_queries.QUERIES | demo.QUERIES
-SQL = oracle.ORACLE_SQL | rule_queries.ORACLE_SQL | network_queries.ORACLE_SQL | demo.ORACLE_SQL
+QUERIES = queries.QUERIES | rule_queries.QUERIES | network_queries.QUERIES | tampered.QUERIES | demo.QUERIES
+SQL = oracle.ORACLE_SQL | rule_queries.ORACLE_SQL | network_queries.ORACLE_SQL | tampered.ORACLE_SQL | demo.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
