@@ -11,6 +11,7 @@ from pipewright.functions.planar import EPS, Point, Shape, dist, line_length, me
 HARD = frozenset(("oks", "park", "social_area", "prohibited_site", "water", "railway"))
 SPECIAL = frozenset(("road", "tram_tracks", "gas_pipeline", "power_cable", "heat_network"))
 MOST_TURN, LEAST_ANGLE = 90.0001, 45.0
+ROOT_DISC = 1e-3  # m around a root in which a contact with its own pipe is no crossing
 
 
 def clearance(shape: Shape, dn_idx: int) -> float:
@@ -87,13 +88,20 @@ def _angle(shape: Shape, line: list[Point], at: float) -> float:
     return min(angles, default=0.0)
 
 
-def _special(shape: Shape, line: list[Point], radius: float) -> tuple[str, list[tuple[float, float, float, str]]]:
+def _special(shape: Shape, line: list[Point], radius: float, root: Point | None, width_known: bool) -> tuple[str, list[tuple[float, float, float, str]]]:
+    """(failure, priced intervals) of a line and something that may be crossed; root: where the line starts on this pipe."""
     spans, code = _crossings(shape, line)
     if code:
         return code, []
-    if not spans:
+    free = _tie_in(shape, line, root, radius) if root else None
+    if free is not None:  # the contact at the root is no crossing; later ones are
+        spans = [s for s in spans if s[1] > ROOT_DISC]
+    if spans and not width_known:
+        return "ROAD_WIDTH_REQUIRED", []
+    road = shape.kind in ("road", "tram_tracks")
+    if not spans and road and shape.gap_line(line) <= 1e-9:
         return "TANGENT_SPECIAL", []
-    pad = 3.0 if shape.kind in ("road", "tram_tracks") else 2.0
+    pad = 3.0 if road else 2.0
     total, k = line_length(line), cat.TARIFF.get(shape.kind, cat.TARIFF_OTHER)
     events = []
     for low, high in spans:
@@ -103,15 +111,15 @@ def _special(shape: Shape, line: list[Point], radius: float) -> tuple[str, list[
         piece = sub_line(line, low_pad, high_pad)
         if abs(dist(piece[0], piece[-1]) - line_length(piece)) > 1e-6:
             return "BEND_INSIDE_SPECIAL", []
-        if min(_angle(shape, line, low), _angle(shape, line, high)) < LEAST_ANGLE - 1e-6:
+        if road and _angle(shape, line, low) < LEAST_ANGLE - 1e-4:
             return "CROSSING_ANGLE", []
         events.append((low_pad, high_pad, k, shape.key))
-    at = 0.0
+    at = free or 0.0
     for low, high, _, _ in [*events, (total, total, 0.0, "")]:
         rest = sub_line(line, at, low) if low - at > EPS else []
         if len(rest) > 1 and shape.gap_line(rest) < radius - EPS:
-            return "RULE_CONFLICT", []
-        at = high
+            return "RULE_CONFLICT" if events or free is not None else f"CLEARANCE:{shape.key}", []
+        at = max(at, high)
     return "", events
 
 
@@ -126,25 +134,23 @@ def _terminal(shape: Shape, line: list[Point], target: Point, radius: float) ->
     return (len(hits) == 1 and abs(inside - reach) <= 0.01 or not hits) and (len(line) < 3 or shape.gap_line(line[:-1]) >= radius - EPS)
 
 
-def _tie_in(shape: Shape, line: list[Point], root: Point, radius: float) -> bool:
-    """Whether a line may start on the pipe: it touches it at the root alone and leaves its clearance for good."""
+def _tie_in(shape: Shape, line: list[Point], root: Point, radius: float) -> float | None:
+    """Up to which measure a line may be too close to the pipe that it starts on, or None: its first leg touches the pipe
+    at the root alone and leaves the least clearance; the stretch ends where it leaves the clearance of its size."""
     if dist(line[0], root) > 0.01 or min(dist(root, nearest_on(root, c, d)[1]) for c, d in shape.edges()) > 0.01:
-        return False
+        return None
     a, b = line[0], line[1]
     if any(t * dist(a, b) > 0.01 for c, d in shape.edges() for t in meeting(a, b, c, d)):
-        return False
+        return None
     if shape.gap(b, b) < clearance(shape, 0) - EPS:
-        return False
+        return None
     low, high = 0.0, 1.0  # where the leg is out of reach, by halving
-    if shape.gap(b, b) < radius:
-        high = 1.0
-    else:
+    if shape.gap(b, b) >= radius:
         for _ in range(45):
             mid = (low + high) / 2
             p = (a[0] + mid * (b[0] - a[0]), a[1] + mid * (b[1] - a[1]))
             low, high = (mid, high) if shape.gap(p, p) < radius else (low, mid)
-    rest = sub_line(line, high * dist(a, b), line_length(line))
-    return len(rest) < 2 or shape.gap_line(rest) >= radius - EPS
+    return high * dist(a, b)
 
 
 def check(line: list[Point], dn_idx: int, obstacles: list[Shape], target: Point | None = None, root: tuple[Point, str] | None = None, unknown_width: frozenset[str] = frozenset()) -> Check:
@@ -161,16 +167,13 @@ def check(line: list[Point], dn_idx: int, obstacles: list[Shape], target: Point
         if shape.kind == "oks" and target and shape.contains(target):
             if not _terminal(shape, line, target, radius):
                 return Check(f"CLEARANCE:{shape.key}")
-        elif shape.kind == "heat_network" and root and root[1] == shape.key and _tie_in(shape, line, root[0], radius):
-            continue
         elif shape.kind in HARD:
             return Check(f"CLEARANCE:{shape.key}")
         elif shape.kind not in SPECIAL:
             return Check("UNSUPPORTED_RESTRICTION")
-        elif shape.key in unknown_width:
-            return Check("ROAD_WIDTH_REQUIRED")
         else:
-            code, own = _special(shape, line, radius)
+            start = root[0] if root and root[1] == shape.key and shape.kind == "heat_network" else None
+            code, own = _special(shape, line, radius, start, shape.key not in unknown_width)
             if code:
                 return Check(code)
             events += own

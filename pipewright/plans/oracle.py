@@ -161,7 +161,7 @@ n AS (SELECT * FROM f QUALIFY score <= min(score) OVER (PARTITION BY o_custkey)
 SELECT o_custkey, o_orderkey, connected, score, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY score, signature) AS INTEGER) AS rn FROM n QUALIFY rn <= 3""",
     "pareto_labels": """SELECT DISTINCT l_partkey, l_extendedprice, l_quantity FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey
   AND b.l_extendedprice <= a.l_extendedprice AND b.l_quantity <= a.l_quantity AND (b.l_extendedprice < a.l_extendedprice OR b.l_quantity < a.l_quantity))""",
-    "consumer_groups": sql("consumer") + HEAP_SQL + _ROOTED + " SELECT root, count(*) AS n, md5(string_agg(CAST(node AS VARCHAR), ',' ORDER BY node)) AS digest FROM heap JOIN top USING (node) WHERE leaf_flow > 0 GROUP BY root",
+    "consumer_groups": sql("consumer") + HEAP_SQL + _ROOTED + " SELECT root, count(*) AS n, CAST(sum(CAST('0x' || substring(md5(CAST(node AS VARCHAR)), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM heap JOIN top USING (node) WHERE leaf_flow > 0 GROUP BY root",
     "tamper_check": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS found FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS okey, round(o_totalprice, 2) AS stated, round(found, 2) AS found, 'COST_TOTAL' AS code FROM orders JOIN l ON o_orderkey = l_orderkey
 WHERE abs(l.found - o_totalprice) > greatest(CAST(0.02 AS DOUBLE), CAST(0.000001 AS DOUBLE) * abs(o_totalprice))""",

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from pipewright.functions import catalog as cat
 from pipewright.functions import geometry as geo
+from pipewright.operators.numbering import numbered
 from pipewright.operators import forest, intervals, selection, spatial
 from pipewright.plans.scenes import HARD, KINDS, SPECIAL, heap, scene
 from pipewright.session import table
@@ -340,8 +341,9 @@ def target_orders(spark: SparkSession, d: str) -> DataFrame:
     """Each nation's consumers ordered by flow, and by distance from the middle of the town, farthest first."""
     c = scene(spark, d, "consumer").join(table(spark, d, "customer").select(F.col("c_custkey").alias("ckey"), F.col("c_nationkey").alias("part")), "ckey")
     far = (F.col("x") - 2000) * (F.col("x") - 2000) + (F.col("y") - 2000) * (F.col("y") - 2000)
-    w = Window.partitionBy("part")
-    return c.select("ckey", F.row_number().over(w.orderBy(F.col("flow").desc(), "ckey")).alias("by_flow"), F.row_number().over(w.orderBy(far.desc(), "ckey")).alias("by_distance"))
+    by_flow = numbered(c.select("ckey", "part", "flow", far.alias("far")), ["part"], [-F.col("flow"), F.col("ckey")], "by_flow")
+    both = numbered(by_flow, ["part"], [-F.col("far"), F.col("ckey")], "by_distance")
+    return both.select("ckey", *(F.col(n).cast("int").alias(n) for n in ("by_flow", "by_distance")))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -381,11 +383,13 @@ def pareto_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def consumer_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The consumers (leaves) that hang on each root, as one sorted list."""
+    """The consumers (leaves) that hang on each root: their number, and a sum of 48-bit hashes that is equal for equal sets.
+
+    Both are added up before anything is shuffled, so no row grows with a root's consumers."""
     edges = heap(spark, d)
     leaves = edges.where("leaf_flow > 0").join(forest.roots(edges), "node")
-    listed = leaves.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("nodes"))
-    return listed.select("root", "n", F.md5(F.col("nodes").cast("binary")).alias("digest"))
+    hashed = F.conv(F.substring(F.md5(F.col("node").cast("string").cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+    return leaves.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(hashed).cast("string").alias("digest"))
 
 
 @query

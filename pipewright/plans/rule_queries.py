@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pipewright.functions import catalog as cat
 from pipewright.functions import geometry as geo
 from pipewright.operators import spatial
+from pipewright.operators.numbering import numbered
 from pipewright.plans.queries import SEGMENT, _cols, _raw_types, _road_events
 from pipewright.plans.scenes import HARD, HEAP_SQL, heap, scene, sql
 from pipewright.session import table
@@ -139,16 +140,7 @@ def serial_ids(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("ckey"))
     most = wanted.count() + used.count()
     free = spark.range(1, most + 1).withColumnRenamed("id", "n").join(used, "n", "left_anti")
-    return _numbered(wanted, "ckey").join(_numbered(free, "n"), "rn").select("ckey", F.concat(F.lit("new:"), F.col("n").cast("string")).alias("id"))
-
-
-def _numbered(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """df with rn, 1, 2 ... in the order of a whole-number key: a running sum over counts by stretch of keys, and a number within each."""
-    placed = df.withColumn("_part", F.floor(F.col(key) / width))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    return inside.join(counts.select("_part", "_start"), "_part").withColumn("rn", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    return numbered(wanted, [], [F.col("ckey")]).join(numbered(free, [], [F.col("n")]), "rn").select("ckey", F.concat(F.lit("new:"), F.col("n").cast("string")).alias("id"))
 
 
 @query(sql("consumer", "box") + """,
@@ -160,8 +152,12 @@ def piece_obstacles(spark: SparkSession, d: str) -> DataFrame:
     """The obstacles that each piece of a line crosses, as an exported pipe lists them."""
     events = _road_events(spark, d).select("ckey", "bkey", F.col("from").alias("f"), F.col("to").alias("t"))
     cuts = events.select("ckey", F.explode(F.array("f", "t")).alias("from_m")).distinct()
-    pieces = cuts.withColumn("to_m", F.lead("from_m").over(Window.partitionBy("ckey").orderBy("from_m"))).where("to_m IS NOT NULL")
-    met = pieces.join(events, "ckey").where("(from_m + to_m) / 2 BETWEEN f AND t")
+    line = Window.partitionBy("ckey").orderBy("from_m")
+    pieces = cuts.withColumns({"i": F.row_number().over(line), "to_m": F.lead("from_m").over(line)})
+    # an event goes to the pieces from its first cut to its last: as many rows as are listed, none that is thrown away
+    first, last = (pieces.select("ckey", F.col("from_m").alias(c), F.col("i").alias(n)) for c, n in (("f", "low"), ("t", "high")))
+    covered = events.join(first, ["ckey", "f"]).join(last, ["ckey", "t"]).where("low < high").select("ckey", "bkey", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("i"))
+    met = pieces.where("to_m IS NOT NULL").join(covered, ["ckey", "i"])
     return met.groupBy("ckey", "from_m", "to_m").agg(F.array_join(F.transform(F.array_sort(F.collect_list("bkey")), lambda b: b.cast("string")), ",").alias("crossed"))
 
 
@@ -190,7 +186,7 @@ def shuffled_targets(spark: SparkSession, d: str) -> DataFrame:
     """Each nation's consumers in an order that a seed (17) decides."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("ckey"), F.col("c_nationkey").alias("part"))
     mixed = F.md5(F.concat(F.lit("17:"), F.col("ckey").cast("string")).cast("binary"))
-    return c.select("ckey", F.row_number().over(Window.partitionBy("part").orderBy(mixed, "ckey")).alias("by_chance"))
+    return numbered(c, ["part"], [mixed, F.col("ckey")], "by_chance").select("ckey", F.col("by_chance").cast("int").alias("by_chance"))
 
 
 @query("""WITH f AS (SELECT p_partkey AS k, 'area' || CAST(p_partkey AS VARCHAR) || CASE p_partkey % 5 WHEN 0 THEN '.geojson' WHEN 1 THEN '.JSON' WHEN 2 THEN '.csv' WHEN 3 THEN 'json' ELSE '.json' END AS name, p_partkey % 7 AS size FROM part)

@@ -183,6 +183,31 @@ def test_road_crossings():
     assert check(STRAIGHT, 3, [Shape("r", "road", lines=[[(-50.0, 50.0), (50.0, 50.0)]])], unknown_width=frozenset("r")).code == "ROAD_WIDTH_REQUIRED"
 
 
+def test_a_tie_in_may_cross_its_own_pipe_later():
+    pipe = Shape("p", "heat_network", lines=[[(-50.0, 0.0), (200.0, 0.0), (200.0, 100.0), (-50.0, 100.0)]], width=0.51)
+    other = Shape("q", "heat_network", lines=pipe.lines, width=0.51)
+    line = [(0.0, 0.0), (0.0, 50.0), (0.0, 160.0)]
+    judged = check(line, 3, [pipe], root=((0.0, 0.0), "p"))
+    assert judged.legal and judged.intervals == [(98.0, 102.0, cat.TARIFF_OTHER, "p")] and judged.weighted == pytest.approx(160 + 4 * (cat.TARIFF_OTHER - 1))
+    assert check(line[1:], 3, [other]).intervals == [(48.0, 52.0, cat.TARIFF_OTHER, "q")]
+    assert check(line, 3, [other], root=((0.0, 0.0), "p")).code == "INCOMPLETE_SPECIAL"  # another pipe at the start
+    back = [(0.0, 0.0), (0.0, 50.0), (60.0, 50.0), (60.0, 0.5)]
+    assert check(back, 3, [pipe], root=((0.0, 0.0), "p")).code == "RULE_CONFLICT"
+
+
+def test_codes_beside_and_across():
+    road = Shape("r", "road", [[box(-50.0, 40.0, 50.0, 60.0)]])
+    assert check([(-80, 61), (80, 61)], 3, [road]).code == "CLEARANCE:r"
+    assert check([(-80, 60), (80, 60)], 3, [road]).code == "CROSSING_ANGLE"
+    tip = Shape("r", "road", [[[(-20.0, 40.0), (0.0, 20.0), (20.0, 40.0), (0.0, 60.0), (-20.0, 40.0)]]])
+    assert check([(-80, 60), (80, 60)], 3, [tip]).code == "TANGENT_SPECIAL"
+    lane = Shape("r", "road", lines=[[(-50.0, 50.0), (50.0, 50.0)]])
+    assert check([(-80, 51), (80, 51)], 3, [lane], unknown_width=frozenset("r")).code == "CLEARANCE:r"
+    gas = Shape("g", "gas_pipeline", lines=[[(-50.0, 50.0), (50.0, 50.0)]])
+    assert check([(-2, 0), (-2, 40), (2, 60), (2, 100)], 0, [gas]).code in ("", "RULE_CONFLICT")  # the angle is asked of roads and tracks alone
+    assert check([(-60, 0), (60, 100)], 0, [Shape("q", "power_cable", lines=[[(0.0, -60.0), (0.0, 160.0)]])]).code != "CROSSING_ANGLE"
+
+
 @pytest.mark.parametrize(("dn_idx", "legal"), [(3, True), (15, True), (16, False), (17, False)])
 def test_wide_pipes_cannot_cross_roads(dn_idx, legal):
     road = Shape("r", "road", [[box(-50.0, 40.0, 50.0, 60.0)]])
