@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pipewright.functions import geometry as geo
+from pipewright.operators.polygons import ring_faults, sides
 
 TYPES = ["Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon"]
 #: How deep the positions lie in the coordinates of each type.
@@ -190,7 +191,8 @@ def _outside(c: Column, depth: int) -> Column:
 def planning_features(found: DataFrame) -> DataFrame:
     """Rows for plans.planner.plan: typed properties, and coordinates in metres (zone 37 north), a row per feature.
 
-    The first collection level isn't planned with. Latitudes outside 0 to 84 raise."""
+    The first collection level isn't planned with. Latitudes outside 0 to 84 raise, and so do polygons that aren't valid:
+    rings that cross or touch themselves, have no area, or holes outside their shell."""
     f = F.col("feature")
     geometry = get(f, "$.geometry", "variant")
     kind = get(geometry, "$.type", "string")
@@ -198,11 +200,18 @@ def planning_features(found: DataFrame) -> DataFrame:
     outside = reduce(lambda acc, k: acc.when(kind == k, _outside(coordinates(geometry, DEPTH[k]), DEPTH[k])), TYPES[1:], F.when(kind == "Point", _outside(coordinates(geometry, 0), 0)))
     guard = F.when(outside, F.raise_error(F.lit("latitude outside the projection"))).otherwise(kind)
     number = lambda path: F.when(kind_of(get(f, path, "variant")) == "number", get(f, path, "double"))
-    return found.select(
+    planned = found.select(
         F.col("path").alias("territory"), id_key(get(f, "$.properties.id", "variant")).alias("id_key"), get(f, "$.properties.object_type", "string").alias("object_type"),
         get(f, "$.properties.restriction_type", "string").alias("restriction_type"), number("$.properties.flow_tph").alias("flow"), number("$.properties.diameter").cast("int").alias("diameter"),
         number("$.properties.width_m").alias("width"), guard.alias("shape"), coords.alias("coords"),
     )
+    key = ["territory", "id_key"]
+    many = F.from_json("coords", "array<array<array<array<double>>>>")
+    rings = F.when(F.col("shape") == "Polygon", F.array(F.from_json("coords", "array<array<array<double>>>"))).when(F.col("shape") == "MultiPolygon", many)
+    areas = planned.select(*key, rings.alias("rings")).where("rings IS NOT NULL")
+    faults = ring_faults(sides(areas, key), key).groupBy(*key).agg(F.min("fault").alias("_fault"))
+    told = F.raise_error(F.concat(F.lit("polygon "), "id_key", F.lit(" is not valid: "), "_fault"))
+    return planned.join(faults, key, "left").withColumn("shape", F.when(F.col("_fault").isNotNull(), told).otherwise(F.col("shape"))).drop("_fault")
 
 
 def variant_features(plan: DataFrame) -> DataFrame:

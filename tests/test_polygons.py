@@ -118,3 +118,31 @@ def test_offers_are_taken_in_rounds(spark):
                 taken[t] = (g, k)
                 places[g] = places.get(g, 0) + 1
     assert got == taken
+
+
+def test_faults_of_rings(spark):
+    square = [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]]
+    move = lambda ring, x, y, k=1.0: [[k * a + x, k * b + y] for a, b in ring]
+    cases = {
+        "fine": [[square, move(square, 2, 2, 0.2), move(square, 5, 5, 0.2)]],
+        "two parts": [[square], [move(square, 5, 5)]],  # parts are judged each
+        "bow": [[[[0.0, 0.0], [10.0, 10.0], [10.0, 0.0], [0.0, 10.0], [0.0, 0.0]]]],
+        "spike": [[[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [10.0, -5.0], [0.0, 10.0], [0.0, 0.0]]]],
+        "open": [[square[:-1] + [[0.0, 0.5]]]],
+        "flat": [[[[0.0, 0.0], [10.0, 0.0], [5.0, 0.0], [0.0, 0.0]]]],
+        "twice": [[[[0.0, 0.0], [0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]]]],
+        "short": [[[[0.0, 0.0], [10.0, 0.0], [0.0, 0.0]]]],
+        "hole away": [[square, move(square, 20, 20, 0.2)]],
+        "hole across": [[square, move(square, 8, 5, 0.3)]],
+        "hole touches": [[square, [[0.0, 5.0], [4.0, 3.0], [4.0, 7.0], [0.0, 5.0]]]],
+        "pinched": [[[[0.0, 0.0], [5.0, 5.0], [10.0, 0.0], [10.0, 10.0], [5.0, 5.0], [0.0, 10.0], [0.0, 0.0]]]],
+    }
+    want = {
+        "bow": {"SELF_CROSSING", "NO_AREA"}, "spike": {"SELF_CROSSING"}, "open": {"NOT_CLOSED"}, "flat": {"SELF_CROSSING", "NO_AREA"}, "twice": {"NO_LENGTH", "SELF_CROSSING"},
+        "short": {"TOO_FEW_SIDES", "SELF_CROSSING"}, "hole away": {"HOLE_OUTSIDE"}, "hole across": {"SELF_CROSSING"}, "pinched": {"SELF_CROSSING"},
+    }
+    shapes = spark.createDataFrame(list(cases.items()), "name string, rings array<array<array<array<double>>>>").repartition(3)
+    got = {}
+    for r in polygons.ring_faults(polygons.sides(shapes, ["name"]), ["name"], 4.0).collect():
+        got.setdefault(r["name"], set()).add(r["fault"])
+    assert got == want
