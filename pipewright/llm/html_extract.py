@@ -2,13 +2,15 @@
 
 A page is cut into blocks at block-level tags. The first pass looks at each block by itself: density of
 stop words, length and density of links make it good or bad; short blocks, and longer ones that are
-neither wordy nor linked enough, stay open. Markup has one vote: text in menus, headers, footers,
-sidebars, notices, adverts, forms and comments is bad, since what is written there reads like any other
-text; an article's tags decide nothing in this pass. In the second pass open blocks take the label of
-the nearest decided neighbours within their own container: that of both if they agree, else of the
-nearer one. Where a container has no decided block, being in an article speaks for the text; otherwise
-neighbours beyond the container decide, and on a page without any good block open ones without links
-are the text.
+neither wordy nor linked enough, stay open. What is written in menus, headers, footers, sidebars,
+notices, adverts, forms and comments can read like any other text, so there markup outweighs a density
+that speaks for a block; an article's tags decide nothing in this pass. A form, fieldset or dialog that
+holds more than half of a page's good text is no furniture but a wrapper, and loses that weight. In the
+second pass open blocks take the label of the nearest decided neighbours within their own container:
+that of both if they agree, else of the nearer one. Where a container has no decided block, being in an
+article speaks for the text; otherwise neighbours beyond the container decide, and on a page without
+any good block open ones without links are the text: so it is in languages whose stop words aren't
+listed, where markup and links decide alone.
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ RAW_TAGS = ("script", "style", "title", "textarea", "noscript", "iframe", "templ
 CONTAINERS = frozenset("article aside center dialog div fieldset footer form header main menu nav section table td".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_TAGS = frozenset("nav header footer aside form menu button dialog fieldset".split())
+#: Those of them that can be around a whole page, and names of headings, which are an article's own inside it.
+WRAPPERS, HEADINGS = frozenset(("form", "fieldset", "dialog")), frozenset(("header", "masthead"))
 IN_TAGS = frozenset(("article", "main"))
 #: Words of class, id and role that tell what an element holds; they count if the name has no others but those of PLAIN_WORDS.
 OUT_WORDS = frozenset(
@@ -81,10 +85,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("linked", "place", "region", "text")
+    __slots__ = ("linked", "place", "region", "text", "wrappers")
 
-    def __init__(self, text: str, linked: int, place: str, region: int):
-        self.text, self.linked, self.place, self.region = text, linked, place, region
+    def __init__(self, text: str, linked: int, place: str, region: int, wrappers: tuple[int, ...]):
+        self.text, self.linked, self.place, self.region, self.wrappers = text, linked, place, region, wrappers
 
 
 def _is_out(name: str, attributes: str, place: str) -> bool:
@@ -95,24 +99,26 @@ def _is_out(name: str, attributes: str, place: str) -> bool:
     for value in _NAMES.findall(attributes):
         for one in value.strip("\"'").lower().split():
             parts = {x for x in re.split(r"[^a-z]+", one) if x}
-            if parts & OUT_WORDS and parts <= OUT_WORDS | PLAIN_WORDS:
+            own = parts & OUT_WORDS
+            if own and parts <= OUT_WORDS | PLAIN_WORDS and not (place == "in" and own <= HEADINGS):
                 return True
     return bool(_HIDDEN.search(attributes))
 
 
 def blocks(html: str) -> Iterator[Block]:
-    """Blocks with text, in page order: text, characters inside links, place ('out', 'in' or ''), number of the innermost container."""
+    """Blocks with text, in page order: text, characters inside links, place ('out', 'in' or ''), number of the innermost container, and those of the forms and the like around."""
     parts: list[str] = []
     linked, in_link, at, regions = 0, 0, 0, 0
-    stack: list[tuple[str, str, int]] = []  # open elements that matter, with the place and region they make
+    top: tuple[str, str, int, tuple[int, ...]] = ("", "", 0, ())
+    stack: list[tuple[str, str, int, tuple[int, ...]]] = []  # open elements that matter, with the place, region and wrappers they make
     opened: Counter[str] = Counter()
 
     def flush() -> Iterator[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            _, place, region = stack[-1] if stack else ("", "", 0)
-            yield Block(text, min(linked, len(text)), place, region)
+            _, place, region, wrappers = stack[-1] if stack else top
+            yield Block(text, min(linked, len(text)), place, region, wrappers)
         parts.clear()
         linked = 0
 
@@ -137,7 +143,7 @@ def blocks(html: str) -> Iterator[Block]:
         if not name:
             continue
         closing, attributes = (token[2], token[4]) if token[3] else (token[5], token[7])
-        _, here, region = stack[-1] if stack else ("", "", 0)
+        _, here, region, wrappers = stack[-1] if stack else top
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
@@ -157,26 +163,27 @@ def blocks(html: str) -> Iterator[Block]:
             continue
         if stack and stack[-1][0] == "p":
             close("p")
-            _, here, region = stack[-1] if stack else ("", "", 0)
+            _, here, region, wrappers = stack[-1] if stack else top
         out = _is_out(name, attributes, here)
         if name in VOID_TAGS or name == "p" and not out:
             continue
+        soft = out and name in WRAPPERS and not _is_out("div", attributes, here)
         if here != "out":
-            here = "out" if out else "in" if name in IN_TAGS else here
+            here = "out" if out and not soft else "in" if name in IN_TAGS else here
         if not attributes.rstrip().endswith("/"):
             if name in CONTAINERS or out:
                 regions += 1
                 region = regions
-            stack.append((name, here, region))
+            stack.append((name, here, region, (*wrappers, region) if soft else wrappers))
             opened[name] += 1
     add(html[at:])
     yield from flush()
 
 
 def _first_pass(block: Block) -> str:
-    """'good', 'bad' or 'open'."""
+    """'good', 'bad' or 'open', by densities."""
     links = block.linked / len(block.text)
-    if block.place == "out" or links > MOST_LINKED or "©" in block.text and len(block.text) < SHORT and block.place != "in":
+    if links > MOST_LINKED or "©" in block.text and len(block.text) < SHORT and block.place != "in":
         return "bad"
     if len(block.text) < SHORT or links > FEW_LINKED:
         return "open"
@@ -198,12 +205,25 @@ def _nearest(first: list[str], wanted: list[int]) -> dict[int, str]:
     return {i: min(x, key=lambda d: (d[0], d[1] != "good"))[1] for i, x in near.items()}
 
 
+def furniture(found: list[Block], first: list[str]) -> list[bool]:
+    """Whether each block stands in what markup calls furniture; a wrapper of over half of the good text is none."""
+    good = [(len(b.text), b.wrappers) for b, x in zip(found, first, strict=True) if x == "good" and b.place != "out"]
+    held: Counter[int] = Counter()
+    for size, wrappers in good:
+        for w in wrappers:
+            held[w] += size
+    total = sum(size for size, _ in good)
+    return [b.place == "out" or any(2 * held[w] <= total for w in b.wrappers) for b in found]
+
+
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     first = [_first_pass(b) for b in found]
+    out = furniture(found, first)
+    first = ["bad" if o else x for o, x in zip(out, first, strict=True)]  # markup outweighs densities
     regions: dict[int, list[int]] = {}
     for i, b in enumerate(found):
-        if b.region and b.place != "out":
+        if b.region and not out[i]:
             regions.setdefault(b.region, []).append(i)
     label: dict[int, str] = {}
     for own in regions.values():

@@ -682,6 +682,29 @@ def test_main_text_goes_on_after_elements_without_content(tag):
     assert html_extract.main_text(f"<article><p>one{tag} two</p><p>three</p></article>") == "one two\nthree"
 
 
+def test_wrappers_and_headings_are_no_furniture():
+    body = f"<nav><a href=a>Home</a> <a href=b>News</a></nav><article><div class='page-header'><h1>The title</h1></div><p>{LONG}</p><p>Short end.</p></article><footer><p>{LONG}</p></footer>"
+    want = f"The title\n{LONG}\nShort end."
+    assert html_extract.main_text(f"<body>{body}</body>") == want
+    assert html_extract.main_text(f"<body><form id='aspnetForm' method=post>{body}<div class=comments><p>{LONG} {LONG} {LONG}</p></div></form></body>") == want
+    assert html_extract.main_text(f"<body><article><fieldset><p>{LONG}</p></fieldset></article></body>") == LONG
+    assert html_extract.main_text(f"<body><article><p>{LONG}</p><p>{LONG}</p><form><p>{LONG}</p></form></article></body>") == f"{LONG}\n{LONG}"
+    assert html_extract.main_text(f"<body><article><p>{LONG}</p></article><form class='comment-form'><p>{LONG}</p><p>{LONG}</p></form></body>") == LONG
+    assert html_extract.main_text(f"<body><div class='page-header'><p>{LONG}</p></div><article><p>{LONG}</p></article></body>") == LONG
+
+
+def test_op8_densities_drop_blocks(spark):
+    """A share of what goes is dropped by densities alone, whatever the markup says."""
+    dropped = Counter()
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        found = list(html_extract.blocks(r["html"] or ""))
+        first = [html_extract._first_pass(b) for b in found]
+        for x, marked, kept in zip(first, html_extract.furniture(found, first), html_extract.labels(found), strict=True):
+            if not kept:
+                dropped["density" if x == "bad" else "markup" if marked else "neighbour"] += 1
+    assert dropped["density"] > 0.2 * sum(dropped.values())
+
+
 def test_op8_articles(spark):
     import html as H
 
