@@ -92,6 +92,31 @@ def last_contact(line: list[Point], other: list[Point]) -> float | None:
     return best
 
 
+def neighbours(points: list[Point], k: int) -> list[list[int]]:
+    """Of each point the k nearest others, nearest first (ties: in order), by a grid that is searched in growing rings."""
+    if len(points) < 2:
+        return [[] for _ in points]
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    span = max(max(xs) - min(xs), max(ys) - min(ys), 1e-9)
+    cell = max(span / max(1.0, math.sqrt(len(points) / max(1, k))) / 2, span / 2048)
+    home = [(math.floor((x - min(xs)) / cell), math.floor((y - min(ys)) / cell)) for x, y in points]
+    grid: dict[tuple[int, int], list[int]] = {}
+    for i, c in enumerate(home):
+        grid.setdefault(c, []).append(i)
+    wanted, last, out = min(k, len(points) - 1), math.ceil(span / cell) + 1, []
+    for i, (p, (cx, cy)) in enumerate(zip(points, home, strict=True)):
+        found: list[tuple[float, int]] = []
+        for r in range(last + 1):
+            ring = [(cx, cy)] if not r else [(cx + d, cy + e) for d in range(-r, r + 1) for e in ((-r, r) if abs(d) < r else range(-r, r + 1))]
+            found += [(dist(p, points[j]), j) for c in ring for j in grid.get(c, ()) if j != i]
+            if len(found) >= wanted:  # whatever is further out is more than r cells away
+                found.sort()
+                if found[wanted - 1][0] < r * cell or r == last:
+                    break
+        out.append([j for _, j in found[:wanted]])
+    return out
+
+
 def capsule_span(a: Point, b: Point, c: Point, d: Point, r: float) -> tuple[float, float] | None:
     """Shares of a-b between which it is within r of the segment c-d: one span, since what is near a segment is convex."""
     found: list[float] = []

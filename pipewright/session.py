@@ -14,5 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         conf = df.sparkSession.conf
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        folder = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        if not conf.get("spark.checkpoint.dir", None) and not sc.master.startswith("local[") and folder.startswith(("file:", "/")):
+            raise ValueError(f"{folder} is a folder of this machine alone: set spark.checkpoint.dir to one that all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -6,11 +6,12 @@ import itertools
 import json
 import math
 import random
+import time
 
 import pytest
 
 from pipewright.functions import catalog as cat
-from pipewright.functions.planar import Shape, band, length_within, line_length, nearest_on, sub_line
+from pipewright.functions.planar import Shape, band, length_within, line_length, nearest_on, neighbours, sub_line
 from pipewright.operators.routing import counted_search, search
 from pipewright.operators.rules import check
 from pipewright.operators.sizing import Edge, flows, size_tree
@@ -156,6 +157,18 @@ def test_another_way_leaves_the_corridor():
     assert length_within(other.line, [first.line], 5.0) < length_within(first.line, [first.line], 5.0) == pytest.approx(line_length(first.line))
 
 
+def test_neighbours_of_the_visibility_graph():
+    r = random.Random(4)
+    for n, k in ((0, 3), (1, 3), (2, 5), (40, 7), (300, 16)):
+        points = [(r.choice([r.uniform(0, 500), 50.0]), r.choice([r.uniform(0, 9), 3.0])) for _ in range(n)]
+        want = [sorted((math.dist(p, q), j) for j, q in enumerate(points) if j != i)[:k] for i, p in enumerate(points)]
+        assert neighbours(points, k) == [[j for _, j in x] for x in want]
+    many = [(r.uniform(0, 1000), r.uniform(0, 1000)) for _ in range(5000)]
+    began = time.time()
+    assert all(len(x) == 24 for x in neighbours(many, 24))
+    assert time.time() - began < 6  # a second and a half on a machine of its own
+
+
 def test_length_within_a_corridor():
     r = random.Random(6)
     for _ in range(60):
