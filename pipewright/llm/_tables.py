@@ -10,11 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; where none is configured, one in the warehouse, which is shared as well."""
+    """Use the cluster's shared checkpoint folder; where none is configured, one in the warehouse, unless that is local to a machine of a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        folder = given or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        if not given and not sc.master.startswith("local[") and folder.startswith(("file:", "/")):
+            raise ValueError(f"{folder} is a folder of this machine alone: set spark.checkpoint.dir to one that all executors share")
+        sc.setCheckpointDir(folder)
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
