@@ -52,3 +52,34 @@ def accept_offers(offers: DataFrame, taker: str, giver: str, turn: str, capacity
         fits = first.join(used, giver, "left").where(F.col("rn") <= capacity - F.coalesce("_used", F.lit(0)))
         taken = cut(taken.unionByName(fits.select(*offers.columns)))
     return taken
+
+
+def select_diverse(candidates: DataFrame, parts: DataFrame, keys: list[str], key: str, most: int = 3, worse: float = 0.35, overlap: float = 0.85) -> DataFrame:
+    """Of each group up to ``most`` candidates as in select_variants, but only such as differ from all that were taken before.
+
+    candidates(keys, key, connected, score, signature, kind); parts(keys, key, part, weight): what each runs along, a part
+    once. Two differ if their kinds do (numbers of roots, groups of consumers), or if one of them has less than the share
+    ``overlap`` of its weight in parts that the other has as well. rn: 1, 2 ... in the order in which they are taken.
+
+    A round takes each group's best candidate and drops what is like it, so ``most`` rounds do, and a candidate meets
+    nothing but the one that was taken, by an equi-join on parts; no two candidates of a group are paired otherwise."""
+    group = Window.partitionBy(*keys)
+    full = candidates.withColumn("_top", F.max("connected").over(group)).where("connected = _top")
+    left = cut(full.withColumn("_best", F.min("score").over(group)).where(F.col("score") <= F.col("_best") * (1 + worse)).drop("_top", "_best"))
+    owned = cut(parts.join(left.select(*keys, key), [*keys, key], "left_semi"))
+    whole = owned.groupBy(*keys, key).agg(F.sum("weight").alias("_all"))
+    taken: DataFrame | None = None
+    for r in range(1, most + 1):
+        best = cut(top_k(left, keys, ["score", "signature"], 1).withColumn("rn", F.lit(r)))
+        taken = best if taken is None else taken.unionByName(best)
+        if r == most:
+            break
+        rest = left.join(best.select(*keys, key), [*keys, key], "left_anti")
+        theirs = owned.join(best.select(*keys, key), [*keys, key], "left_semi").select(*keys, F.col(key).alias("_taken"), "part", F.col("weight").alias("_weight"))
+        met = owned.join(theirs, [*keys, "part"]).groupBy(*keys, key, "_taken").agg(F.sum("weight").alias("_mine"), F.sum("_weight").alias("_theirs"))
+        share = met.join(whole, [*keys, key]).join(whole.select(*keys, F.col(key).alias("_taken"), F.col("_all").alias("_all_theirs")), [*keys, "_taken"])
+        alike = share.where((F.col("_mine") >= overlap * F.col("_all")) & (F.col("_theirs") >= overlap * F.col("_all_theirs")))
+        kinds = best.select(*keys, F.col("kind").alias("_kind"))
+        judged = rest.join(kinds, keys).join(alike.select(*keys, key, F.lit(True).alias("_alike")), [*keys, key], "left")
+        left = cut(judged.where(~(F.coalesce("_alike", F.lit(False)) & F.col("kind").eqNullSafe(F.col("_kind")))).drop("_kind", "_alike"))
+    return taken

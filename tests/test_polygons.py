@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pipewright.functions.planar import Shape, capsule_span, last_contact, line_length, measure, sub_line
 from pipewright.operators import polygons
-from pipewright.operators.selection import accept_offers
+from pipewright.operators.selection import accept_offers, select_diverse
 
 
 def ring(r, x, y, size, n):
@@ -146,3 +146,30 @@ def test_faults_of_rings(spark):
     for r in polygons.ring_faults(polygons.sides(shapes, ["name"]), ["name"], 4.0).collect():
         got.setdefault(r["name"], set()).add(r["fault"])
     assert got == want
+
+
+def test_diverse_choice_is_greedy(spark):
+    r = random.Random(12)
+    candidates, parts = [], []
+    for g in range(25):
+        for k in range(r.randint(1, 12)):
+            candidates.append((g, k, r.randint(1, 2), round(r.uniform(1, 1.6), 3), f"s{k}", r.randint(0, 1)))
+            parts += [(g, k, p, float(r.randint(1, 9))) for p in r.sample(range(6), r.randint(1, 4))]
+    want = set()
+    for g in range(25):
+        own = [c for c in candidates if c[0] == g]
+        top = max(c[2] for c in own)
+        own = [c for c in own if c[2] == top]
+        least = min(c[3] for c in own)
+        weights = {c[1]: {p: w for gg, k, p, w in parts if (gg, k) == (g, c[1])} for c in own}
+        chosen = []
+        for c in sorted((c for c in own if c[3] <= least * 1.35), key=lambda c: (c[3], c[4])):
+            share = lambda a, b: sum(w for p, w in weights[a].items() if p in weights[b]) / sum(weights[a].values())  # noqa: E731, B023
+            if all(c[5] != t[5] or min(share(c[1], t[1]), share(t[1], c[1])) < 0.5 for t in chosen) and len(chosen) < 3:
+                chosen.append(c)
+        want |= {(g, c[1], n) for n, c in enumerate(chosen, 1)}
+    df = spark.createDataFrame(candidates, "g long, k long, connected long, score double, signature string, kind long").repartition(3)
+    owned = spark.createDataFrame(parts, "g long, k long, part long, weight double").repartition(3)
+    got = {(x["g"], x["k"], x["rn"]) for x in select_diverse(df, owned, ["g"], "k", 3, 0.35, 0.5).collect()}
+    assert got == want
+    assert {n for *_, n in want} == {1, 2, 3}
