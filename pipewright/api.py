@@ -14,8 +14,10 @@ REQUEST_ID = re.compile(r"[a-zA-Z0-9-]{8,80}")
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file: size, counts, first error (see sources.geojson.inspect)."""
-    return geojson.inspect(geojson.read(spark, path))
+    """A row for each file: size, counts, first error (see sources.geojson.inspect).
+
+    Files of other names than .geojson and .json, and empty ones, aren't read: WRONG_TYPE, EMPTY_FILE."""
+    return geojson.inspect(geojson.read(spark, path)).unionByName(geojson.refusals(spark, path))
 
 
 def plan(spark: SparkSession, path: str, request_id: str, options: planner.Options | None = None, roads: planner.RoadData | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 EPS = 1e-4
+MOST_LEVELS = 64  # values of a tariff, each of which is a column
 
 
 def priced_pieces(lines: DataFrame, events: DataFrame, key: str, length: str = "length", default: float = 1.0) -> DataFrame:
@@ -18,7 +19,9 @@ def priced_pieces(lines: DataFrame, events: DataFrame, key: str, length: str = "
     clipped = events.join(lines.select(key, length), key).select(
         key, F.greatest(F.lit(0.0), F.least("from", "to")).alias("from"), F.least(F.col(length), F.greatest("from", "to")).alias("to"), "k"
     ).where(F.col("from") < F.col("to"))
-    levels = [r["k"] for r in events.select("k").where(F.col("k") > default).distinct().collect()]
+    levels = [r["k"] for r in events.select("k").where(F.col("k") > default).distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} values of k: a tariff has few")
     begin, end = F.struct(F.col("from").alias("at"), F.lit(1).alias("step")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("step"))
     ends = clipped.select(key, "k", F.explode(F.array(begin, end)).alias("e")).select(key, "k", "e.at", "e.step")
     whole = lines.select(key, F.explode(F.array(F.lit(0.0), F.col(length))).alias("at")).select(key, F.lit(None).cast("double").alias("k"), "at", F.lit(0).alias("step"))

@@ -15,6 +15,7 @@ from pipewright.operators.numbering import numbered
 from pipewright.plans.queries import SEGMENT, _cols, _raw_types, _road_events
 from pipewright.plans.scenes import HARD, HEAP_SQL, heap, scene, sql
 from pipewright.session import table
+from pipewright.sources.geojson import refused
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,11 +199,6 @@ def upload_check(spark: SparkSession, d: str) -> DataFrame:
     return files.select("k", "name", refused(F.col("name"), F.col("size")).alias("refused"))
 
 
-def refused(name, size):
-    """Why a file isn't taken, by its name and size; null if it is."""
-    return F.when(~F.lower(name).rlike(r"\.(geojson|json)$"), "WRONG_TYPE").when(size == 0, "EMPTY_FILE")
-
-
 _WIDTHS = ", ".join(f"({i}, CAST({p[4]} AS DOUBLE))" for i, p in enumerate(cat.PIPES))
 
 

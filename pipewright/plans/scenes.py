@@ -66,7 +66,7 @@ def sql(*names: str) -> str:
 
 
 def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest on customer keys: 8 to 15 are roots, k hangs below k // 2; node, up, length, flow of leaves."""
+    """A forest on customer keys: 8 to 15 are roots, k hangs below k // 2; node, up, length, flow of leaves. Keys 1 to 7 are above the roots and in no tree."""
     c = scene(spark, sf_dir, "consumer").where("ckey >= 8")
     top = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("top")).first()["top"]
     edges = c.where("ckey >= 16")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from pipewright.functions import geometry as geo
 from pipewright.operators.polygons import ring_faults, sides
+from pipewright.session import cut
 
 TYPES = ["Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon"]
 #: How deep the positions lie in the coordinates of each type.
@@ -28,10 +29,31 @@ def parse(texts: DataFrame, text: str = "value") -> DataFrame:
     return texts.withColumn("doc", F.when(alone, F.try_variant_get(listed, "$[0]", "variant")))
 
 
+def refused(name: Column, size: Column) -> Column:
+    """Why a file isn't taken, by its name and size; null if it is."""
+    return F.when(~F.lower(name).rlike(r"\.(geojson|json)$"), "WRONG_TYPE").when(size == 0, "EMPTY_FILE")
+
+
+def refusals(spark: SparkSession, path: str) -> DataFrame:
+    """Rows like those of ``inspect`` for the files that aren't taken; nothing of their content is read.
+
+    Spark's readers pass over files without any bytes, so those come from the list of the folder."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("file_size_bytes"))
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [s for found in system.globStatus(top) or [] for s in (system.listStatus(found.getPath()) if found.isDirectory() else [found])]
+    empty = [(s.getPath().toString(), 0) for s in listed if s.isFile() and s.getLen() == 0 and not s.getPath().getName().startswith(("_", "."))]
+    files = files.unionByName(spark.createDataFrame(empty, "path string, file_size_bytes long"))
+    told = files.withColumn("error", refused(F.col("path"), F.col("file_size_bytes"))).where("error IS NOT NULL")
+    empty = F.create_map().cast("map<string,bigint>")
+    return told.select("path", "file_size_bytes", F.lit(0).cast("long").alias("total_objects"), empty.alias("type_counts"), empty.alias("restriction_counts"), "error")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, file_size, value, doc: one row for each file."""
+    """path, file_size, value, doc: one row for each file that is taken."""
     files = spark.read.option("wholetext", True).text(path)
-    return parse(files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), "value"))
+    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), "value")
+    return parse(named.where(refused(F.col("path"), F.col("file_size")).isNull()))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -102,7 +124,8 @@ def simple_geometry_ok(geometry: Column) -> Column:
 
 def bad_geometries(found: DataFrame) -> DataFrame:
     """path, pos of features with a malformed geometry; collections are opened level by level."""
-    level = found.select("path", "pos", get(F.col("feature"), "$.geometry", "variant").alias("g")).where(kind_of(F.col("g")) == "object")
+    # written once: every level below asks whether it is the last, and all of them are told together
+    level = cut(found.select("path", "pos", get(F.col("feature"), "$.geometry", "variant").alias("g")).where(kind_of(F.col("g")) == "object"))
     bad = []
     while True:
         is_collection = F.coalesce(get(F.col("g"), "$.type", "string") == "GeometryCollection", F.lit(False))

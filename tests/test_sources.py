@@ -106,6 +106,17 @@ def test_projection(spark):
         assert (r["blon"], r["blat"]) == pytest.approx((r["lon"], r["lat"]), abs=1e-9)
 
 
+def test_files_that_are_refused(spark, tmp_path):
+    from pipewright import api
+
+    good = '{"type":"FeatureCollection","features":[]}'
+    for name, text in (("a.geojson", good), ("b.JSON", good), ("c.csv", "x,y"), ("d.json", ""), ("json", good)):
+        (tmp_path / name).write_text(text)
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in api.inspect(spark, str(tmp_path)).collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {"a.geojson": None, "b.JSON": None, "c.csv": "WRONG_TYPE", "d.json": "EMPTY_FILE", "json": "WRONG_TYPE"}
+    assert rows["c.csv"]["file_size_bytes"] == 3 and rows["c.csv"]["total_objects"] == 0
+
+
 def test_roads(spark):
     ways = spark.createDataFrame(
         [
