@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pipewright.llm._tables import table
+from pipewright.llm._tables import cut, table
 
 PARAGRAPH_BREAK = r"\n+|(?<=[.!?]) +"
 WORDS, FIELDS, FIELD_BITS = 8, 2, 31
 _WORD = _LONG = (1 << 62) - 1
 _FIELD = (1 << FIELD_BITS) - 1
-RANGES = 3  # of ids to a partition
+RANGES, DRAWN = 3, 20  # ranges of ids to a partition, and rows that a range's end is drawn from
 _LOW = sum(1 << (FIELD_BITS * k) for k in range(FIELDS))
 
 
@@ -92,30 +92,39 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(same, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.999), estimate)))
 
 
-def with_next(df: DataFrame, key: str, carry: list[str], buckets: int) -> DataFrame:
+def with_next(df: DataFrame, key: str, carry: list[str], buckets: int, tie: list[str] | None = None) -> DataFrame:
     """df with ``next_<c>`` for each column c of carry, from the next row by descending key (after the last: the first).
 
-    Rows with equal keys are ordered by a hash of the carried columns; rows without a key come last.
-    If no row has a key, the last row has nulls. Keys are cut at approximate quantiles into
-    ``buckets`` ranges; a row whose key is a cut, and the first of all, also go to the range where
-    they follow the last row, so one shuffle does and no task has more than a range.
+    Keys may be of any type that can be ordered. Rows with equal keys are ordered by a hash of the columns ``tie`` (else
+    carry); rows without a key come last. If no row has a key, the last row has nulls. Rows are cut into ``buckets``
+    ranges of (key, hash), so rows of one key are spread like any others. A cut is a row's own place, drawn from a
+    sample that a hash decides (``DRAWN`` rows a range; it decides nothing but the ranges' sizes); that row, and the
+    first of all, also go to the range where they follow the last row, so one shuffle does and no task has more than a range.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    stats = df.agg(F.max(key).alias("top"), F.percentile_approx(key, cuts or [0.5], 20 * buckets).alias("cuts")).first()
-    top, bounds = stats["top"], sorted({b for b in stats["cuts"] or [] if b < stats["top"]})
-    here = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))), F.lit(0)) if bounds else F.lit(0)
-    extra = F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("kind"))
+    names = ["_has", "_key", "_hash"]  # of later rows all are less
+    tied = F.bitwise_not(F.xxhash64(*[F.col(c) for c in tie or carry]))
+    placed = df.withColumns({"_has": F.col(key).isNotNull(), "_key": F.col(key), "_hash": tied})
+    places = cut(placed.select(*names))
+    drawn = places.orderBy(F.xxhash64(*names, F.lit("drawn")), *names).limit(DRAWN * buckets).collect()
+    ordered = sorted({tuple(r) for r in drawn}, key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))
+    bounds = sorted({i * len(ordered) // buckets for i in range(1, buckets)} - {0}) if ordered else []
+    top = places.where("_has").agg(F.max(F.struct(*names)).alias("top")).first()["top"]
+    kind = df.schema[key].dataType
+    place = lambda r: F.struct(F.lit(r[0]).alias("_has"), F.lit(r[1]).cast(kind).alias("_key"), F.lit(r[2]).cast("bigint").alias("_hash"))
+    own_place, here, extra = F.struct(*names), F.lit(0), F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("kind"))
+    if bounds:
+        ends = F.array(*(place(ordered[i - 1]) for i in bounds))
+        here = F.size(F.filter(ends, lambda b: b < own_place))
+        follows = F.coalesce(F.get(ends, here).eqNullSafe(own_place), F.lit(False))
+        extra = F.when(follows, F.struct((here + 1).alias("bucket"), F.lit(1).alias("kind"))).otherwise(extra)
     if top is not None:
-        to = F.when(F.col(key) == F.lit(top), F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("kind")))
-        if bounds:
-            to = to.when(F.col(key).isin(bounds), F.struct((here + 1).alias("bucket"), F.lit(1).alias("kind")))
-        extra = F.coalesce(to, extra)
+        extra = F.when(own_place.eqNullSafe(place(top)), F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("kind"))).otherwise(extra)
     own = F.struct(here.alias("bucket"), F.lit(0).alias("kind"))
-    spread = df.withColumn("_to", F.explode(F.filter(F.array(own, extra), lambda x: x["bucket"] >= 0)))
-    spread = spread.withColumns({"_bucket": F.col("_to.bucket"), "_kind": F.col("_to.kind"), "_tie": F.xxhash64(*[F.col(c) for c in carry])})
-    w = Window.partitionBy("_bucket").orderBy(F.col("_kind") == 2, F.col(key).desc_nulls_last(), "_tie")
+    spread = placed.withColumn("_to", F.explode(F.filter(F.array(own, extra), lambda x: x["bucket"] >= 0)))
+    spread = spread.withColumns({"_bucket": F.col("_to.bucket"), "_kind": F.col("_to.kind")})
+    w = Window.partitionBy("_bucket").orderBy(F.col("_kind") == 2, *(F.col(c).desc_nulls_last() for c in names))
     out = spread.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
-    return out.where(F.col("_kind") == 0).drop("_to", "_bucket", "_kind", "_tie")
+    return out.where(F.col("_kind") == 0).drop("_to", "_bucket", "_kind", *names)
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +136,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     half = F.expr("cast(floor(n_chars / 2) as int)")
     pairs = (
-        with_next(docs, "doc_id", ["text", "fp"], buckets)
+        with_next(docs, "doc_id", ["text", "fp"], buckets, ["text"])
         .withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("half", half)
         .withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - half)"), F.expr("substring(coalesce(next_text, ''), 1, half)")))

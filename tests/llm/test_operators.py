@@ -471,6 +471,20 @@ def test_next_rows(spark, buckets):
     assert fingerprint.with_next(df.where("doc_id IS NULL"), "doc_id", ["text"], buckets).count() == 2
 
 
+def test_next_rows_of_one_key(spark):
+    """Rows of one key are spread over ranges, and still follow each other; keys of other types do as well."""
+    rows = [("m", f"t{i}") for i in range(1500)] + [("m", "t7")] * 3 + [("a", "last"), ("z", "first"), (None, "none")]
+    df = spark.createDataFrame(rows, "k string, text string").repartition(3)
+    got = fingerprint.with_next(df, "k", ["text"], 12).collect()
+    assert Counter(r["text"] for r in got) == Counter(t for _, t in rows)
+    follows = Counter((r["text"], r["next_text"]) for r in got)
+    assert follows["none", "first"] == 1 and follows["last", "none"] == 1
+    assert follows["t7", "t7"] == 3  # equal rows follow each other
+    assert Counter(b for _, b in follows.elements()) == Counter(t for _, t in rows)  # each row follows one
+    counts = fingerprint.with_next(df, "k", ["text"], 12).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in counts) < 1200  # four partitions: none has the key to itself
+
+
 def test_op6_is_native(spark):
     plan = fingerprint.op6_fingerprint(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
