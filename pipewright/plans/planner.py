@@ -640,7 +640,7 @@ def _crosses_away(p: list[Point], q: list[Point], node: Point) -> bool:
 
 PLAN_SCHEMA = (
     "territory string, variant int, id string, object_type string, start_node string, end_node string, flow double, diameter int, length double, "
-    "laying_method string, special_coefficient double, cost double, crossed string, coords string, score double, pending string, tie_ins int, penalty double"
+    "laying_method string, special_coefficient double, cost double, crossed string, coords string, score double, pending string, tie_ins int, penalty double, existing_object_id string, description string"
 )
 
 
@@ -677,7 +677,7 @@ def export(t: Territory, n: Network, territory: str, variant: int) -> list[dict]
         root, below = n.roots.get(key), children.get(key, [])
         chamber = root is not None or len(below) > 1
         dn = max([root.dn if root else 0, *(n.sizes[p.end] for p in below), n.sizes.get(key, 0)])
-        rows.append(blank | {"id": names[key], "object_type": "heat_chamber" if chamber else "technical_node", "diameter": cat.PIPES[dn][0] if chamber else None, "cost": cat.chamber_price(cat.PIPES[dn][0]) if chamber else None, "coords": json.dumps(point)})
+        rows.append(blank | {"id": names[key], "object_type": "heat_chamber" if chamber else "technical_node", "diameter": cat.PIPES[dn][0] if chamber else None, "cost": cat.chamber_price(cat.PIPES[dn][0]) if chamber else None, "coords": json.dumps(point), "existing_object_id": root.pipe if root else None})
     for p in n.pieces:
         dn = n.sizes[p.end]
         root = n.roots.get(p.start)
@@ -697,7 +697,10 @@ def export(t: Territory, n: Network, territory: str, variant: int) -> list[dict]
             })
             at = end
     missing = [x.key for x in t.targets if x.key not in n.served]
-    rows.append(blank | {"id": new_id(), "object_type": "variant_summary", "cost": n.cost, "length": n.length, "score": n.score, "pending": json.dumps(missing), "tie_ins": n.tie_ins, "penalty": n.penalty})
+    branches = sum(1 for key in n.points if key not in n.roots and len(children.get(key, [])) > 1)
+    text = f"verified: {len(n.roots)} tie-ins, {branches} shared branches, {len(n.served)} consumers connected, {len(missing)} left out"
+    summary = {"cost": n.cost, "length": n.length, "score": n.score, "pending": json.dumps(missing), "tie_ins": n.tie_ins, "penalty": n.penalty, "description": text}
+    rows.append(blank | {"id": new_id(), "object_type": "variant_summary"} | summary)
     return [r | {"territory": territory, "variant": variant} for r in rows]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pipewright.functions import geometry as geo
+from pipewright.functions.catalog import TIE_IN_PRICE
 from pipewright.operators.polygons import ring_faults, sides
 from pipewright.session import cut
 
@@ -228,6 +229,7 @@ def planning_features(found: DataFrame) -> DataFrame:
         get(f, "$.properties.restriction_type", "string").alias("restriction_type"), number("$.properties.flow_tph").alias("flow"), number("$.properties.diameter").cast("int").alias("diameter"),
         number("$.properties.width_m").alias("width"), guard.alias("shape"), coords.alias("coords"),
     )
+    planned = cut(planned)  # coordinates are read and projected once
     key = ["territory", "id_key"]
     many = F.from_json("coords", "array<array<array<array<double>>>>")
     rings = F.when(F.col("shape") == "Polygon", F.array(F.from_json("coords", "array<array<array<double>>>"))).when(F.col("shape") == "MultiPolygon", many)
@@ -255,8 +257,11 @@ def variant_features(plan: DataFrame) -> DataFrame:
         *common, own_id("start_node").alias("start_node_id"), own_id("end_node").alias("end_node_id"), F.col("flow").alias("flow_tph"), "diameter", "length", "laying_method", "special_coefficient",
         F.lit(None).cast("double").alias("depth_start"), F.lit(None).cast("double").alias("depth_end"), "cost", F.transform(F.from_json("crossed", "array<string>"), own_id).alias("crossed_obstacle_ids"),
     )
-    summary = F.struct(*common, F.col("variant").alias("rank"), F.col("cost").alias("calculated_cost"), F.col("penalty").alias("unconnected_penalty"), F.col("tie_ins").alias("existing_chamber_tie_in_count"), F.col("length").alias("new_network_length"), "score", F.transform(F.from_json("pending", "array<string>"), own_id).alias("unconnected_oks_ids"))
-    node = F.struct(*common, "diameter", "cost")
+    summary = F.struct(
+        *common, F.col("variant").alias("rank"), F.col("cost").alias("construction_cost"), F.col("tie_ins").alias("existing_chamber_tie_in_count"), (F.col("tie_ins") * F.lit(TIE_IN_PRICE)).alias("existing_chamber_tie_in_cost"),
+        F.col("penalty").alias("unconnected_penalty"), (F.col("cost") + F.col("penalty")).alias("calculated_cost"), F.col("length").alias("new_network_length"), "score", "description", F.transform(F.from_json("pending", "array<string>"), own_id).alias("unconnected_oks_ids"),
+    )
+    node = F.struct(*common, "diameter", "cost", own_id("existing_object_id").alias("existing_object_id"))
     write = lambda geometry, properties: F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"})
     nothing = F.lit(None).cast("struct<type:string,coordinates:array<double>>")
     feature = (
@@ -267,7 +272,9 @@ def variant_features(plan: DataFrame) -> DataFrame:
 
 
 def write_variants(plan: DataFrame, path: str) -> None:
-    """A file in path for each territory and variant: a FeatureCollection."""
-    listed = variant_features(plan).groupBy("territory", "variant").agg(F.sort_array(F.collect_list("feature")).alias("f"))
-    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("f", ","), F.lit("]}"))
+    """A file in path for each territory and variant: a FeatureCollection with a description of the variant."""
+    said = plan.where("object_type = 'variant_summary' AND variant > 0").select("territory", "variant", "description")
+    listed = variant_features(plan).groupBy("territory", "variant").agg(F.sort_array(F.collect_list("feature")).alias("f")).join(said, ["territory", "variant"], "left")
+    head = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.lit("VALID").alias("validation_status"), "description"))
+    text = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"features":['), F.array_join("f", ","), F.lit("]}"))
     listed.select("territory", "variant", text.alias("value")).write.mode("overwrite").partitionBy("territory", "variant").text(path)

@@ -119,6 +119,15 @@ def test_seed_serves_consumers_before_any_beam():
     assert tiny.spent <= 1
 
 
+def test_exports_name_the_pipe_of_a_new_tie_in():
+    long = feature("s:pipe", "heat_network", "LineString", [at(-100, 0), at(100, 0)], diameter=200)
+    p = Planner(load([long, *two_targets((-80, 80), (80, 80))[2:]]), Options())
+    rows = export(p.t, p.seed(), "a", 1)
+    chambers = [r for r in rows if r["object_type"] == "heat_chamber"]
+    assert chambers and all(r["existing_object_id"] == "s:pipe" for r in chambers)
+    assert summaries(rows)[0]["description"].startswith(f"verified: {len(chambers)} tie-ins")
+
+
 def test_a_hopeless_consumer_does_not_starve_the_next():
     moat = feature("s:moat", "restriction", "Polygon", [[at(*x) for x in box(-120, 60, -40, 140)], [at(*x) for x in box(-110, 70, -50, 130)]], restriction="water")
     house = feature("s:house", "restriction", "Polygon", [[at(*x) for x in box(-20, 40, 20, 60)]], restriction="oks")

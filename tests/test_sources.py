@@ -79,11 +79,14 @@ def test_plan_from_file_and_back(spark, folder, tmp_path):
     assert summary["cost"] == pytest.approx(13_974_800, abs=10)
     geojson.write_variants(planned, str(tmp_path / "out"))
     (file,) = (tmp_path / "out").rglob("part-*.txt")
-    features = json.loads(file.read_text())["features"]
+    whole = json.loads(file.read_text())
+    assert whole["type"] == "FeatureCollection" and whole["validation_status"] == "VALID" and whole["description"] == "verified: 1 tie-ins, 0 shared branches, 1 consumers connected, 0 left out"
+    features = whole["features"]
     pipe = next(f for f in features if f["properties"]["object_type"] == "heat_network")
     assert pipe["properties"]["depth_start"] is None and "depth_end" in pipe["properties"]
     assert pipe["geometry"]["coordinates"][0] == pytest.approx([37.6299002555, 55.7490490931], abs=1e-9)
-    assert next(f for f in features if f["properties"]["object_type"] == "variant_summary")["geometry"] is None
+    stated = next(f for f in features if f["properties"]["object_type"] == "variant_summary")
+    assert stated["geometry"] is None and stated["properties"]["calculated_cost"] == pytest.approx(stated["properties"]["construction_cost"])
 
 
 def test_requests(spark, folder):
