@@ -259,6 +259,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages. A null or empty html gives an empty text; repeated rows are read each; an empty table gives an
+    empty result."""
     out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 

@@ -502,11 +502,14 @@ def _texts(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at a similarity of 0.85. Null and blank texts link with nothing; texts of one doc_id are one document
+    as far as links go; a row without a doc_id has no component and is kept; an empty table gives an empty result."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component at similarity 0.8 stays: the one with the least doc_id."""
+    """One document of each component at similarity 0.8 stays: the one with the least doc_id. All rows of a doc_id that stays are kept, and
+    those without one; an empty table gives an empty result."""
     found = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     numbered = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
     return numbered.select(*docs.columns)

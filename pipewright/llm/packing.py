@@ -271,10 +271,13 @@ def _tokenizer_path() -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens. A null text is empty: its token is the 0 at the end. Ids come from a cache of
+    words and merges that gives what the tokenizers library gives; rows that repeat an id or a text are packed each, in any order among
+    equals; an empty table gives an empty result."""
     packed = pack_documents(table(spark, sf_dir, "documents"), _tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences; null texts, repeated rows and empty tables as in op5_packing."""
     return pack_documents(docs, _tokenizer_path())

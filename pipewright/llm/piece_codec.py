@@ -328,6 +328,8 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text") -> DataFra
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as the sentencepiece library gives them. A null text counts as empty: begin and end alone;
+    repeated rows are encoded each; an empty table gives an empty result."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

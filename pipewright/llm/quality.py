@@ -225,12 +225,15 @@ def _only(rated: DataFrame, buckets: np.ndarray) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels table. A null text is scored as empty; repeated rows get equal scores; without
+    usable labels all score alike; of several ratings of a doc_id the least counts; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fitted(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents whose probability of the top grade is one half or more."""
+    """documents whose probability of the top grade is one half or more; that of an empty or null text comes from the thresholds
+    alone. Equal texts stay or go together; an empty table gives an empty result."""
     model = fitted(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).where("kept").select(*docs.columns)

@@ -421,6 +421,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated passages. A null text counts as empty; texts under 200 bytes stay whole; copies repeat
+    each other, with one id or several; a null doc_id is a row like any other; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs)
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"])

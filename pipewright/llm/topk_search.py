@@ -324,6 +324,8 @@ def top_products(
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for every fiftieth. Vectors that are null or hold nulls or values that aren't finite take no
+    part, nor do rows without a vec_id; rows equal in vec_id and vector are one; ties go to the smaller vec_id; an empty table gives an empty result."""
     vectors = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding"))).select("vec_id", integer_vector(F.col("embedding")).alias("vector"))
     return top_products(vectors, F.col("vec_id") % 50 == 0)
 

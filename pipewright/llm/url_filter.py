@@ -101,6 +101,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages by the five stated rules. A null url and one without ``://`` have an empty host and path and the
+    default verdict, allow; repeated rows are judged each, ties of rules as in filter_urls; an empty table gives an empty result."""
     rules = spark.createDataFrame(RULES, "rule string, action string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
