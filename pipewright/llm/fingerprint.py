@@ -105,11 +105,12 @@ def with_next(df: DataFrame, key: str, carry: list[str], buckets: int, tie: list
     tied = F.bitwise_not(F.xxhash64(*[F.col(c) for c in tie or carry]))
     placed = df.withColumns({"_has": F.col(key).isNotNull(), "_key": F.col(key), "_hash": tied})
     places = cut(placed.select(*names))
-    drawn = places.orderBy(F.xxhash64(*names, F.lit("drawn")), *names).limit(DRAWN * buckets).collect()
+    whole = places.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_has"), F.struct(*names))).alias("top")).first()
+    share = min(1.0, DRAWN * buckets / max(1, whole["n"]))  # only so many rows are sent to the driver
+    drawn = places.where(F.shiftrightunsigned(F.xxhash64(*names, F.lit("drawn")), 11) <= F.lit(int(share * (1 << 53)))).collect()
     ordered = sorted({tuple(r) for r in drawn}, key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))
     bounds = sorted({i * len(ordered) // buckets for i in range(1, buckets)} - {0}) if ordered else []
-    top = places.where("_has").agg(F.max(F.struct(*names)).alias("top")).first()["top"]
-    kind = df.schema[key].dataType
+    top, kind = whole["top"], df.schema[key].dataType
     place = lambda r: F.struct(F.lit(r[0]).alias("_has"), F.lit(r[1]).cast(kind).alias("_key"), F.lit(r[2]).cast("bigint").alias("_hash"))
     own_place, here, extra = F.struct(*names), F.lit(0), F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("kind"))
     if bounds:
