@@ -74,12 +74,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     parsed = {"host": url_host(F.col(url)), "path": url_path(F.col(url))}
     if not shapes:
         return pages.withColumns(parsed | {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    shape = F.explode(F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(k).alias("length")) for n, k in sorted(shapes)]))
+    lengths: dict[int, list[int]] = {}
+    for n, k in sorted(shapes):
+        lengths.setdefault(n, []).append(k)
+    known = F.array(*(F.struct(F.lit(n).alias("labels"), F.array(*map(F.lit, ks)).alias("lengths")) for n, ks in lengths.items()))
+    # only what the host and the path are long enough for is made a row
+    fits = F.filter(known, lambda s: s["labels"] <= F.size(F.split("host", r"\.")))
+    shape = F.flatten(F.transform(fits, lambda s: F.transform(F.filter(s["lengths"], lambda k: k <= F.length("path")), lambda k: F.struct(s["labels"].alias("labels"), k.alias("length")))))
     expressions = (
         pages.select(F.col(url).alias("_url")).where(F.col("_url").isNotNull()).groupBy("_url").agg(F.lit(1).alias("_one"))
         .select("_url", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
-        .select("*", shape.alias("shape"))
-        .where((F.size(F.split("host", r"\.")) >= F.col("shape.labels")) & (F.length("path") >= F.col("shape.length")))
+        .select("*", F.explode(shape).alias("shape"))
         .select("_url", F.expr("concat(substring_index(host, '.', -shape.labels), substring(path, 1, shape.length))").alias("expression"))
         .select("_url", F.sha2("expression", 256).alias("url_digest"))
         .withColumn("short", F.substring("url_digest", 1, PREFIX_HEX))

@@ -117,6 +117,17 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0), spark.createDataFrame(rules, "rule string, action string")).count() == 0
 
 
+def test_url_filter_with_thousands_of_rules(spark):
+    r = random.Random(15)
+    hosts = [".".join(r.choices(["a", "b", "c", "shop", "news"], k=r.randint(1, 4))) + r.choice([".org", ".com"]) for _ in range(300)]
+    rules = sorted({(f"{r.choice(hosts)}/{''.join(r.choices('xyz/', k=r.randint(0, 40)))}", r.choice(["allow", "block"])) for _ in range(3000)})
+    rules = [x for i, x in enumerate(rules) if not i or rules[i - 1][0] != x[0]]
+    urls = [f"http://{r.choice(['', 'www.', 'm.a.'])}{r.choice(rules)[0]}{r.choice(['', 'x', '/y', '?q'])}" for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for x in url_filter.filter_urls(df, spark.createDataFrame(rules, "rule string, action string")).collect():
+        assert (x["host"], x["path"], x["rule"], x["verdict"]) == brute_verdict(x["url"], rules)
+
+
 # 2 ----------------------------------------------------------------------------------------------
 
 
