@@ -112,10 +112,11 @@ def with_next(df: DataFrame, key: str, carry: list[str], buckets: int, tie: list
     bounds = sorted({i * len(ordered) // buckets for i in range(1, buckets)} - {0}) if ordered else []
     top, kind = whole["top"], df.schema[key].dataType
     place = lambda r: F.struct(F.lit(r[0]).alias("_has"), F.lit(r[1]).cast(kind).alias("_key"), F.lit(r[2]).cast("bigint").alias("_hash"))
-    own_place, here, extra = F.struct(*names), F.lit(0), F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("kind"))
+    own_place, here, extra = F.struct(*names), F.col("_here"), F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("kind"))
+    placed = placed.withColumn("_here", F.lit(0))
     if bounds:
         ends = F.array(*(place(ordered[i - 1]) for i in bounds))
-        here = F.size(F.filter(ends, lambda b: b < own_place))
+        placed = placed.withColumn("_here", F.size(F.filter(ends, lambda b: b < own_place)))  # a column: it is asked for three times
         follows = F.coalesce(F.get(ends, here).eqNullSafe(own_place), F.lit(False))
         extra = F.when(follows, F.struct((here + 1).alias("bucket"), F.lit(1).alias("kind"))).otherwise(extra)
     if top is not None:
@@ -125,7 +126,7 @@ def with_next(df: DataFrame, key: str, carry: list[str], buckets: int, tie: list
     spread = spread.withColumns({"_bucket": F.col("_to.bucket"), "_kind": F.col("_to.kind")})
     w = Window.partitionBy("_bucket").orderBy(F.col("_kind") == 2, *(F.col(c).desc_nulls_last() for c in names))
     out = spread.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
-    return out.where(F.col("_kind") == 0).drop("_to", "_bucket", "_kind", *names)
+    return out.where(F.col("_kind") == 0).drop("_to", "_bucket", "_kind", "_here", *names)
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
