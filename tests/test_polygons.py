@@ -173,3 +173,13 @@ def test_diverse_choice_is_greedy(spark):
     got = {(x["g"], x["k"], x["rn"]) for x in select_diverse(df, owned, ["g"], "k", 3, 0.35, 0.5).collect()}
     assert got == want
     assert {n for *_, n in want} == {1, 2, 3}
+
+
+def test_stretches_along_sides_and_through_corners_go_by_their_middle(spark):
+    """A ray to the right from the middle holds a left side and not a right one; corners that are only passed are no way in."""
+    square = [(1, *s) for s in ((0.0, 0.0, 10.0, 0.0), (10.0, 0.0, 10.0, 10.0), (10.0, 10.0, 0.0, 10.0), (0.0, 10.0, 0.0, 0.0))]
+    legs = [(1, 0.0, -5.0, 0.0, 15.0), (2, 10.0, 15.0, 10.0, -5.0), (3, -5.0, 5.0, 5.0, -5.0), (4, 5.0, -5.0, 5.0, 5.0), (5, 10.0, -5.0, 10.0, 15.0)]
+    shapes = polygons.with_edges(spark.createDataFrame(square, "shape long, ex1 double, ey1 double, ex2 double, ey2 double"), "shape")
+    pairs = polygons.spatial.extent_join(spark.createDataFrame(legs, "leg long, ax double, ay double, bx double, by double"), polygons.LEG, shapes, polygons.BOX, 0.0, 16.0)
+    found = polygons.inside_stretches(pairs, ["leg", "shape"], shapes, "shape").collect()
+    assert sorted((r["leg"], r["low"], r["high"]) for r in found) == [(1, 0.25, 0.75), (4, 0.5, 1.0)]
