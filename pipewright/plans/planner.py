@@ -906,6 +906,6 @@ def plan(features: DataFrame, options: Options | None = None, roads: RoadData |
     return spread(features).groupBy("territory").applyInPandas(one, PLAN_SCHEMA)
 
 
-def spread(df: DataFrame, key: str = "territory") -> DataFrame:
-    """df dealt by a key over more tasks than there are cores: searches cost much more than their few rows tell."""
-    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, key)
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt by a key (by default the territory) over more tasks than there are cores: searches cost much more than their few rows tell."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *(key or ("territory",)))
