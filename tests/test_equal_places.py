@@ -34,3 +34,17 @@ def test_nearest_of_equal_shapes_and_places(spark):
     extent = ("x1", "y1", "x2", "y2")
     found = spatial.nearest(points, "ckey", "x", "y", shapes, extent, geo.point_segment_distance(*map(F.col, ("x", "y", *extent))), "pkey", 2)
     assert sorted((r["ckey"], r["pkey"], r["rn"]) for r in found.collect()) == [(i, 8 + n, n) for i in range(30) for n in (1, 2)]
+
+
+def test_groups_have_the_digest_of_all_their_keys_in_order(spark):
+    import hashlib
+
+    from pipewright.plans.queries import QUERIES
+
+    top = spark.read.parquet(f"{SF}/customer.parquet").agg(F.max("c_custkey")).first()[0]
+    want: dict = {}
+    for node in range(16, top + 1):
+        if node * 2 > top:
+            want.setdefault(node >> (node.bit_length() - 4), []).append(str(node))
+    got = {r["root"]: (r["n"], r["digest"]) for r in QUERIES["consumer_groups"](spark, SF).collect()}
+    assert got == {root: (len(keys), hashlib.md5(",".join(keys).encode()).hexdigest()) for root, keys in want.items()}
