@@ -34,10 +34,11 @@ SELECT bkey, kind, EXISTS (SELECT 1 FROM consumer WHERE x BETWEEN x1 - 0.000001
 def building_connections(spark: SparkSession, d: str) -> DataFrame:
     """Whether a connection point is in or on each building."""
     boxes = scene(spark, d, "box")
-    near = spatial.range_join(scene(spark, d, "consumer"), "x", "y", boxes, SEGMENT, 1e-6, 64.0)
+    places, extents = scene(spark, d, "consumer").select("x", "y").distinct(), boxes.select(*SEGMENT).distinct()
+    near = spatial.range_join(places, "x", "y", extents, SEGMENT, 1e-6, 64.0)
     gap = geo.point_box_distance(*_cols("x", "y", *SEGMENT))
-    served = near.where(gap <= 1e-6).select("bkey").distinct().withColumn("connected", F.lit(True))
-    return boxes.select("bkey", "kind").join(served, "bkey", "left").withColumn("connected", F.coalesce("connected", F.lit(False)))
+    served = near.where(gap <= 1e-6).select(*SEGMENT).distinct().withColumn("connected", F.lit(True))
+    return boxes.join(served, list(SEGMENT), "left").select("bkey", "kind", F.coalesce("connected", F.lit(False)).alias("connected"))
 
 
 @query(sql("box") + """,
@@ -151,15 +152,17 @@ pieces AS (SELECT ckey, m AS from_m, lead(m) OVER (PARTITION BY ckey ORDER BY m)
 SELECT p.ckey, from_m, to_m, string_agg(CAST(bkey AS VARCHAR), ',' ORDER BY bkey) AS crossed FROM pieces p JOIN ev e ON e.ckey = p.ckey AND (from_m + to_m) / 2 BETWEEN f AND t GROUP BY 1, 2, 3""")
 def piece_obstacles(spark: SparkSession, d: str) -> DataFrame:
     """The obstacles that each piece of a line crosses, as an exported pipe lists them."""
-    events = _road_events(spark, d).select("ckey", "bkey", F.col("from").alias("f"), F.col("to").alias("t"))
-    cuts = events.select("ckey", F.explode(F.array("f", "t")).alias("from_m")).distinct()
-    line = Window.partitionBy("ckey").orderBy("from_m")
+    events = _road_events(spark, d).select("x", "bkey", F.col("from").alias("f"), F.col("to").alias("t"))
+    cuts = events.select("x", F.explode(F.array("f", "t")).alias("from_m")).distinct()
+    line = Window.partitionBy("x").orderBy("from_m")
     pieces = cuts.withColumns({"i": F.row_number().over(line), "to_m": F.lead("from_m").over(line)})
     # an event goes to the pieces from its first cut to its last: as many rows as are listed, none that is thrown away
-    first, last = (pieces.select("ckey", F.col("from_m").alias(c), F.col("i").alias(n)) for c, n in (("f", "low"), ("t", "high")))
-    covered = events.join(first, ["ckey", "f"]).join(last, ["ckey", "t"]).where("low < high").select("ckey", "bkey", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("i"))
-    met = pieces.where("to_m IS NOT NULL").join(covered, ["ckey", "i"])
-    return met.groupBy("ckey", "from_m", "to_m").agg(F.array_join(F.transform(F.array_sort(F.collect_list("bkey")), lambda b: b.cast("string")), ",").alias("crossed"))
+    first, last = (pieces.select("x", F.col("from_m").alias(c), F.col("i").alias(n)) for c, n in (("f", "low"), ("t", "high")))
+    covered = events.join(first, ["x", "f"]).join(last, ["x", "t"]).where("low < high").select("x", "bkey", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("i"))
+    met = pieces.where("to_m IS NOT NULL").join(covered, ["x", "i"])
+    crossed = F.array_join(F.transform(F.array_sort(F.collect_list("bkey")), lambda b: b.cast("string")), ",")
+    found = met.groupBy("x", "from_m", "to_m").agg(crossed.alias("crossed"))
+    return spatial.expanded(scene(spark, d, "consumer").select("ckey", "x"), ["x"], found, "from_m", ("from_m", "to_m", "crossed")).select("ckey", "from_m", "to_m", "crossed")
 
 
 @query(sql("lattice") + """,
