@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pipewright.operators import polygons, spatial
-from pipewright.plans import network_queries
+from pipewright.plans import network_queries, queries
 
 
 def test_ways_and_forms_meet_once_for_stretches(spark, tmp_path, monkeypatch):
@@ -36,3 +36,17 @@ def test_stretches_in_columns_are_those_in_rows(spark):
     want = {(r["leg"], r["shape"], r["low"], r["high"]) for r in polygons.inside_stretches(pairs, ["leg", "shape"], formed, "shape").collect()}
     got = polygons.stretches(pairs.join(shapes, "shape"), ["leg", "shape"], [tuple(map(F.col, s)) for s in sides]).collect()
     assert want and len(got) == len(want) and {(r["leg"], r["shape"], r["low"], r["high"]) for r in got} == want
+
+
+def test_consumers_of_a_line_meet_a_road_as_a_list(spark, tmp_path):
+    # 50 consumers of one x, and 20 roads over it
+    x = 6 * 6007 % 4000 + 1
+    first = next(k for k in range(4000) if k * 7919 % 4000 == x)
+    spark.createDataFrame([(first + 4000 * k,) for k in range(50)] + [(None,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(6 + 11 * 4000 * k,) for k in range(20)] + [(None,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    rows = queries.road_intervals(spark, str(tmp_path))
+    found = rows.collect()
+    assert len({(r["ckey"], r["bkey"]) for r in found}) == len(found) == 50 * 20
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of lists and roads: rows come after it, and none is dealt
+    assert "Generate" in plan[: plan.index("Join")] and "Repartition" not in plan[: plan.index("Join")]
