@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from pipewright.operators import polygons, spatial
@@ -50,3 +51,14 @@ def test_consumers_of_a_line_meet_a_road_as_a_list(spark, tmp_path):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # of lists and roads: rows come after it, and none is dealt
     assert "Generate" in plan[: plan.index("Join")] and "Repartition" not in plan[: plan.index("Join")]
+
+
+SF = "/root/testdata/sf0.001"
+VIOLATIONS = [queries.hard_violations, network_queries.plot_violations]
+
+
+@pytest.mark.parametrize("query", VIOLATIONS)
+def test_distances_are_rounded_before_rows_come_out_of_lists(spark, query):
+    plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[: plan.index("Generate")]
+    assert "round(" not in last and "Filter" not in last
