@@ -57,6 +57,12 @@ SF = "/root/testdata/sf0.001"
 VIOLATIONS = [queries.hard_violations, network_queries.plot_violations]
 
 
+@pytest.mark.parametrize("query", VIOLATIONS)
+def test_what_small_files_make_is_not_sent_through_the_driver(spark, query):
+    plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("query", VIOLATIONS)
 def test_distances_are_rounded_before_rows_come_out_of_lists(spark, query):
     plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
