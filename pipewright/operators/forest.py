longest_same_dn finds runs from the leaves up before it doubles pointers

Symptom: longest_same_dn's shuffle and CPU seconds grew faster than customer: each edge was joined with its parent's size, each doubling moved all rows four times, and runs were joined with the sizes again.
Evidence: the profiler on customer repeated 12 and 60 times with shifted keys: 9.6 and 49.3 CPU seconds (power 1.09 of the bytes), 61.3 and 349.9 MB shuffled (power 1.16), largest task memory 56.6 and 75.5 MB, 0.22 GB on disk at 60 times.
Fix: above 50,000 edges, edges without a child of their size hand their run to the parent of the same size and are done, as long as they are a quarter of the rows; only the rest doubles pointers. dn_idx comes along, so the last join goes. Repeated nodes keep to doubling alone.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 896 -> 566 s, shuffle 0.40 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.03 -> 0.02 GB, longest task 1 -> 1 s, most memory of a task 101 -> 101 MB; at 6 GB of input CPU 791 -> 608 s, shuffle 2.54 -> 0.56 GB, spill 0.00 -> 0.00 GB, read 0.19 -> 0.09 GB, longest task 2 -> 1 s, most memory of a task 151 -> 103 MB; with hot keys, at 1 GB of input CPU 756 -> 758 s, shuffle 0.40 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.03 -> 0.02 GB, longest task 1 -> 1 s, most memory of a task 101 -> 101 MB.

@@ -22,15 +22,15 @@ from pipewright import session
 from pipewright.session import cut, joined, portions, portions_for
 
 
-def _stripped(edges: DataFrame, gathered: str, of_one: Column, aggregate, merge, parts: int) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """edges(node, up, gathered, ...) -> edges that have gathered all, those that are left (if any), and partitions for these.
+def _stripped(edges: DataFrame, gathered: str, of_one: Column, aggregate, merge, parts: int, match: Sequence[str] = ()) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """edges(node, up, gathered, *match, ...) -> edges that have gathered all, those that are left (if any), and partitions for these.
 
     Edges without children give aggregate(of_one) to their parents, again and again, as long as they are a quarter of
-    the rows at least and these are more than a partition holds. Where nodes come twice, or have null to add to, none
-    is taken: what they get depends on the way that they get it."""
-    spark, parent = edges.sparkSession, F.col("up").alias("node")
-    children = edges.groupBy(parent).agg(F.count(F.lit(1)).alias("_n"))
-    state = cut(joined(edges, children, ["node"], parts, "left").withColumn("_waits", F.coalesce("_n", F.lit(0))).drop("_n"))
+    the rows at least and these are more than a partition holds. match: columns in which a child equals its parent, or
+    is none. Where nodes come twice, or have null to add to, none is taken: what they get depends on the way that they get it."""
+    spark, key, parent = edges.sparkSession, ["node", *match], [F.col("up").alias("node"), *match]
+    children = edges.groupBy(*parent).agg(F.count(F.lit(1)).alias("_n"))
+    state = cut(joined(edges, children, key, parts, "left").withColumn("_waits", F.coalesce("_n", F.lit(0))).drop("_n"))
     odd = state.groupBy("node").agg(F.count("node").alias("n"), F.count_if(F.col(gathered).isNull() & (F.col("_waits") > 0)).alias("unknown")).where("n > 1 OR unknown > 0")
     done: list[DataFrame] = []
     if not odd.isEmpty():
@@ -45,8 +45,8 @@ def _stripped(edges: DataFrame, gathered: str, of_one: Column, aggregate, merge,
             return done, state.drop("_waits"), parts
         leaves = state.where("_waits = 0")
         done.append(leaves.drop("_waits"))
-        given = leaves.groupBy(parent).agg(aggregate(of_one).alias("_given"), F.count(F.lit(1)).alias("_n"))
-        inner = joined(state.where("_waits > 0"), given, ["node"], parts, "left")
+        given = leaves.groupBy(*parent).agg(aggregate(of_one).alias("_given"), F.count(F.lit(1)).alias("_n"))
+        inner = joined(state.where("_waits > 0"), given, key, parts, "left")
         state = cut(inner.withColumns({gathered: merge(F.col(gathered), F.col("_given")), "_waits": F.col("_waits") - F.coalesce("_n", F.lit(0))}).drop("_given", "_n"))
 
 
@@ -97,7 +97,7 @@ def subtree_sum(edges: DataFrame, value: str, parts: int | None = None, kept: Se
     """edges(node, up, value) -> node, *kept, total: value summed over the node and all below it.
 
     parts, here and below: how many partitions rows are dealt in (by default by their number).
-    kept: columns of edges that come along, as if joined with them by the node."""
+    kept, here and below: columns of edges that come along, as if joined with them by the node."""
     add = lambda own, given: own + F.coalesce(given, F.lit(0.0))
     parts = _dealt(edges, parts)
     left = edges.select(*dict.fromkeys(["node", "up", *kept]), F.col(value).alias("total"))
@@ -113,14 +113,25 @@ def subtree_sum(edges: DataFrame, value: str, parts: int | None = None, kept: Se
     return left.select("node", *kept).join(found, "node") if kept else found
 
 
-def longest_run(edges: DataFrame, same: str, parts: int | None = None) -> DataFrame:
-    """edges(node, up, length, same) -> node, run: the longest way down from the edge over edges with an equal value."""
-    parts = portions(edges) if parts is None else parts
-    e = edges.select("node", "up", "length", F.col(same).alias("s"))
-    up = e.select(F.col("node").alias("up"), F.col("s").alias("us"))
-    links = joined(e, up, ["up"], parts, "left").select("node", F.when(F.col("s") == F.col("us"), F.col("up")).alias("jump"), "length", F.col("length").alias("own"), F.lit(0.0).alias("below"))
+def longest_run(edges: DataFrame, same: str, parts: int | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """edges(node, up, length, same) -> node, *kept (other than length), run: the longest way down from the edge over edges with an equal value."""
     best = lambda own, given: F.greatest(own, given)
-    return _rounds(links, ["length"], ["own"], "below", F.col("length") + F.col("below"), F.max, best, parts).select("node", (F.col("own") + F.col("below")).alias("run"))
+    run = F.col("length") + F.col("below")
+    parts = _dealt(edges, parts)
+    left = edges.select(*dict.fromkeys(["node", "up", "length", same, *kept]), F.lit(0.0).alias("below"))
+    done, few = [], parts
+    if parts:
+        done, left, few = _stripped(left, "below", run, F.max, best, parts, [same])
+    carried = kept if done else []  # nodes come once, if any is done
+    found = [x.select("node", *carried, run.alias("run")) for x in done]
+    if left is not None:
+        up = left.select(F.col("node").alias("up"), F.col(same).alias("us"))
+        links = joined(left, up, ["up"], few, "left").select("node", F.when(F.col(same) == F.col("us"), F.col("up")).alias("jump"), "length", F.col("length").alias("own"), *carried, "below")
+        found.append(_rounds(links, ["length"], ["own", *carried], "below", run, F.max, best, few).select("node", *carried, (F.col("own") + F.col("below")).alias("run")))
+    if done:
+        found = _together(found, ["node", *kept, "run"], parts)
+        return found.where("node IS NOT NULL") if kept else found
+    return left.select("node", *kept).join(found[0], "node") if kept else found[0]
 
 
 def roots(edges: DataFrame, parts: int | None = None) -> DataFrame:

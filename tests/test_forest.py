@@ -83,3 +83,18 @@ def test_a_cycle_below_bushy_trees_is_told(spark, monkeypatch):
 def test_no_edges(spark, monkeypatch):
     monkeypatch.setattr(session, "PORTION", 0)
     assert forest.subtree_sum(spark.createDataFrame([], EDGE), "demand", kept=["up"]).collect() == []
+
+
+@pytest.mark.parametrize("odd", ["", "twice", "null"])
+def test_runs_of_a_bushy_forest_double_few_pointers(spark, monkeypatch, odd):
+    rows, doubled, found = _forest(150, 12), _doubled(monkeypatch), []
+    rows += [("n2", "n0", 4.0, 1, 0.0)] if odd == "twice" else []
+    if odd == "null":
+        rows[3], rows[4] = (*rows[3][:2], None, *rows[3][3:]), (*rows[4][:3], None, rows[4][4])
+    edges = spark.createDataFrame(rows, EDGE)
+    for portion in (40, 50_000):
+        monkeypatch.setattr(session, "PORTION", portion)
+        found.append(forest.longest_run(edges, "size", kept=["size"]))
+    few, all_ = (sorted(map(str, x.collect())) for x in found)
+    assert few == all_ and found[0].columns == ["node", "size", "run"]
+    assert doubled[1] >= len(rows) and (doubled[0] == doubled[1] if odd == "twice" else doubled[0] < 80)
