@@ -98,3 +98,16 @@ def test_runs_of_a_bushy_forest_double_few_pointers(spark, monkeypatch, odd):
     few, all_ = (sorted(map(str, x.collect())) for x in found)
     assert few == all_ and found[0].columns == ["node", "size", "run"]
     assert doubled[1] >= len(rows) and (doubled[0] == doubled[1] if odd == "twice" else doubled[0] < 80)
+
+
+def test_chamber_cost_doubles_few_pointers(spark, monkeypatch, tmp_path):
+    from pipewright.plans.queries import chamber_cost
+
+    spark.range(0, 400).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    doubled, found = _doubled(monkeypatch), []
+    for portion in (60, 50_000):
+        monkeypatch.setattr(session, "PORTION", portion)
+        found.append({r["node"]: (r["children"], r["price"]) for r in chamber_cost(spark, str(tmp_path)).collect()})
+    assert found[0] == found[1]
+    assert {k: n for k, (n, _) in found[0].items()} == {k: 2 for k in range(8, 200)}
+    assert doubled[0] <= 60 and doubled[1] == 384
